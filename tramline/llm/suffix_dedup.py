@@ -9,13 +9,16 @@ before.  As many rounds as the longest string has symbols; each reads the arrays
 Whole documents as strings would mean a pass over the collection for every byte of the longest
 document.  So the collection is first cut down, without loss, to strings of at most 163 bytes:
 
-1. Winnowing picks in every 100-byte string at least one of its 37-byte grams by hash, the same
-   one wherever the string occurs.  A pick with the 63 bytes around it holds every 100-byte
-   string it was picked in.
+1. Winnowing picks in every 100-byte string one of its 37-byte grams by hash, the same one
+   wherever the string occurs.  A pick's surroundings are all the 100-byte strings it was picked
+   in: 100 to 163 bytes, so that every string is looked at under one pick only.
 2. Picks whose gram occurs once in the corpus are dropped.  Of equal surroundings the earliest
    stays, and the others are repeats as a whole.
-3. Grams left with different surroundings go, gram by gram, through the construction above, which
-   finds the 100-byte strings that some of these share.
+3. Grams left with different surroundings are gathered gram by gram and refined: surroundings are
+   cut into pieces of 100 to 103 bytes about a common core, pieces alone with their core go, and
+   of equal pieces the earliest stays.
+4. Pieces that differ about one core go through the construction above, which finds the 100-byte
+   strings that some of them share.
 
 Grams with more than ``most`` different surroundings are compared window by window, by grouped
 minima, instead: that is the exact way for buckets that one task could not hold.
@@ -40,8 +43,10 @@ LENGTH = 100
 #: Grams in the winnowing window, a power of two; a gram has LENGTH - WINDOW + 1 bytes.
 WINDOW = 64
 GRAM = LENGTH - WINDOW + 1
-#: Bytes of documents looked at together, bytes of strings in one construction.
-BLOCK, BATCH = 1 << 20, 4 << 20
+#: Bytes of documents looked at together, of strings refined together, of pieces in one construction.
+BLOCK, BATCH, CONSTRUCT = 1 << 18, 4 << 20, 1 << 20
+#: Windows in a piece; a power of two.
+PIECE = 4
 #: Different surroundings of one gram that go to one construction.
 MOST = 50_000
 
@@ -94,13 +99,16 @@ def _slide(x: np.ndarray, pick) -> np.ndarray:
 
 
 def picks(texts: list[bytes], hasher: _Hasher) -> tuple[np.ndarray, ...]:
-    """(text number, place, gram hash, surroundings' hash) of every picked gram."""
+    """(text number, where the surroundings begin, shape, gram hash, surroundings' hash) of every pick.
+
+    The shape is the surroundings' length * WINDOW + the gram's place in them.
+    """
     raw = np.frombuffer(b"".join(texts), np.uint8)
     lens = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(lens)
     begins = ends - lens
     if len(raw) < LENGTH:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     one = hasher.sums(raw, 0)
     at = np.arange(len(raw) - GRAM + 1)
     h = _mix((one[GRAM:] - one[:-GRAM]) * hasher.inv[0][: len(at)])
@@ -114,10 +122,13 @@ def picks(texts: list[bytes], hasher: _Hasher) -> tuple[np.ndarray, ...]:
     back = _slide(least[::-1], np.maximum)[::-1]  # the largest minimum of the windows that hold a gram
     at = np.flatnonzero((back == h) & (h != 0))
     text = np.searchsorted(ends, at, "right")
-    two = hasher.sums(raw, 1)
-    a, b = np.maximum(begins[text], at - WINDOW + 1), np.minimum(ends[text], at + LENGTH)
-    around = hasher.of(two, a, b, 1) ^ _mix((at - a).astype(np.uint64) + np.uint64(7))
-    return text, at - begins[text], h[at], around
+    # the windows a gram is the least of lie side by side
+    q = at[:, None] + np.arange(1 - WINDOW, 1)
+    won = (least[np.maximum(q, 0)] == h[at][:, None]) & (q >= 0)
+    a = at + 1 - WINDOW + won.argmax(1)
+    b = at - won[:, ::-1].argmax(1) + LENGTH
+    around = hasher.of(hasher.sums(raw, 1), a, b, 1) ^ _mix((at - a).astype(np.uint64) + np.uint64(7))
+    return text, a - begins[text], (b - a) * WINDOW + (at - a), h[at], around
 
 
 def _blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -132,7 +143,7 @@ def _blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 
 def find_picks(docs: DataFrame) -> DataFrame:
-    """docs (id, tie, text) to id, tie, at, h, around."""
+    """docs (id, tie, text) to id, tie, start, shape, h, around."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = _Hasher(BLOCK + (1 << 18))
@@ -141,20 +152,20 @@ def find_picks(docs: DataFrame) -> DataFrame:
             ids, ties = b["id"].to_numpy(), b["tie"].to_numpy()
             for lo, hi in _blocks(texts):
                 with np.errstate(over="ignore"):
-                    text, at, h, around = picks(texts[lo:hi], hasher)
-                yield pd.DataFrame({"id": ids[lo + text], "tie": ties[lo + text], "at": at, "h": h.view(np.int64), "around": around.view(np.int64)})
+                    text, start, shape, h, around = picks(texts[lo:hi], hasher)
+                yield pd.DataFrame({"id": ids[lo + text], "tie": ties[lo + text], "start": start, "shape": shape.astype(np.int32), "h": h.view(np.int64), "around": around.view(np.int64)})
 
-    return docs.mapInPandas(run, "id long, tie long, at long, h long, around long")
+    return docs.mapInPandas(run, "id long, tie long, start long, shape int, h long, around long")
 
 
 class _RangeMin:
-    """Minima of ranges of an array, by blocks of 64 and a table over the blocks."""
+    """Minima of ranges of an array, by blocks of 16 and a table over the blocks."""
 
     def __init__(self, x: np.ndarray) -> None:
-        n = -(-len(x) // 64)
-        self.x = np.full(n * 64, 255, np.uint8)
+        n = -(-len(x) // 16)
+        self.x = np.full(n * 16, 255, np.uint8)
         self.x[: len(x)] = x
-        self.table = [self.x.reshape(n, 64).min(1)]
+        self.table = [self.x.reshape(n, 16).min(1)]
         w = 1
         while 2 * w <= n:
             last = self.table[-1]
@@ -164,12 +175,12 @@ class _RangeMin:
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """min of x[a..b], both ends included."""
         out = np.empty(len(a), np.uint8)
-        lane = np.arange(64)
+        lane = np.arange(16)
         for s in range(0, len(a), 1 << 16):
             lo, hi = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
-            la, lb = lo >> 6, hi >> 6
-            left = np.where((lane >= (lo & 63)[:, None]) & ((lane <= (hi & 63)[:, None]) | (la < lb)[:, None]), self.x.reshape(-1, 64)[la], 255).min(1)
-            right = np.where(lane <= (hi & 63)[:, None], self.x.reshape(-1, 64)[lb], 255).min(1)
+            la, lb = lo >> 4, hi >> 4
+            left = np.where((lane >= (lo & 15)[:, None]) & ((lane <= (hi & 15)[:, None]) | (la < lb)[:, None]), self.x.reshape(-1, 16)[la], 255).min(1)
+            right = np.where(lane <= (hi & 15)[:, None], self.x.reshape(-1, 16)[lb], 255).min(1)
             m = np.where(la < lb, np.minimum(left, right), left)
             inner = lb - la > 1
             if inner.any():
@@ -194,10 +205,17 @@ def collection_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
     m = len(strings)
     lens = np.array([len(s) for s in strings], np.int64)
     ends = np.cumsum(lens)
-    raw = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16) + 1
+    raw = np.frombuffer(b"".join(strings), np.uint8)
+    used, raw = np.unique(raw, return_inverse=True)  # symbols are numbered from 1; 0 stands before a string's first
+    raw = (raw + 1).astype(np.uint8 if len(used) < 256 else np.uint16)
     alive = np.arange(m)
     place = np.arange(m)  # of each live string's newest suffix
-    before = lambda who, j: np.where(lens[who] > j, raw[np.maximum(ends[who] - j - 1, 0)] if len(raw) else 0, 0).astype(np.uint16)
+
+    def before(who: np.ndarray, j: int) -> np.ndarray:
+        if not len(raw):
+            return np.zeros(len(who), raw.dtype)
+        return np.where(lens[who] > j, raw[np.maximum(ends[who] - j - 1, 0)], 0).astype(raw.dtype)
+
     bwt = before(alive, 0)
     string, size, lcp = np.arange(m, dtype=np.int32), np.zeros(m, np.int32), np.zeros(m, np.uint8)
     j = 0
@@ -206,39 +224,41 @@ def collection_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
         alive, place = alive[live], place[live]
         if not len(alive):
             return string, size, lcp
-        order = np.argsort(bwt, kind="stable")  # last-to-first: the k-th of order stands at place k of the next array
-        order = order[np.searchsorted(bwt[order], 1) :]
-        rank = np.empty(len(bwt), np.int64)
-        rank[order] = np.arange(len(order))
-        r = rank[place]
-        by = np.argsort(r)
-        alive, place, r = alive[by], place[by], r[by]
-        low = _RangeMin(lcp)
+        # last-to-first: the k-th of order stands at place m + k of the next arrays
+        counts = np.bincount(bwt, minlength=len(used) + 1)
+        order = np.argsort(bwt, kind="stable")[counts[0] :]
         c = bwt[place]
-        prev_ok = (r > 0) & (bwt[order[np.maximum(r - 1, 0)]] == c)
-        own = np.zeros(len(r), np.uint8)
-        q = order[r[prev_ok] - 1]
-        own[prev_ok] = np.minimum(low(q + 1, place[prev_ok]), 254) + 1
-        next_ok = (r + 1 < len(order)) & (bwt[order[np.minimum(r + 1, len(order) - 1)]] == c)
-        after = np.zeros(len(r), np.uint8)
-        q = order[r[next_ok] + 1]
-        after[next_ok] = np.minimum(low(place[next_ok] + 1, q), 254) + 1
+        by = np.lexsort((place, c))
+        alive, place, c = alive[by], place[by], c[by]
+        first = np.concatenate([[0], np.cumsum(counts[1:])])
+        r = np.empty(len(place), np.int64)
+        cuts = np.searchsorted(c, np.arange(len(used) + 2))
+        for x in np.flatnonzero(cuts[1:] > cuts[:-1]):
+            if x:
+                r[cuts[x] : cuts[x + 1]] = first[x - 1] + np.searchsorted(order[first[x - 1] : first[x]], place[cuts[x] : cuts[x + 1]])
+        low = _RangeMin(lcp)
+        own, after = np.zeros(len(r), np.uint8), np.zeros(len(r), np.uint8)
+        ok = r > first[c.astype(np.int64) - 1]
+        own[ok] = np.minimum(low(order[r[ok] - 1] + 1, place[ok]), 254) + 1
+        ok = r + 1 < first[c]
+        after[ok] = np.minimum(low(place[ok] + 1, order[r[ok] + 1]), 254) + 1
         final = m + r
         total = m + len(order)
-        is_new = np.zeros(total, bool)
-        is_new[final] = True
+        is_old = np.ones(total, bool)
+        is_old[final] = False
+        stay = np.flatnonzero(is_old)
         j += 1
 
-        def grown(old: np.ndarray, new: np.ndarray, is_new=is_new, total=total) -> np.ndarray:
+        def grown(old: np.ndarray, new: np.ndarray, stay=stay, final=final, total=total) -> np.ndarray:
             out = np.empty(total, old.dtype)
-            out[~is_new] = old
-            out[is_new] = new
+            out[stay] = old
+            out[final] = new
             return out
 
         bwt, string, size, lcp = grown(bwt, before(alive, j)), grown(string, alive), grown(size, np.int32(j)), grown(lcp, own)
         follow = final + 1 < total
         at = final[follow] + 1
-        old = ~is_new[at]
+        old = is_old[at]
         lcp[at[old]] = after[follow][old]
         place = final
 
@@ -277,30 +297,103 @@ def _runs(key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _strings(picked: DataFrame, docs: DataFrame) -> DataFrame:
-    """The surroundings themselves: h, id, tie, base (where they begin), body."""
-    wanted = picked.groupBy("id", "tie").agg(F.collect_list(F.struct("at", "h", "crowded")).alias("picks"))
+    """The surroundings themselves: h, id, tie, base (where they begin), pick (the gram's place in them), body.
+
+    A left join, as the last step's is, so that both read one exchange of the texts.
+    """
+    wanted = picked.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "shape", "h", "crowded")).alias("picks"))
+    columns = ["h", "id", "tie", "base", "pick", "body", "crowded"]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out: list[tuple] = []
             for i, tie, text, own in zip(b["id"], b["tie"], b["text"], b["picks"], strict=True):
+                if own is None:
+                    continue
                 raw = text.encode()
                 for p in own:
-                    a = max(0, p["at"] - WINDOW + 1)
-                    out.append((p["h"], i, tie, a, raw[a : p["at"] + LENGTH], p["crowded"]))
+                    a, (n, pick) = p["start"], divmod(p["shape"], WINDOW)
+                    out.append((p["h"], i, tie, a, pick, raw[a : a + n], p["crowded"]))
                 if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=["h", "id", "tie", "base", "body", "crowded"])
+                    yield pd.DataFrame(out, columns=columns)
                     out = []
             if out:
-                yield pd.DataFrame(out, columns=["h", "id", "tie", "base", "body", "crowded"])
+                yield pd.DataFrame(out, columns=columns)
+
+    rows = docs.join(wanted, ["id", "tie"], "left").select("id", "tie", "text", "picks")
+    return rows.mapInPandas(cut, "h long, id long, tie long, base long, pick long, body binary, crowded boolean")
+
 
-    return docs.join(wanted, ["id", "tie"]).select("id", "tie", "text", "picks").mapInPandas(cut, "h long, id long, tie long, base long, body binary, crowded boolean")
+def _refined(bodies: list[bytes], pick: np.ndarray, where: np.ndarray, hasher: _Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """What is left of the strings once cheap cases are decided.
+
+    The starts around a pick fall into runs of ``PIECE``; all windows of a run hold the same 97
+    bytes, its core.  Pieces (a run's windows of a string) whose core no other string has share
+    nothing; of equal pieces the earliest stays and the others repeat as a whole.  Returns
+    the pieces that repeat (string, first start, last start) and, to be constructed, groups of
+    different pieces with one core, as rows of (string, first start, last start).
+    """
+    lens = np.array([len(b) for b in bodies], np.int64)
+    begin = np.cumsum(lens) - lens
+    raw = np.frombuffer(b"".join(bodies), np.uint8)
+    step, runs = PIECE, WINDOW // PIECE
+    k = np.tile(np.arange(runs), len(bodies))
+    string = np.repeat(np.arange(len(bodies)), runs)
+    qa = np.maximum(pick[string] - WINDOW + 1 + step * k, 0)
+    qb = np.minimum(pick[string] - WINDOW + step * (k + 1), lens[string] - LENGTH)
+    some = qa <= qb
+    string, k, qa, qb = string[some], k[some], qa[some], qb[some]
+    core_a = begin[string] + pick[string] - WINDOW + step * (k + 1)
+    core_b = begin[string] + pick[string] - WINDOW + 1 + step * k + LENGTH
+    sums = [hasher.sums(raw, x) for x in (0, 1)]
+    mixed = lambda a, b: hasher.of(sums[0], a, b, 0) ^ (hasher.of(sums[1], a, b, 1) << np.uint64(1))
+    core = _mix(mixed(core_a, core_b) + k.astype(np.uint64))
+    _, group, n = np.unique(core, return_inverse=True, return_counts=True)
+    shared = n[group] > 1
+    string, qa, qb, group = string[shared], qa[shared], qb[shared], group[shared]
+    whole = mixed(begin[string] + qa, begin[string] + qb + LENGTH) + _mix((qa - pick[string] + WINDOW).astype(np.uint64))
+    o = np.lexsort((where[string] + qa, whole, group))
+    string, qa, qb, group, whole = string[o], qa[o], qb[o], group[o], whole[o]
+    new = np.ones(len(o), bool)
+    new[1:] = (whole[1:] != whole[:-1]) | (group[1:] != group[:-1])
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(o) else o
+    late = ~new & (where[string] + qa > where[string[lead]] + qa[lead])
+    copies = np.stack([string[late], qa[late], qb[late]])
+    string, qa, qb, group = string[new], qa[new], qb[new], group[new]
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, int)
+    size = np.diff(np.append(first, len(group)))
+    several = np.repeat(size > 1, size)
+    rows = np.stack([string[several], qa[several], qb[several]])
+    return copies[0], copies[1], copies[2], np.split(rows, np.cumsum(size[size > 1])[:-1], axis=1) if rows.size else []
+
+
+def repeats_among(bodies: list[bytes], pick: np.ndarray, rank: np.ndarray, base: np.ndarray, hasher: _Hasher) -> tuple[np.ndarray, np.ndarray]:
+    """(string, place in it) of the starts that repeat an earlier one; as runs of starts would be, but one by one."""
+    where = rank * np.int64(1 << 40) + base
+    with np.errstate(over="ignore"):
+        s, qa, qb, groups = _refined(bodies, pick, where, hasher)
+    n = qb - qa + 1
+    out = [(np.repeat(s, n), np.repeat(qa, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))]
+    pending: list[np.ndarray] = []
+    held = 0
+    for g in [*groups, None]:
+        if g is not None:
+            pending.append(g)
+            held += int((g[2] - g[1]).sum()) + LENGTH * g.shape[1]
+        if pending and (g is None or held >= CONSTRUCT):
+            s, qa, qb = np.concatenate(pending, axis=1)
+            pieces = [bodies[i][a : b + LENGTH] for i, a, b in zip(s.tolist(), qa.tolist(), qb.tolist(), strict=True)]
+            k, at = shared_starts(pieces, rank[s], base[s] + qa)
+            out.append((s[k], qa[k] + at))
+            pending, held = [], 0
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
 def _construct(strings: DataFrame) -> DataFrame:
     """id, tie, start, end: bytes of the strings that repeat earlier ones."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = _Hasher(BATCH + (1 << 20))
         rows, held = [], 0
 
         def flush() -> pd.DataFrame:
@@ -308,7 +401,7 @@ def _construct(strings: DataFrame) -> DataFrame:
             docs = pd.MultiIndex.from_frame(b[["id", "tie"]])
             rank = pd.factorize(docs, sort=True)[0].astype(np.int64)
             base = b["base"].to_numpy(np.int64)
-            k, at = shared_starts(b["body"].tolist(), rank, base)
+            k, at = repeats_among(b["body"].tolist(), b["pick"].to_numpy(np.int64), rank, base, hasher)
             k, first, last = _runs(k, base[k] + at)
             return pd.DataFrame({"id": b["id"].to_numpy()[k], "tie": b["tie"].to_numpy()[k], "start": first, "end": last + LENGTH})
 
@@ -340,21 +433,22 @@ def _by_windows(strings: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, most: int = MOST) -> DataFrame:
     """docs (id, tie, text) to id, tie, start, end: byte ranges that together are what to remove."""
-    found = find_picks(docs)
+    found = find_picks(docs.filter(F.octet_length("text") >= LENGTH))
     often = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     again = written(found.join(often, "h"), "picks")
-    firsts = again.groupBy("h", "around").agg(F.min(F.struct("id", "tie", "at")).alias("first"), F.count("*").alias("n"))
+    at = F.struct("id", "tie", "start")
+    firsts = again.groupBy("h", "around").agg(F.min(at).alias("first"), F.min("shape").alias("shape"), F.count("*").alias("n"))
     firsts = written(firsts, "firsts")
     copies = firsts.filter("n > 1").select("h", "around", "first")
-    whole = again.join(copies, ["h", "around"]).filter(F.struct("id", "tie", "at") > F.col("first"))
-    whole = whole.select("id", "tie", F.greatest(F.lit(0), F.col("at") - WINDOW + 1).alias("start"), (F.col("at") + LENGTH).alias("end"))
-    varied = firsts.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    picked = firsts.join(varied, "h").select("first.id", "first.tie", "first.at", "h", (F.col("kinds") > most).alias("crowded"))
-    strings = written(_strings(picked, docs), "strings")
-    out = whole.unionByName(_construct(strings.filter("NOT crowded")))
-    if not strings.filter("crowded").isEmpty():
-        out = out.unionByName(_by_windows(strings.filter("crowded")))
-    return out
+    whole = again.join(copies, ["h", "around"]).filter(at > F.col("first"))
+    whole = whole.select("id", "tie", "start", (F.col("start") + F.expr(f"shape div {WINDOW}")).alias("end"))
+    kinds = written(firsts.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
+    picked = firsts.join(kinds, "h").select("first.id", "first.tie", "first.start", "shape", "h", (F.col("kinds") > most).alias("crowded"))
+    strings = _strings(picked, docs)
+    if kinds.filter(F.col("kinds") > most).isEmpty():
+        return whole.unionByName(_construct(strings))
+    strings = written(strings, "strings")
+    return whole.unionByName(_construct(strings.filter("NOT crowded"))).unionByName(_by_windows(strings.filter("crowded")))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
@@ -372,7 +466,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
         rows = written(rows.withColumn("tie", F.monotonically_increasing_id()), "numbered")
     null_id = -(1 << 63)
     keyed = rows.withColumn("id", F.coalesce("id", F.lit(null_id)))
-    spans = repeated_spans(keyed.select("id", "tie", "text").filter(F.octet_length("text") >= LENGTH), most)
+    spans = repeated_spans(keyed.select("id", "tie", "text"), most)
     gathered = spans.groupBy("id", "tie").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
