@@ -42,7 +42,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, and whether the ids decode to the text again."""
     v = queries.vocabulary()
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), v), v)
+    coded = bpe.encode(docs.select("doc_id", "text"), v, with_bytes=True)
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.octet_length("bytes").cast("long").alias("n_bytes"))
 
 

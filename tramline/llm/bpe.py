@@ -122,13 +122,12 @@ def write_chunk_tables(rows: DataFrame, vocabulary: Vocabulary) -> str:
     sent = rows.sparkSession.sparkContext.broadcast(vocabulary)
     folder = work_path(rows.sparkSession, "bpe-chunks")
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("binary")
+    def ids_of(words: pd.Series) -> pd.Series:
         v = sent.value
-        for b in batches:
-            b["ids"] = [np.array(v.encode_word(w.encode()), "<i4").tobytes() for w in b["word"]]
-            yield b
+        return pd.Series([np.array(v.encode_word(w.encode()), "<i4").tobytes() for w in words])
 
-    coded = distinct_words(rows, vocabulary).mapInPandas(encode, "word string, chunks array<long>, ids binary")
+    coded = distinct_words(rows, vocabulary).select("chunks", "word", ids_of("word").alias("ids"))
     back = coded.select(F.explode("chunks").alias("chunk"), "word", "ids")
     back.repartition(F.col("chunk")).sortWithinPartitions("chunk").write.partitionBy("chunk").option("compression", "zstd").parquet(folder)
     return folder
@@ -146,8 +145,11 @@ def _table(folder: str, chunk: int) -> dict[str, bytes]:
     return out
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids (array<int>): the token ids of every text."""
+def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False) -> DataFrame:
+    """id, ids (array<int>): the token ids of every text.
+
+    ``with_bytes`` decodes each row's ids in the same task, as ``decode`` would later.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(docs.dtypes)[id_col]
     folder = write_chunk_tables(rows, vocabulary)
@@ -155,24 +157,33 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
 
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = sent.value
+        tokens = v.token_bytes() if with_bytes else []
         for k, b in enumerate(batches):
             table = _table(folder, _chunk(k))
-            ids = []
-            for t in b["text"]:
-                words = v.words(t)
-                try:
-                    joined = b"".join(map(table.__getitem__, words))
-                except KeyError:
-                    for w in words:
-                        if w not in table:
-                            table[w] = np.array(v.encode_word(w.encode()), "<i4").tobytes()
-                    joined = b"".join(map(table.__getitem__, words))
-                ids.append(np.frombuffer(joined, "<i4"))
+            for a in range(0, len(b), 500):
+                part, ids = b.iloc[a : a + 500], []
+                for t in part["text"]:
+                    words = v.words(t)
+                    try:
+                        joined = b"".join(map(table.__getitem__, words))
+                    except KeyError:
+                        for w in words:
+                            if w not in table:
+                                table[w] = np.array(v.encode_word(w.encode()), "<i4").tobytes()
+                        joined = b"".join(map(table.__getitem__, words))
+                    ids.append(np.frombuffer(joined, "<i4"))
+                out = pd.DataFrame({"id": part["id"].to_numpy(), "ids": ids})
+                if with_bytes:
+                    out["bytes"] = [_joined(x, tokens) for x in ids]
+                yield out
             del table
-            for a in range(0, len(ids), 1000):
-                yield pd.DataFrame({"id": b["id"].iloc[a : a + 1000], "ids": ids[a : a + 1000]})
 
-    return rows.mapInPandas(assemble, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    schema = f"id {kind}, ids array<int>" + ", bytes binary" * with_bytes
+    return rows.mapInPandas(assemble, schema).toDF(id_col, "ids", *["bytes"] * with_bytes)
+
+
+def _joined(ids: np.ndarray, tokens: list[bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, ids.tolist()))
 
 
 def decode(coded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -183,7 +194,7 @@ def decode(coded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", ids
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = sent.value
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "ids": b["ids"], "bytes": [b"".join(map(table.__getitem__, x.tolist())) for x in b["ids"]]})
+            yield pd.DataFrame({"id": b["id"], "ids": b["ids"], "bytes": [_joined(x, table) for x in b["ids"]]})
 
     rows = coded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     return rows.mapInPandas(join, f"id {kind}, ids array<int>, bytes binary").toDF(id_col, "ids", "bytes")

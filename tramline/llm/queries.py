@@ -68,7 +68,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vocabulary()
-    coded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents", "doc_id", "text"), v), v)
+    coded = bpe.encode(_table(spark, sf_dir, "documents", "doc_id", "text"), v, with_bytes=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
