@@ -57,16 +57,16 @@ class Vocabulary:
         parts = [word[i : i + 1] for i in range(len(word))]
         if len(parts) > 200:
             return self._encode_long(parts)
-        rank = self.ranks.get
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = rank(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        rank, none = self.ranks.get, 1 << 60
+        ranks = [rank(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] + parts[i], none)
+            if i < len(ranks):
+                ranks[i] = rank(parts[i] + parts[i + 1], none)
         return [self.ranks[p] for p in parts]
 
     def _encode_long(self, parts: list[bytes]) -> list[int]:
@@ -108,7 +108,7 @@ def distinct_words(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         v = sent.value
         for k, b in enumerate(batches):
             seen: set[str] = set()
-            for t in b["text"]:
+            for t in b["text"].drop_duplicates():
                 seen.update(v.words(t))
             words = list(seen)
             for a in range(0, len(words), 200_000):
@@ -160,9 +160,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
         tokens = v.token_bytes() if with_bytes else []
         for k, b in enumerate(batches):
             table = _table(folder, _chunk(k))
+            copies = b["text"].duplicated(keep=False).to_numpy()
+            done: dict[str | None, np.ndarray] = {}  # of texts that the batch holds more than once
             for a in range(0, len(b), 500):
                 part, ids = b.iloc[a : a + 500], []
-                for t in part["text"]:
+                for t, again in zip(part["text"], copies[a : a + 500], strict=True):
+                    if t in done:
+                        ids.append(done[t])
+                        continue
                     words = v.words(t)
                     try:
                         joined = b"".join(map(table.__getitem__, words))
@@ -172,6 +177,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
                                 table[w] = np.array(v.encode_word(w.encode()), "<i4").tobytes()
                         joined = b"".join(map(table.__getitem__, words))
                     ids.append(np.frombuffer(joined, "<i4"))
+                    if again:
+                        done[t] = ids[-1]
                 out = pd.DataFrame({"id": part["id"].to_numpy(), "ids": ids})
                 if with_bytes:
                     out["bytes"] = [_joined(x, tokens) for x in ids]
