@@ -67,7 +67,12 @@ def length_metres(line: Column) -> Column:
     return F.aggregate(segments(line), F.lit(0.0), lambda acc, s: acc + ellipsoid(s["a"]["lat"], s["a"]["lon"], s["b"]["lat"], s["b"]["lon"]))
 
 
-def _on_segment(s: Column, x: Column, y: Column) -> Column:
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once; lambdas compute what they mention for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _share(s: Column, x: Column, y: Column) -> Column:
     """Share along a segment of the place closest to (x, y), clamped to the segment."""
     dx, dy = s["b"]["lon"] - s["a"]["lon"], s["b"]["lat"] - s["a"]["lat"]
     t = ((x - s["a"]["lon"]) * dx + (y - s["a"]["lat"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
@@ -76,15 +81,23 @@ def _on_segment(s: Column, x: Column, y: Column) -> Column:
 
 def nearest(line: Column, x: Column, y: Column) -> Column:
     """(distance, fraction, lon, lat) of the place of a line closest to a point; all planar.  The first segment wins ties."""
-    def place(acc: Column, s: Column) -> Column:
-        t = _on_segment(s, x, y)
-        px, py = s["a"]["lon"] + t * (s["b"]["lon"] - s["a"]["lon"]), s["a"]["lat"] + t * (s["b"]["lat"] - s["a"]["lat"])
-        d = planar(px, py, x, y)
-        near = F.when(d < acc["d"], F.struct(d.alias("d"), (acc["upto"] + t * s["n"]).alias("at"), px.alias("lon"), py.alias("lat"))).otherwise(F.struct(acc["d"].alias("d"), acc["at"].alias("at"), acc["lon"].alias("lon"), acc["lat"].alias("lat")))
-        return F.struct(near["d"].alias("d"), near["at"].alias("at"), near["lon"].alias("lon"), near["lat"].alias("lat"), (acc["upto"] + s["n"]).alias("upto"))
+    shared = F.transform(segments(line), lambda s: F.struct(s.alias("s"), _share(s, x, y).alias("t")))
+    placed = F.transform(
+        shared,
+        lambda e: F.struct(
+            e["s"]["n"].alias("n"), e["t"].alias("t"), (e["s"]["a"]["lon"] + e["t"] * (e["s"]["b"]["lon"] - e["s"]["a"]["lon"])).alias("lon"),
+            (e["s"]["a"]["lat"] + e["t"] * (e["s"]["b"]["lat"] - e["s"]["a"]["lat"])).alias("lat"),
+        ),
+    )
+    apart = F.transform(placed, lambda e: F.struct(planar(e["lon"], e["lat"], x, y).alias("d"), e["n"].alias("n"), e["t"].alias("t"), e["lon"].alias("lon"), e["lat"].alias("lat")))
+
+    def best(acc: Column, e: Column) -> Column:
+        near = e["d"] < acc["d"]
+        keep = lambda new, name: F.when(near, new).otherwise(acc[name]).alias(name)
+        return F.struct(keep(e["d"], "d"), keep(acc["upto"] + e["t"] * e["n"], "at"), keep(e["lon"], "lon"), keep(e["lat"], "lat"), (acc["upto"] + e["n"]).alias("upto"))
 
     zero = F.struct(F.lit(float("inf")).alias("d"), F.lit(0.0).alias("at"), F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("upto"))
-    return F.aggregate(segments(line), zero, place, lambda a: F.struct(a["d"].alias("distance"), F.coalesce(a["at"] / F.nullif(a["upto"], F.lit(0.0)), F.lit(0.0)).alias("fraction"), a["lon"].alias("lon"), a["lat"].alias("lat")))
+    return F.aggregate(apart, zero, best, lambda a: F.struct(a["d"].alias("distance"), F.coalesce(a["at"] / F.nullif(a["upto"], F.lit(0.0)), F.lit(0.0)).alias("fraction"), a["lon"].alias("lon"), a["lat"].alias("lat")))
 
 
 def locate(line: Column, x: Column, y: Column) -> Column:
@@ -93,42 +106,43 @@ def locate(line: Column, x: Column, y: Column) -> Column:
 
 def interpolate(line: Column, fraction: Column) -> Column:
     """The point at a fraction (clamped to 0..1) of a line's planar length."""
-    goal = F.greatest(F.lit(0.0), F.least(F.lit(1.0), fraction)) * planar_length(line)
 
     def step(acc: Column, s: Column) -> Column:
-        here = (acc["upto"] + s["n"] >= goal) & acc["lon"].isNull()
-        t = F.coalesce((goal - acc["upto"]) / F.nullif(s["n"], F.lit(0.0)), F.lit(0.0))
-        return F.struct(
-            F.when(here, s["a"]["lon"] + t * (s["b"]["lon"] - s["a"]["lon"])).otherwise(acc["lon"]).alias("lon"),
-            F.when(here, s["a"]["lat"] + t * (s["b"]["lat"] - s["a"]["lat"])).otherwise(acc["lat"]).alias("lat"),
-            (acc["upto"] + s["n"]).alias("upto"),
-        )
-
-    zero = F.struct(F.lit(None).cast("double").alias("lon"), F.lit(None).cast("double").alias("lat"), F.lit(0.0).alias("upto"))
+        here = (acc["upto"] + s["n"] >= acc["goal"]) & acc["lon"].isNull()
+        t = F.coalesce((acc["goal"] - acc["upto"]) / F.nullif(s["n"], F.lit(0.0)), F.lit(0.0))
+        along = lambda c: F.when(here, s["a"][c] + t * (s["b"][c] - s["a"][c])).otherwise(acc[c]).alias(c)
+        return F.struct(along("lon"), along("lat"), (acc["upto"] + s["n"]).alias("upto"), acc["goal"].alias("goal"))
+
+    goal = F.greatest(F.lit(0.0), F.least(F.lit(1.0), fraction)) * planar_length(line)
+    zero = F.struct(F.lit(None).cast("double").alias("lon"), F.lit(None).cast("double").alias("lat"), F.lit(0.0).alias("upto"), goal.alias("goal"))
     end = F.element_at(line, -1)
     return F.aggregate(segments(line), zero, step, lambda a: F.struct(F.coalesce(a["lon"], end["lon"]).alias("lon"), F.coalesce(a["lat"], end["lat"]).alias("lat")))
 
 
 def point_line_metres(line: Column, lat: Column, lon: Column) -> Column:
     """Least distance from a point to a line in the local metric at the point."""
-    m, n = _radii(lat)
     k = pi / 180
 
-    def gap(s: Column) -> Column:
-        ax, ay = (s["a"]["lon"] - lon) * k * n, (s["a"]["lat"] - lat) * k * m
-        bx, by = (s["b"]["lon"] - lon) * k * n, (s["b"]["lat"] - lat) * k * m
-        dx, dy = bx - ax, by - ay
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(-(ax * dx + ay * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))))
-        px, py = ax + t * dx, ay + t * dy
-        return F.sqrt(px * px + py * py)
+    def gaps(r: Column) -> Column:
+        flat = lambda p: F.struct(((p["lon"] - lon) * k * r["n"]).alias("x"), ((p["lat"] - lat) * k * r["m"]).alias("y"))
+        ends = F.transform(segments(line), lambda s: F.struct(flat(s["a"]).alias("a"), flat(s["b"]).alias("b")))
+        shared = F.transform(ends, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), toward(s).alias("t")))
+        at = lambda e, c: e["a"][c] + e["t"] * (e["b"][c] - e["a"][c])
+        return F.array_min(F.transform(shared, lambda e: F.sqrt(at(e, "x") * at(e, "x") + at(e, "y") * at(e, "y"))))
 
-    return F.array_min(F.transform(segments(line), gap))
+    def toward(s: Column) -> Column:
+        dx, dy = s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]
+        t = -(s["a"]["x"] * dx + s["a"]["y"] * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(t, F.lit(0.0))))
+
+    m, n = _radii(lat)
+    return let(F.struct(m.alias("m"), n.alias("n")), gaps)
 
 
 def local_heading(line: Column, fraction: Column, reach: float = 0.025) -> Column:
     """Bearing of a line about a fraction, from a little before to a little after."""
-    a, b = interpolate(line, fraction - reach), interpolate(line, fraction + reach)
-    return bearing(a["lat"], a["lon"], b["lat"], b["lon"])
+    ends = F.struct(interpolate(line, fraction - reach).alias("a"), interpolate(line, fraction + reach).alias("b"))
+    return let(ends, lambda e: bearing(e["a"]["lat"], e["a"]["lon"], e["b"]["lat"], e["b"]["lon"]))
 
 
 def geojson(line: Column) -> Column:

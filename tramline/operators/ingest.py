@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from tramline.functions import text
 
@@ -76,7 +77,18 @@ def chain_parts(parts: list[list[tuple[float, float]]], joint: float = 0.0001) -
     return out
 
 
-@F.pandas_udf("array<struct<lon: double, lat: double>>")
-def chained(parts: pd.Series) -> pd.Series:
-    """``chain_parts`` on arrays of arrays of (lon, lat) structs: sequential within one geometry."""
-    return pd.Series([[{"lon": x, "lat": y} for x, y in chain_parts([[(q["lon"], q["lat"]) for q in p] for p in ps])] if ps is not None else None for ps in parts])
+@F.pandas_udf(ArrayType(StructType([StructField("lon", DoubleType()), StructField("lat", DoubleType())])))
+def _chained(points: pd.Series, sizes: pd.Series) -> pd.Series:
+    out = []
+    for ps, ns in zip(points, sizes, strict=True):
+        if ps is None or ns is None:
+            out.append(None)
+            continue
+        pairs = iter([(p["lon"], p["lat"]) for p in ps])
+        out.append([{"lon": x, "lat": y} for x, y in chain_parts([[next(pairs) for _ in range(n)] for n in ns])])
+    return pd.Series(out)
+
+
+def chained(parts: Column) -> Column:
+    """``chain_parts`` on an array of arrays of (lon, lat) structs: sequential within one geometry."""
+    return _chained(F.flatten(parts), F.transform(parts, lambda p: F.size(p)))

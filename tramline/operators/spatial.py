@@ -115,11 +115,15 @@ def tiles(box: DataFrame, size: float = 0.027) -> DataFrame:
 def match_routes(pings: DataFrame, itineraries: DataFrame, heading: str, metres: float = 250.0, most: float = 80.0, key: str = "event_id") -> DataFrame:
     """The itinerary of its line that each ping is on: in reach, heading within ``most`` degrees, best by (difference, distance, id)."""
     near = pings.join(itineraries, "line_id").withColumn("metres", geo.point_line_metres(F.col("vertices"), F.col("lat"), F.col("lon"))).filter(F.col("metres") <= metres)
-    placed = near.withColumn("at", geo.nearest(F.col("vertices"), F.col("lon"), F.col("lat"))).withColumn("fraction", F.col("at.fraction"))
-    placed = placed.withColumn("route_heading", geo.local_heading(F.col("vertices"), F.col("fraction")))
-    placed = placed.withColumn("diff", geo.heading_difference(F.col("route_heading"), F.col(heading))).filter(F.col("diff") < most)
-    w = Window.partitionBy(key).orderBy(F.round("diff", 6), F.round("metres", 6), "itinerary_id")
-    return placed.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn", "vertices", "at")
+    fit = geo.let(
+        geo.nearest(F.col("vertices"), F.col("lon"), F.col("lat"))["fraction"],
+        lambda f: F.struct(f.alias("fraction"), geo.local_heading(F.col("vertices"), f).alias("heading")),
+    )
+    placed = near.withColumn("fit", fit).withColumn("fraction", F.col("fit.fraction")).withColumn("route_heading", F.col("fit.heading"))
+    placed = placed.withColumn("diff", geo.heading_difference(F.col("route_heading"), F.col(heading)))
+    # the least difference ranks first, so the limit on it may follow the ranking
+    w = Window.partitionBy(key).orderBy(F.asc_nulls_last(F.round("diff", 6)), F.round("metres", 6), "itinerary_id")
+    return placed.withColumn("rn", F.row_number().over(w)).filter("rn = 1").filter(F.col("diff") < most).drop("rn", "vertices", "fit")
 
 
 def next_stop(matched: DataFrame, links: DataFrame, key: str = "event_id") -> DataFrame:

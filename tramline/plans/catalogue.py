@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from tramline.plans import catalog_plans, change_plans, ingest_plans, spatial_plans, stream_plans, train_plans, vehicle_plans  # noqa: F401
+from tramline.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -45,6 +45,8 @@ TABLES = {
     f" {num('-43.60')} + {num('0.0025')} * k + {num('0.0001')} * ((event_id % 5) - 2) AS lon, {num('-23.0')} + {num('0.004')} * (user_id % 25) + {num('0.0004')} * (k % 3) + {num('0.0001')} * ((event_id % 7) - 3) AS lat"
     f" FROM (SELECT event_id, user_id, ts, value, CASE WHEN {whole('n / 21')} % 2 = 0 THEN n % 21 ELSE 20 - n % 21 END AS k"
     " FROM (SELECT event_id, user_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM <events>) AS e1) AS e2",
+    "station": f"SELECT concat('B', CAST(n_regionkey AS STRING)) AS branch, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS ord, {num('2.3')} * n_nationkey AS km,"
+    f" CASE WHEN n_nationkey % 7 <> 0 THEN {num('14400')} + {num('110')} * n_nationkey END AS first_s, {num('-22.9')} + {num('0.01')} * n_nationkey AS lat, {num('-43.2')} - {num('0.02')} * n_nationkey AS lon FROM <nation>",
     "passage": "SELECT l_orderkey AS order_id, CAST(l_linenumber AS BIGINT) AS leg, l_suppkey % 25 AS line_id, l_shipdate AS ts, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_quantity * 30 END AS secs_since_prev FROM <lineitem>",
 }
 

@@ -12,8 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tramline.operators.gps import STATE, route_step
 
 
-def read_pings(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def read_pings(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000, names: str = "*.parquet") -> DataFrame:
+    """A stream of the files of a folder whose names fit ``names``."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", names).parquet(path)
 
 
 def deduplicated(pings: DataFrame, late: str = "300 seconds") -> DataFrame:
