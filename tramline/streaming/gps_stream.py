@@ -38,10 +38,11 @@ def latest_rows(pings: DataFrame) -> DataFrame:
     return pings.groupBy("vehicle_id").agg(F.max(F.struct("ts", "event_id", "line_id", "speed")).alias("b")).select("vehicle_id", "b.*")
 
 
-def confirmed_routes(rows: DataFrame, gain: float = 30.0, jump: float = 100.0, misses: int = 3, least_speed: float = 3.0, ttl_ms: int = 180_000) -> DataFrame:
+def confirmed_routes(rows: DataFrame, gain: float = 30.0, jump: float = 100.0, misses: int = 3, least_speed: float = 3.0, ttl_ms: int = 180_000, late: str = "300 seconds") -> DataFrame:
     """``gps.route_state`` as keyed state: a ping not newer than the last is dropped; idle vehicles expire.
 
-    Columns as there; output one row for each accepted ping.
+    Columns as there; output one row for each accepted ping.  Age is event time, so that a replay
+    expires the same states and a run over what is there comes to its end.
     """
     state_schema = "route long, held double, missed int, last timestamp"
 
@@ -58,11 +59,11 @@ def confirmed_routes(rows: DataFrame, gain: float = 30.0, jump: float = 100.0, m
             last = r.ts
             out.append((r.vehicle_id, r.event_id, *row))
         state.update((route, held, missed, last))
-        state.setTimeoutDuration(ttl_ms)
+        state.setTimeoutTimestamp(max(int(last.timestamp() * 1000), state.getCurrentWatermarkMs()) + ttl_ms)
         if out:
             yield pd.DataFrame(out, columns=["vehicle_id", "event_id", "route", "at", "status"]).astype({"route": "Int64"})
 
-    return rows.groupBy("vehicle_id").applyInPandasWithState(step, STATE, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.withWatermark("ts", late).groupBy("vehicle_id").applyInPandasWithState(step, STATE, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_once(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
