@@ -154,7 +154,7 @@ def write_archive(pages: DataFrame, shards: int, roll_bytes: int = 64 << 20, lea
             yield close()
 
     files = (
-        placed.repartition(max(shards, 1), "shard")
+        placed.repartitionById(max(shards, 1), F.col("shard"))
         .sortWithinPartitions("shard", F.col("id").asc_nulls_last(), "digest", "page", "url")
         .mapInPandas(write, "name string, bytes long, records long, sha256 string")
         .collect()
