@@ -90,44 +90,56 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _slide(x: np.ndarray, pick) -> np.ndarray:
-    """``pick`` over windows of WINDOW entries that start at each place (shorter at the end)."""
-    x, w = x.copy(), 1
+    """``pick`` over all windows of WINDOW entries."""
+    w = 1
     while w < WINDOW:
-        x[:-w] = pick(x[:-w], x[w:])
+        x = pick(x[:-w], x[w:])
         w *= 2
     return x
 
 
-def picks(texts: list[bytes], hasher: _Hasher) -> tuple[np.ndarray, ...]:
-    """(text number, where the surroundings begin, shape, gram hash, surroundings' hash) of every pick.
-
-    The shape is the surroundings' length * WINDOW + the gram's place in them.
-    """
+def _winnowed(texts: list[bytes], hasher: _Hasher) -> tuple[np.ndarray, ...]:
+    """The joined texts, where each ends, the grams' hashes, the least of every window (0: no window) and the places picked."""
     raw = np.frombuffer(b"".join(texts), np.uint8)
     lens = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(lens)
-    begins = ends - lens
+    none = np.zeros(0, np.uint64)
     if len(raw) < LENGTH:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return raw, ends, none, none, np.zeros(0, np.int64)
     one = hasher.sums(raw, 0)
-    at = np.arange(len(raw) - GRAM + 1)
-    h = _mix((one[GRAM:] - one[:-GRAM]) * hasher.inv[0][: len(at)])
+    n = len(raw) - GRAM + 1
+    h = _mix((one[GRAM:] - one[:-GRAM]) * hasher.inv[0][:n])
     least = _slide(h, np.minimum)
     # a window counts where its LENGTH bytes lie in one text
-    valid = np.zeros(len(at) + 1, np.int32)
+    valid = np.zeros(len(least) + 1, np.int32)
     long = lens >= LENGTH
-    np.add.at(valid, begins[long], 1)
-    np.add.at(valid, np.minimum(ends[long] - LENGTH + 1, len(at)), -1)
+    np.add.at(valid, (ends - lens)[long], 1)
+    np.add.at(valid, ends[long] - LENGTH + 1, -1)
     least[np.cumsum(valid[:-1]) == 0] = 0
-    back = _slide(least[::-1], np.maximum)[::-1]  # the largest minimum of the windows that hold a gram
-    at = np.flatnonzero((back == h) & (h != 0))
+    edge = np.zeros(WINDOW - 1, np.uint64)
+    back = _slide(np.concatenate([edge, least, edge]), np.maximum)  # the largest minimum of the windows that hold a gram
+    return raw, ends, h, np.concatenate([least, edge]), np.flatnonzero((back == h) & (h != 0))
+
+
+def picks(texts: list[bytes], hasher: _Hasher) -> tuple[np.ndarray, ...]:
+    """(text number, where the surroundings begin, shape, gram hash, surroundings' hash) of every pick.
+
+    The shape is the surroundings' length * WINDOW + the gram's place in them.
+    """
+    raw, ends, h, least, at = _winnowed(texts, hasher)
+    if not len(at):
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     text = np.searchsorted(ends, at, "right")
-    # the windows a gram is the least of lie side by side
-    q = at[:, None] + np.arange(1 - WINDOW, 1)
-    won = (least[np.maximum(q, 0)] == h[at][:, None]) & (q >= 0)
-    a = at + 1 - WINDOW + won.argmax(1)
-    b = at - won[:, ::-1].argmax(1) + LENGTH
+    # the windows a gram is the least of lie side by side: they are a run of equal minima, cut to the windows that hold it
+    starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    stops = np.append(starts[1:], len(least))
+    run, value = np.searchsorted(starts, at, "right") - 1, least[starts]
+    while (other := value[run] != h[at]).any():
+        run = run - other
+    a = np.maximum(at + 1 - WINDOW, starts[run])
+    b = np.minimum(at, stops[run] - 1) + LENGTH
     around = hasher.of(hasher.sums(raw, 1), a, b, 1) ^ _mix((at - a).astype(np.uint64) + np.uint64(7))
+    begins = np.concatenate([[0], ends[:-1]])
     return text, a - begins[text], (b - a) * WINDOW + (at - a), h[at], around
 
 
@@ -158,6 +170,23 @@ def find_picks(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, "id long, tie long, start long, shape int, h long, around long")
 
 
+def often_picked(docs: DataFrame) -> DataFrame:
+    """h of the grams that are picked twice or more; what a task sees is counted there."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = _Hasher(BLOCK + (1 << 18))
+        for b in batches:
+            texts = [(t or "").encode() for t in b["text"]]
+            for lo, hi in _blocks(texts):
+                with np.errstate(over="ignore"):
+                    _, _, h, _, at = _winnowed(texts[lo:hi], hasher)
+                if len(at):
+                    h, n = np.unique(h[at].view(np.int64), return_counts=True)
+                    yield pd.DataFrame({"h": h, "n": n.astype(np.int64)})
+
+    return docs.select("text").mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
+
+
 class _RangeMin:
     """Minima of ranges of an array, by blocks of 16 and a table over the blocks."""
 
@@ -433,9 +462,8 @@ def _by_windows(strings: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, most: int = MOST) -> DataFrame:
     """docs (id, tie, text) to id, tie, start, end: byte ranges that together are what to remove."""
-    found = find_picks(docs.filter(F.octet_length("text") >= LENGTH))
-    often = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    again = written(found.join(often, "h"), "picks")
+    long = docs.filter(F.octet_length("text") >= LENGTH)
+    again = written(find_picks(long).join(often_picked(long), "h"), "picks")
     at = F.struct("id", "tie", "start")
     firsts = again.groupBy("h", "around").agg(F.min(at).alias("first"), F.min("shape").alias("shape"), F.count("*").alias("n"))
     firsts = written(firsts, "firsts")
