@@ -44,7 +44,9 @@ LENGTH = 100
 WINDOW = 64
 GRAM = LENGTH - WINDOW + 1
 #: Bytes of documents looked at together, of strings refined together, of pieces in one construction.
-BLOCK, BATCH, CONSTRUCT = 1 << 18, 4 << 20, 1 << 20
+BLOCK, BATCH, CONSTRUCT = 1 << 16, 4 << 20, 1 << 20
+#: Blocks whose picks are returned together.
+TOGETHER = 16
 #: Windows in a piece; a power of two.
 PIECE = 4
 #: Different surroundings of one gram that go to one construction.
@@ -154,6 +156,12 @@ def _blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
+def _groups(texts: list[bytes]) -> Iterator[list[tuple[int, int]]]:
+    blocks = list(_blocks(texts))
+    for k in range(0, len(blocks), TOGETHER):
+        yield blocks[k : k + TOGETHER]
+
+
 def find_picks(docs: DataFrame) -> DataFrame:
     """docs (id, tie, text) to id, tie, start, shape, h, around."""
 
@@ -162,10 +170,12 @@ def find_picks(docs: DataFrame) -> DataFrame:
         for b in batches:
             texts = [(t or "").encode() for t in b["text"]]
             ids, ties = b["id"].to_numpy(), b["tie"].to_numpy()
-            for lo, hi in _blocks(texts):
+            for several in _groups(texts):
                 with np.errstate(over="ignore"):
-                    text, start, shape, h, around = picks(texts[lo:hi], hasher)
-                yield pd.DataFrame({"id": ids[lo + text], "tie": ties[lo + text], "start": start, "shape": shape.astype(np.int32), "h": h.view(np.int64), "around": around.view(np.int64)})
+                    found = [picks(texts[lo:hi], hasher) for lo, hi in several]
+                text = np.concatenate([lo + f[0] for (lo, _), f in zip(several, found, strict=True)])
+                start, shape, h, around = (np.concatenate(x) for x in list(zip(*found, strict=True))[1:])
+                yield pd.DataFrame({"id": ids[text], "tie": ties[text], "start": start, "shape": shape.astype(np.int32), "h": h.view(np.int64), "around": around.view(np.int64)})
 
     return docs.mapInPandas(run, "id long, tie long, start long, shape int, h long, around long")
 
@@ -177,12 +187,11 @@ def often_picked(docs: DataFrame) -> DataFrame:
         hasher = _Hasher(BLOCK + (1 << 18))
         for b in batches:
             texts = [(t or "").encode() for t in b["text"]]
-            for lo, hi in _blocks(texts):
+            for several in _groups(texts):
                 with np.errstate(over="ignore"):
-                    _, _, h, _, at = _winnowed(texts[lo:hi], hasher)
-                if len(at):
-                    h, n = np.unique(h[at].view(np.int64), return_counts=True)
-                    yield pd.DataFrame({"h": h, "n": n.astype(np.int64)})
+                    found = [_winnowed(texts[lo:hi], hasher) for lo, hi in several]
+                h, n = np.unique(np.concatenate([f[2][f[4]] for f in found]).view(np.int64), return_counts=True)
+                yield pd.DataFrame({"h": h, "n": n.astype(np.int64)})
 
     return docs.select("text").mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
 
