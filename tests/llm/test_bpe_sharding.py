@@ -100,3 +100,21 @@ def test_bpe_query_digests(spark):
     for r in queries.op5_bpe(spark, "/root/testdata/sf0.001").collect():
         ids = enc.encode_ordinary(docs[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids)).encode()), sha(docs[r.doc_id].encode()))
+
+
+def test_plain_pattern_finds_the_same_words():
+    import random
+
+    import public_tokenizers
+    import regex
+
+    from tramline.llm import bpe
+
+    plain = bpe.plain_pattern(public_tokenizers.PATTERN)
+    points = [chr(c) for c in [*range(0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F)]]
+    draw = random.Random(3)
+    for _ in range(300):
+        text = "".join(draw.choice(points) + draw.choice(["", "", " ", "a", "1", "'s", "\n", "  "]) for _ in range(300))
+        assert bpe.OTHER.search(text) is None
+        assert bpe.re.findall(plain, text) == regex.findall(public_tokenizers.PATTERN, text)
+    assert bpe.plain_pattern(r"\w+") is None

@@ -16,6 +16,7 @@ are encoded on the spot, so the result never depends on it.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,25 @@ from tramline.llm.shared import filesystem, work_path
 BATCHES = 1 << 20
 
 
+#: The letters, numbers and blanks below U+0250; U+2010 to U+205E has none but for what ``OTHER`` finds.
+LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+SPACES = " \t-\r\x85\xa0"
+OTHER = re.compile("[^\x00-\u024f\u2010-\u2027\u2030-\u205e]")
+
+
+def plain_pattern(pattern: str) -> str | None:
+    """The pattern with its classes written out, the same for texts without ``OTHER``; None if it has other escapes."""
+    classes = {r"\p{L}": LETTERS, r"\p{N}": NUMBERS, r"\s": SPACES}
+    out = []
+    for k, part in enumerate(re.split(r"(\[[^\]]*\])", pattern)):
+        for name, body in classes.items():
+            part = part.replace(name, body if k % 2 else f"[{body}]")
+        out.append(part if k % 2 else part.replace(r"\S", f"[^{SPACES}]"))
+    plain = "".join(out)
+    return None if "\\" in plain else plain
+
+
 class Vocabulary:
     """The ranks of a vocabulary file and the pattern that goes with it; both are parameters."""
 
@@ -40,14 +60,20 @@ class Vocabulary:
         self.path, self.pattern = path, pattern
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self._regex = None
+        self._find = None
 
     def __getstate__(self) -> dict:
-        return {"path": self.path, "pattern": self.pattern, "ranks": self.ranks, "_regex": None}
+        return {"path": self.path, "pattern": self.pattern, "ranks": self.ranks, "_find": None}
 
     def words(self, text: str | None) -> list[str]:
-        self._regex = self._regex or regex.compile(self.pattern)
-        return self._regex.findall(text or "")
+        """The pre-tokens of a text; those of mostly Latin letters are found by a plainer, faster pattern."""
+        if self._find is None:
+            plain = plain_pattern(self.pattern)
+            self._find = regex.compile(self.pattern).findall, re.compile(plain).findall if plain else None
+        every, plain = self._find
+        if not text:
+            return []
+        return plain(text) if plain and OTHER.search(text) is None else every(text)
 
     def encode_word(self, word: bytes) -> list[int]:
         """Merge the adjacent pair of least rank, leftmost first, until none is left."""
