@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tramline.functions import geo, text
 from tramline.operators import catalog, gps, ingest, trains
 
-LINE = F.array(*(F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0))))
+
+def _line():
+    return F.array(*(F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0))))
 
 
 def _value(spark, column):
@@ -29,11 +31,11 @@ def test_distances_and_bearings(spark):
 
 
 def test_linear_referencing(spark):
-    assert _value(spark, geo.locate(LINE, *_lit(1.2, 0.5))) == pytest.approx(0.75)
-    assert _value(spark, geo.locate(LINE, *_lit(0.5, 0.3))) == pytest.approx(0.25)
-    p = _value(spark, geo.interpolate(LINE, F.lit(0.75)))
+    assert _value(spark, geo.locate(_line(), *_lit(1.2, 0.5))) == pytest.approx(0.75)
+    assert _value(spark, geo.locate(_line(), *_lit(0.5, 0.3))) == pytest.approx(0.25)
+    p = _value(spark, geo.interpolate(_line(), F.lit(0.75)))
     assert (p.lon, p.lat) == pytest.approx((1, 0.5))
-    p = _value(spark, geo.nearest(LINE, *_lit(0.5, 0.3)))
+    p = _value(spark, geo.nearest(_line(), *_lit(0.5, 0.3)))
     assert (p.lon, p.lat, p.distance) == pytest.approx((0.5, 0, 0.3))
     assert _value(spark, geo.perpendicular(*_lit(1, 1, 1, 1, 2, 2))) == 0
 
