@@ -15,7 +15,7 @@ document.  So the collection is first cut down, without loss, to strings of at m
 2. Picks whose gram occurs once in the corpus are dropped.  Of equal surroundings the earliest
    stays, and the others are repeats as a whole.
 3. Grams left with different surroundings are gathered gram by gram and refined: surroundings are
-   cut into pieces of 100 to 103 bytes about a common core, pieces alone with their core go, and
+   cut into pieces of 100 to 101 bytes about a common core, pieces alone with their core go, and
    of equal pieces the earliest stays.
 4. Pieces that differ about one core go through the construction above, which finds the 100-byte
    strings that some of them share.
@@ -48,7 +48,7 @@ BLOCK, BATCH, CONSTRUCT = 1 << 16, 4 << 20, 1 << 20
 #: Blocks whose picks are returned together.
 TOGETHER = 16
 #: Windows in a piece; a power of two.
-PIECE = 4
+PIECE = 2
 #: Different surroundings of one gram that go to one construction.
 MOST = 50_000
 
@@ -365,7 +365,7 @@ def _strings(picked: DataFrame, docs: DataFrame) -> DataFrame:
 def _refined(bodies: list[bytes], pick: np.ndarray, where: np.ndarray, hasher: _Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """What is left of the strings once cheap cases are decided.
 
-    The starts around a pick fall into runs of ``PIECE``; all windows of a run hold the same 97
+    The starts around a pick fall into runs of ``PIECE``; all windows of a run hold the same 99
     bytes, its core.  Pieces (a run's windows of a string) whose core no other string has share
     nothing; of equal pieces the earliest stays and the others repeat as a whole.  Returns
     the pieces that repeat (string, first start, last start) and, to be constructed, groups of
