@@ -211,7 +211,14 @@ class _RangeMin:
             w *= 2
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """min of x[a..b], both ends included."""
+        """min of x[a..b], both ends included; most ranges are one entry."""
+        out = self.x[a]
+        wide = np.flatnonzero(b > a)
+        if len(wide):
+            out[wide] = self._wide(a[wide], b[wide])
+        return out
+
+    def _wide(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.empty(len(a), np.uint8)
         lane = np.arange(16)
         for s in range(0, len(a), 1 << 16):
@@ -255,13 +262,15 @@ def collection_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
         return np.where(lens[who] > j, raw[np.maximum(ends[who] - j - 1, 0)], 0).astype(raw.dtype)
 
     bwt = before(alive, 0)
-    string, size, lcp = np.arange(m, dtype=np.int32), np.zeros(m, np.int32), np.zeros(m, np.uint8)
-    j = 0
+    made, lcp = np.arange(m, dtype=np.int32), np.zeros(m, np.uint8)  # suffixes by number, in order of insertion
+    rounds = [alive]
+    upto, j = m, 0
     while True:
         live = lens[alive] > j
         alive, place = alive[live], place[live]
         if not len(alive):
-            return string, size, lcp
+            size = np.repeat(np.arange(len(rounds), dtype=np.int32), [len(x) for x in rounds])
+            return np.concatenate(rounds).astype(np.int32)[made], size[made], lcp
         # last-to-first: the k-th of order stands at place m + k of the next arrays
         counts = np.bincount(bwt, minlength=len(used) + 1)
         order = np.argsort(bwt, kind="stable")[counts[0] :]
@@ -293,7 +302,9 @@ def collection_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
             out[final] = new
             return out
 
-        bwt, string, size, lcp = grown(bwt, before(alive, j)), grown(string, alive), grown(size, np.int32(j)), grown(lcp, own)
+        bwt, made, lcp = grown(bwt, before(alive, j)), grown(made, upto + np.arange(len(alive), dtype=np.int32)), grown(lcp, own)
+        rounds.append(alive)
+        upto += len(alive)
         follow = final + 1 < total
         at = final[follow] + 1
         old = is_old[at]
