@@ -483,7 +483,8 @@ def _by_windows(strings: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, most: int = MOST) -> DataFrame:
     """docs (id, tie, text) to id, tie, start, end: byte ranges that together are what to remove."""
     long = docs.filter(F.octet_length("text") >= LENGTH)
-    again = written(find_picks(long).join(often_picked(long), "h"), "picks")
+    often = written(often_picked(long), "often")  # so that the join's own exchange can split a gram that is everywhere
+    again = written(find_picks(long).join(often, "h"), "picks")
     at = F.struct("id", "tie", "start")
     firsts = again.groupBy("h", "around").agg(F.min(at).alias("first"), F.min("shape").alias("shape"), F.count("*").alias("n"))
     firsts = written(firsts, "firsts")
