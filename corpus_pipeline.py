@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import bpe, decontaminate, quality_rules, queries, simhash, suffix_dedup
+from tramline.llm import bpe, decontaminate, near_copies, quality_rules, queries, suffix_dedup
 from tramline.llm.shared import shared_dir, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,8 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id."""
-    return simhash.keep_first(docs.select(*COLUMNS))
+    """One document of each group of near copies (five-word shingles, Jaccard >= 4/5) stays: the one with the smallest id."""
+    return near_copies.keep_first(docs.select(*COLUMNS))
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,6 +45,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` written with ``__row``, a number for each row that stays the same."""
+    return written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
+def one_of_each(rows: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
+    """Of ``numbered`` rows those with the least (id, number) of each root (row, root); null ids come last."""
+    ids = rows.select(F.col("__row").alias("row"), F.col(id_col).alias("id"))
+    least = roots.join(ids, "row").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least"))
+    return rows.join(least.select(F.col("least.row").alias("__row")), "__row", "left_semi").drop("__row")
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI and the path in it; works in tasks as well as on the driver."""
     return pafs.FileSystem.from_uri(uri)

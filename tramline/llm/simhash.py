@@ -172,6 +172,8 @@ def trie_links(fps: np.ndarray, bounds: np.ndarray, budget: int = BUDGET) -> np.
 
 def link_fingerprints(fps: DataFrame, budget: int = BUDGET, most: int = BUCKET) -> DataFrame:
     """u, v: fingerprints that link, as spanning forests of the buckets; at most three rows each."""
+    if budget > BUDGET:
+        raise ValueError(f"three blocks find all pairs of up to {BUDGET} differing bits, not budget {budget}")
     placed = buckets(fps.select("fp").distinct(), most)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
