@@ -97,3 +97,15 @@ def test_keep_first_and_empty(spark):
     assert sh.group(df.limit(0)).count() == 0
     again = sh.keep_first(df.unionByName(df))
     assert sorted(r.doc_id for r in again.collect()) == sorted(groups)
+
+
+def test_keep_first_keeps_one_row_of_each_group(spark):
+    r = random.Random(3)
+    prose = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+    a, b, c, d, e = (prose() for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (3, e), (None, e), (5, c)]
+    kept = sh.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=str) == sorted([(None, a), (None, b), (5, c), (7, d), (3, e)], key=str)
+    df = data.frame(spark, 2, awkward=True)
+    fps = brute_components([brute_fingerprint(x.text) for x in df.collect()])
+    assert sh.keep_first(df).count() == len(set(fps))

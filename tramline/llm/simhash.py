@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramline.llm.components import components
-from tramline.llm.shared import written
+from tramline.llm.shared import numbered, one_of_each, written
 
 BUDGET = 2
 SHINGLE = 3
@@ -217,11 +217,7 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budge
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
-    """The rows of ``docs`` whose id is their group's smallest, so that one document of each group stays.
-
-    Of rows that repeat that id one stays; rows without an id stay only where their whole group has none.
-    """
-    grouped = group(docs, id_col, text_col, budget)
-    first = grouped.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__keep")).agg(F.count("*").alias("n"))
-    kept = docs.join(first.select("__keep"), F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
-    return kept if first.filter("n > 1").isEmpty() else kept.dropDuplicates([id_col])
+    """One row of each group: that with the smallest id, of those the first; rows without an id come last."""
+    rows = numbered(docs)
+    roots = group(rows.select("__row", text_col), "__row", text_col, budget).select(F.col("__row").alias("row"), F.col("component_id").alias("root"))
+    return one_of_each(rows, roots, id_col)
