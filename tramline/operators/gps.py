@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,18 +143,25 @@ def route_state(rows: DataFrame, gain: float = 30.0, jump: float = 100.0, misses
     (distance to the route held so far, null if unknown); itinerary_id is null where nothing
     matched.  The same route is accepted; another one takes over only for a clear gain; a blocked
     change keeps the old route with the new fraction; a vehicle without match keeps its route for
-    fewer than ``misses`` pings.  A fold over a vehicle's own pings, so one Arrow group each.
+    fewer than ``misses`` pings.  A fold over a vehicle's own pings in order; between Arrow batches
+    only its last state is held.
     """
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        state = (None, None, 0)
-        for r in g.sort_values(["ts", "event_id"]).itertuples(index=False):
-            state, row = route_step(state, r, gain, jump, misses, least_speed)
-            out.append((r.vehicle_id, r.event_id, *row))
-        return pd.DataFrame(out, columns=["vehicle_id", "event_id", "route", "at", "status"]).astype({"route": "Int64"})
-
-    return rows.groupBy("vehicle_id").applyInPandas(fold, STATE)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, (None, None, 0)
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                if r.key != last:
+                    last, state = r.key, (None, None, 0)
+                state, row = route_step(state, r, gain, jump, misses, least_speed)
+                out.append((int(r.key) if r.key else None, r.event_id, *row))
+            done = pd.DataFrame(out, columns=["vehicle_id", "event_id", "route", "at", "status"])
+            yield done.astype({"vehicle_id": "Int64", "route": "Int64"})
+
+    keyed = rows.withColumn("key", F.coalesce(F.col("vehicle_id").cast("string"), F.lit("")))
+    in_order = keyed.repartition("key").sortWithinPartitions("key", F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
+    return in_order.mapInPandas(fold, STATE)
 
 
 def route_step(state: tuple, r, gain: float, jump: float, misses: int, least_speed: float) -> tuple[tuple, tuple]:

@@ -1,4 +1,4 @@
-"""The live path: one streaming query from raw pings to snapshots and passages."""
+"""The live path: streaming queries over pings (de-duplication, windows, sessions, route state, snapshots)."""
 
 from __future__ import annotations
 
