@@ -2,7 +2,7 @@ import random
 
 import corpus_pipeline
 from tests.llm import data
-from tramline.llm import near_copies, simhash
+from tramline.llm import near_copies
 
 
 def brute_groups(texts):
@@ -63,8 +63,50 @@ def test_order_of_shingles_and_blocks_change_nothing(spark, monkeypatch):
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == brute_kept(rows)
 
 
-def test_a_budget_beyond_the_blocks_is_an_error(spark):
-    import pytest
+def test_large_groups_make_no_pairs_of_all_rows(spark):
+    """Chains and a large group of near copies: every link is kept, pairs stay far below the square."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(120)]
+    texts = []
+    for _ in range(300):
+        w = list(base)
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = word()
+        texts.append(" ".join(w))
+    chain = [word() for _ in range(100)]
+    for k in range(40):
+        chain = chain[3:] + [word(), word(), word()]
+        texts.append(" ".join(chain))
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, data.SCHEMA)
+    docs = df.selectExpr("doc_id AS row", "text")
+    firsts = near_copies.written(near_copies.prefixes(docs, near_copies.frequent(docs)), "t")
+    buckets = near_copies.bucket_rows(firsts).join(firsts.select("row", "n", *near_copies.PARITY), "row")
+    assert near_copies.pivot_pairs(buckets).distinct().count() < 340 * 20
+    root = {x.row: x.root for x in near_copies.group(docs).collect()}
+    want = brute_groups(texts)
+    first = {}
+    assert all(first.setdefault(w, root[k]) == root[k] for k, w in enumerate(want))
+    assert len(set(root.values())) == len(set(want))
 
-    with pytest.raises(ValueError, match="budget"):
-        simhash.link_fingerprints(spark.createDataFrame([(1,)], "fp long"), budget=3)
+
+def test_split_buckets_lose_no_pair(spark, monkeypatch):
+    rows = near_rows(7)
+    df = spark.createDataFrame(rows, data.SCHEMA)
+    docs = df.selectExpr("doc_id AS row", "text")
+    reps = near_copies.written(near_copies.prefixes(docs, near_copies.frequent(docs)), "t")
+    buckets = near_copies.bucket_rows(reps).join(reps.select("row", "n", *near_copies.PARITY), "row")
+    nothing = spark.createDataFrame([], "row long, root long")
+    pairs = lambda most: {(min(x), max(x)) for x in near_copies.other_pairs(buckets, nothing, most).collect()}
+    assert pairs(2) == pairs(100_000) != set()
+    monkeypatch.setattr(near_copies, "BUCKET", 2)
+    assert sorted(((r.doc_id, r.text) for r in near_copies.keep_first(df).collect()), key=str) == brute_kept(rows)
+
+
+def test_awkward_rows(spark):
+    df = data.frame(spark, 5, 30, awkward=True)
+    kept = near_copies.keep_first(df)
+    assert kept.columns == df.columns
+    own = [(r.doc_id, r.text) for r in df.collect()]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == brute_kept(own)

@@ -74,6 +74,20 @@ def test_links_over_buckets(spark):
         assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values())), most
 
 
+def test_other_budgets(spark):
+    fps = clustered(4, 300)
+    df = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in fps], "fp long")
+    for budget in (0, 1, 3, 5):
+        want = brute_components(fps, budget)
+        root = {r.node: r.root for r in sh.components(sh.link_fingerprints(df, budget)).collect()}
+        signed = [int(np.uint64(x).astype(np.int64)) for x in fps]
+        mine, theirs = {}, {}
+        for k, x in enumerate(signed):
+            mine.setdefault(root.get(x, x), set()).add(k)
+            theirs.setdefault(want[k], set()).add(k)
+        assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values())), budget
+
+
 def test_group_as_brute_force(spark):
     df = data.frame(spark, 2, awkward=True)
     own = [(r.doc_id, r.text) for r in df.collect()]

@@ -1,14 +1,26 @@
-"""Near copies by exact similarity: texts whose sets of five-word shingles have Jaccard >= 4/5.
+"""Near copies: SimHash links first, then every other link, all confirmed by exact similarity.
 
-Fingerprints of a few differing bits miss most such pairs, so no fingerprint decides here.  All
-shingles have one order, the frequent ones last.  Two sets that reach the similarity share one of
-the first n - ceil(4n/5) + 1 of each (prefix filter), so only texts that share one of those are
-paired.  A pair goes if the sizes, or the parities of the shingles in 256 cells, already show more
-differences than (n + m) / 9; the others are decided by their whole sets.  Nothing is lost: order
-and parities only spare work.
+Texts are alike where their sets of five-word shingles have Jaccard >= 4/5.  Links are found in
+steps, and only confirmed ones count:
+
+1. The trie self-join of 64-bit SimHashes over the same shingles (``simhash``) proposes the
+   closest pairs as spanning forests, and each bucket of a shared shingle proposes its members
+   with its first row: as many pairs as rows, however large a group of copies is.
+2. SimHash misses most pairs near the similarity (they differ in 4 to 11 bits), so in buckets whose
+   rows are still in different components each row of the smaller ones is paired with the nearest
+   row outside its own, which again is linear, and then, once more in what is still apart, with all
+   of them.  Rows that links already join are never paired again, so no group makes all pairs.
+
+Nothing is lost: all shingles have one order, the frequent ones last, and two sets that reach the
+similarity share one of the first n - ceil(4n/5) + 1 of each (prefix filter); such a pair is in
+one bucket, and is either joined by links or tested there.  A pair goes untested only if the
+sizes, or the parities of the shingles in 256 cells, already show more differences than
+(n + m) / 9; the others are decided by their whole sets.
 
 Words are parted and lowered as in ``simhash``; a text of fewer words is one shingle, and all
 texts without words are alike.  Equal sets are paired once for all.  A shingle is its XXH64.
+Null texts are texts without words.  Rows that repeat an id are told apart by a stored number.
+An empty table gives an empty one; other columns are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,12 +30,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramline.llm.components import components
 from tramline.llm.shared import numbered, one_of_each, written
-from tramline.llm.simhash import LOWER
+from tramline.llm.simhash import LOWER, link_fingerprints, majority
 
 SHINGLE = 5
 #: Frequent shingles that are put last; any number gives the same pairs.
@@ -32,14 +44,22 @@ LAST = 100_000
 AT_ONCE, SETS = 1_000_000, 5_000
 #: Least number of parts of the rows; pairs of parts are decided together.
 PARTS = 8
+#: Rows of a bucket that are looked at in one task; larger buckets are split.
+BUCKET = 20_000
+PARITY = ("p0", "p1", "p2", "p3")
 
 
-def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """The distinct hashes of a text's word shingles, sorted."""
+def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 (seed 42) of a text's word shingles, repeats included."""
     w = (text or "").encode().translate(LOWER).split()
     digest = xxhash.xxh64_intdigest
     joined = [b" ".join(w)] if len(w) < shingle else map(b" ".join, zip(*(w[i:] for i in range(shingle)), strict=False))
-    return np.unique(np.fromiter((digest(x, 42) for x in joined), np.uint64))
+    return np.fromiter((digest(x, 42) for x in joined), np.uint64)
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, sorted."""
+    return np.unique(hashes(text, shingle))
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -62,7 +82,7 @@ def frequent(docs: DataFrame, most: int = LAST) -> pd.DataFrame:
 
 
 def prefixes(docs: DataFrame, often: pd.DataFrame) -> DataFrame:
-    """row, same (one value for equal sets), n, parity (four longs), first (the shingles that a partner may share)."""
+    """row, same (one value for equal sets), fp (SimHash), n, parity (p0 to p3), first (the shingles that a partner may share)."""
     h = often["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     shared = docs.sparkSession.sparkContext.broadcast((h[order], np.log2(np.maximum(often["n"].to_numpy(np.float64), 1))[order].astype(np.int8) + 1))
@@ -72,60 +92,121 @@ def prefixes(docs: DataFrame, often: pd.DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for row, text in zip(b["row"], b["text"], strict=True):
-                s = shingles(text)
+                every = hashes(text)
+                s = np.unique(every)
                 rare = np.zeros(len(s), np.int8)
                 if len(last):
                     at = np.minimum(np.searchsorted(last, s), len(last) - 1)
                     rare = np.where(last[at] == s, rank[at], 0)
                 n = len(s)
                 first = s[np.lexsort((s, rare))][: n - -(-4 * n // 5) + 1]
-                odd = np.packbits((np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8))
-                out.append((row, xxhash.xxh3_128_hexdigest(s.tobytes()), n, odd.view(np.int64), first.view(np.int64)))
-            yield pd.DataFrame(out, columns=["row", "same", "n", "parity", "first"])
-
-    return docs.select("row", "text").mapInPandas(run, "row long, same string, n long, parity array<long>, first array<long>")
-
-
-def _pairs(rows: np.ndarray, n: np.ndarray, odd: np.ndarray) -> Iterator[np.ndarray]:
-    """Places i < j of one bucket whose sizes and parities allow the similarity."""
-    m, step = len(rows), max(1, AT_ONCE // len(rows))
-    for a in range(0, m - 1, step):
-        i = np.arange(a, min(a + step, m))[:, None]
-        j = np.arange(a, m)[None, :]
-        ok = (i < j) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
-        i, j = np.nonzero(ok)
-        i, j = i + a, j + a
-        apart = np.bitwise_count(odd[i] ^ odd[j]).sum(1, dtype=np.int64)
-        yield np.stack([i, j], 1)[9 * apart <= n[i] + n[j]]
-
-
-def candidates(firsts: DataFrame) -> DataFrame:
-    """u < v: rows that share one of their first shingles and may be alike."""
-    each = firsts.select("row", F.explode("first").alias("h"))
-    shared = each.join(each.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h"), "h")
-    rows = shared.join(firsts.select("row", "n", "parity"), "row")
+                odd = np.packbits((np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
+                fp = int(np.uint64(majority(every)).astype(np.int64))
+                out.append((row, xxhash.xxh3_128_hexdigest(s.tobytes()), fp, n, *odd.tolist(), first.view(np.int64)))
+            yield pd.DataFrame(out, columns=["row", "same", "fp", "n", *PARITY, "first"])
+
+    kinds = ", ".join(f"{p} long" for p in PARITY)
+    return docs.select("row", "text").mapInPandas(run, f"row long, same string, fp long, n long, {kinds}, first array<long>")
+
+
+def may_be_alike(a: str, b: str) -> Column:
+    """Whether sizes and parities of the structs ``a`` and ``b`` allow the similarity."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    apart = sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in PARITY), F.lit(0))
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * apart <= n + m)
+
+
+def simhash_pairs(reps: DataFrame) -> DataFrame:
+    """u, v: rows of one fingerprint with its first row, and the first rows of fingerprints that the trie links."""
+    least = written(reps.groupBy("fp").agg(F.min("row").alias("row"), F.count("*").alias("n")), "first-of-fingerprint")
+    same = reps.select("fp", F.col("row").alias("u")).join(least.filter("n > 1").select("fp", F.col("row").alias("v")), "fp").select("u", "v")
+    first = lambda c: least.select(F.col("fp").alias(c), F.col("row").alias(f"row_{c}"))
+    linked = link_fingerprints(least.select("fp")).join(first("u"), "u").join(first("v"), "v")
+    return same.unionByName(linked.select(F.col("row_u").alias("u"), F.col("row_v").alias("v"))).filter("u <> v")
+
+
+def bucket_rows(reps: DataFrame) -> DataFrame:
+    """h, row: the first shingles that two rows or more share, and who has them."""
+    each = reps.select("row", F.explode("first").alias("h"))
+    return each.join(each.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h"), "h")
+
+
+def pivot_pairs(buckets: DataFrame) -> DataFrame:
+    """u < v: every row of a bucket with the bucket's first row, where they may be alike."""
+    sketch = F.struct("row", "n", *PARITY)
+    pivots = buckets.groupBy("h").agg(F.min(sketch).alias("a"))
+    both = buckets.select("h", sketch.alias("b")).join(pivots, "h").filter("a.row < b.row").filter(may_be_alike("a", "b"))
+    return both.select(F.col("a.row").alias("u"), F.col("b.row").alias("v"))
+
+
+def _across(edge: np.ndarray, n: np.ndarray, odd: np.ndarray, group: np.ndarray, minor: np.ndarray, first_part: np.ndarray, nearest: bool) -> Iterator[np.ndarray]:
+    """Places (i, j) in one bucket (``edge``: where buckets begin), of different groups, i minor, whose sizes and
+    parities allow the similarity; two minors once, in the bucket's first part.  ``nearest`` keeps for each i the j
+    with the fewest differences for its size."""
+    size = np.diff(edge)
+    begin, wide = np.repeat(edge[:-1], size), np.repeat(size, size)
+    who = np.flatnonzero(minor & (wide > 1))
+    ends = np.cumsum(wide[who])
+    at = 0
+    while at < len(who):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+        own = who[at:upto]
+        x = np.repeat(own, wide[own])
+        y = np.repeat(begin[own], wide[own]) + np.arange(len(x)) - np.repeat(np.cumsum(wide[own]) - wide[own], wide[own])
+        both = minor[y] & ((nearest & (x != y)) | (x < y)) & first_part[x]
+        ok = (group[x] != group[y]) & (~minor[y] | both) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
+        x, y = x[ok], y[ok]
+        apart = np.bitwise_count(odd[x] ^ odd[y]).sum(1, dtype=np.int64)
+        ok = 9 * apart <= n[x] + n[y]
+        x, y = x[ok], y[ok]
+        if nearest and len(x):
+            o = np.lexsort((apart[ok] / (n[x] + n[y]), x))
+            x, y = x[o], y[o]
+            new = np.concatenate([[True], x[1:] != x[:-1]])
+            x, y = x[new], y[new]
+        yield np.stack([x, y], 1)
+        at = upto
+
+
+def other_pairs(buckets: DataFrame, roots: DataFrame, most: int | None = None, nearest: bool = False) -> DataFrame:
+    """u, v: rows of one bucket that may be alike and that no links join yet; with ``nearest`` at most one for each row of a part.
+
+    A bucket's largest component is dealt over parts of about ``most`` rows, by hash; the rows of
+    its smaller ones go to every part.
+    """
+    most = most or BUCKET
+    placed = written(buckets.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "bucket-roots")
+    sizes = placed.groupBy("h", "root").agg(F.count("*").alias("k"))
+    mixed = sizes.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("k").alias("m"), F.max(F.struct("k", "root")).alias("major")).filter("kinds > 1")
+    mixed = mixed.select("h", F.ceil(F.col("m") / most).cast("int").alias("parts"), F.col("major.root").alias("major"))
+    own = placed.join(mixed, "h").withColumn("minor", F.col("root") != F.col("major"))
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    rows = own.select("h", "row", "n", *PARITY, "root", "minor", F.explode(F.when(F.col("minor"), every).otherwise(F.array(F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")))).alias("part"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
 
         def pairs(b: pd.DataFrame) -> pd.DataFrame:
-            h, row, n = (b[c].to_numpy(np.int64) for c in ("h", "row", "n"))
-            odd = np.stack(b["parity"].to_numpy()).astype(np.int64).view(np.uint64)
-            edge = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
-            found = [row[a + p] for a, z in zip(edge[:-1], edge[1:], strict=True) if z - a > 1 for p in _pairs(row[a:z], n[a:z], odd[a:z])]
-            uv = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+            h, part, row, n, root = (b[c].to_numpy(np.int64) for c in ("h", "part", "row", "n", "root"))
+            minor = b["minor"].to_numpy(bool)
+            odd = b[list(PARITY)].to_numpy(np.int64).view(np.uint64)
+            edge = np.concatenate([[0], np.flatnonzero((h[1:] != h[:-1]) | (part[1:] != part[:-1])) + 1, [len(h)]])
+            found = [row[p] for p in _across(edge, n, odd, root, minor, part == 0, nearest)]
+            uv = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.empty((0, 2), np.int64)
             return pd.DataFrame({"u": uv[:, 0], "v": uv[:, 1]})
 
         for b in batches:
             held = b if held is None else pd.concat([held, b], ignore_index=True)
-            open_ = held["h"].to_numpy() == held["h"].to_numpy()[-1] if len(held) else np.zeros(0, bool)
-            if not open_.all():
-                yield pairs(held[~open_])
-                held = held[open_].reset_index(drop=True)
+            if len(held):
+                h, part = held["h"].to_numpy(), held["part"].to_numpy()
+                open_ = (h == h[-1]) & (part == part[-1])
+                if not open_.all():
+                    yield pairs(held[~open_])
+                    held = held[open_].reset_index(drop=True)
         if held is not None and len(held):
             yield pairs(held)
 
-    return rows.repartition("h").sortWithinPartitions("h", "row").mapInPandas(run, "u long, v long").distinct()
+    return rows.repartition("h", "part").sortWithinPartitions("h", "part", "row").mapInPandas(run, "u long, v long")
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -154,10 +235,20 @@ def group(docs: DataFrame) -> DataFrame:
     """docs (row, text) to row, root: one value for all rows that similar pairs join."""
     firsts = written(prefixes(docs, frequent(docs)), "prefixes")
     same = firsts.groupBy("same").agg(F.min("row").alias("row"))
-    pairs = written(candidates(firsts.join(same.select("row"), "row", "left_semi")), "near-pairs")
-    roots = components(confirmed(docs, pairs)).select(F.col("node").alias("least"), "root")
+    reps = written(firsts.join(same.select("row"), "row", "left_semi"), "distinct-sets")
+    buckets = written(bucket_rows(reps).join(reps.select("row", "n", *PARITY), "row"), "buckets")
+    ordered = lambda p: p.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pairs, joined = simhash_pairs(reps).unionByName(pivot_pairs(buckets)), None
+    for step in ("proposed", "nearest", "others"):
+        if joined is not None:
+            pairs = other_pairs(buckets, joined.select(F.col("node").alias("row"), "root"), nearest=step == "nearest")
+        links = confirmed(docs, written(ordered(pairs), f"{step}-pairs"))
+        if joined is not None:
+            links = links.unionByName(joined.select(F.col("node").alias("u"), F.col("root").alias("v")))
+        joined = written(components(links), "joined")
+    done = joined.select(F.col("node").alias("least"), "root")
     rows = firsts.select("row", "same").join(same.withColumnRenamed("row", "least"), "same")
-    return rows.join(roots, "least", "left").select("row", F.coalesce("root", "least").alias("root"))
+    return rows.join(done, "least", "left").select("row", F.coalesce("root", "least").alias("root"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

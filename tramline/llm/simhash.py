@@ -1,11 +1,11 @@
 """SimHash near-duplicates: a binary-trie self-join of the distinct fingerprints.
 
-Two fingerprints at Hamming distance <= 2 agree on one of three blocks of their bits.  So each
-goes to three buckets, one for each block's value, and every bucket holds the trie of its
-fingerprints.  The self-join walks pairs of trie nodes together, adds up the bits in which the
+Two fingerprints at Hamming distance <= b agree on one of b + 1 blocks of their bits (b is 2 where
+nothing else is asked for).  So each goes to b + 1 buckets, one for each block's value, and every
+bucket holds the trie of its fingerprints.  The self-join walks pairs of trie nodes together, adds up the bits in which the
 paths differ, and drops a pair as soon as the sum exceeds the budget.  A bucket with too many
 distinct fingerprints is split by the same argument over the bits that are left, twice at most;
-after that its size is bounded by the bits (2^19).  A bucket returns a spanning forest of its
+after that its size is bounded by the bits left.  A bucket returns a spanning forest of its
 links; forests join into components.
 
 Only distinct fingerprints are joined, so copies cost nothing.  Null and word-less texts have
@@ -43,8 +43,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         return 0
     digest = xxhash.xxh64_intdigest
     joined = [b" ".join(w)] if len(w) < shingle else map(b" ".join, zip(*(w[i:] for i in range(shingle)), strict=False))
+    return majority(np.fromiter((digest(x, 42) for x in joined), np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     ones = np.zeros(64, np.int64)
-    h = np.fromiter((digest(x, 42) for x in joined), np.uint64)
     for a in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[a : a + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
@@ -62,32 +66,32 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, fp long")
 
 
-def _blocks(bits: Column, width: int) -> tuple[list[tuple[Column, Column]], int]:
-    """Three (block value, the other bits) of the lowest ``width`` bits, and how many others there are."""
-    a = -(-width // 3)
-    low, mid, top = a, -(-(width - a) // 2), width - a - -(-(width - a) // 2)
-    mask = lambda n: F.lit((1 << n) - 1)
-    lo, hi = bits.bitwiseAND(mask(low)), F.shiftrightunsigned(bits, low + mid).bitwiseAND(mask(top))
-    md = F.shiftrightunsigned(bits, low).bitwiseAND(mask(mid))
-    rest = [F.shiftrightunsigned(bits, low), F.shiftleft(hi, low).bitwiseOR(lo), bits.bitwiseAND(mask(low + mid))]
-    others = [r.bitwiseAND(mask(n)) for r, n in zip(rest, (mid + top, low + top, low + mid), strict=True)]
-    return [(lo, others[0]), (md, others[1]), (hi, others[2])], max(mid + top, low + top, low + mid)
+def _blocks(bits: Column, width: int, parts: int) -> tuple[list[tuple[Column, Column]], int]:
+    """(block value, the other bits) of the lowest ``width`` bits in ``parts`` blocks, and how many others there are at most."""
+    edges = [k * width // parts for k in range(parts + 1)]
+    mask = lambda n: F.lit(-1 if n >= 64 else (1 << n) - 1).cast("long")
+    out = []
+    for a, b in zip(edges, edges[1:], strict=False):
+        value = F.shiftrightunsigned(bits, a).bitwiseAND(mask(b - a))
+        above = F.shiftrightunsigned(bits, b).bitwiseAND(mask(width - b)) if b < width else F.lit(0).cast("long")
+        out.append((value, F.shiftleft(above, a).bitwiseOR(bits.bitwiseAND(mask(a)))))
+    return out, width - min(b - a for a, b in zip(edges, edges[1:], strict=False))
 
 
-def _spread(rows: DataFrame, width: int) -> tuple[DataFrame, int]:
-    """Three rows for each: the bucket key grows by (block, value), ``rest`` keeps the other bits."""
-    parts, left = _blocks(F.col("rest"), width)
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v"), r.alias("r")) for k, (v, r) in enumerate(parts))))
+def _spread(rows: DataFrame, width: int, parts: int) -> tuple[DataFrame, int]:
+    """``parts`` rows for each: the bucket key grows by (block, value), ``rest`` keeps the other bits."""
+    blocks, left = _blocks(F.col("rest"), width, parts)
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v"), r.alias("r")) for k, (v, r) in enumerate(blocks))))
     out = rows.select("fp", "key", each.alias("e"))
-    return out.select("fp", F.concat("key", F.array(F.col("e.k").cast("long") , F.col("e.v"))).alias("key"), F.col("e.r").alias("rest")), left
+    return out.select("fp", F.concat("key", F.array(F.col("e.k").cast("long"), F.col("e.v"))).alias("key"), F.col("e.r").alias("rest")), left
 
 
-def buckets(distinct: DataFrame, most: int = BUCKET) -> DataFrame:
+def buckets(distinct: DataFrame, budget: int = BUDGET, most: int = BUCKET) -> DataFrame:
     """fp, key: every fingerprint in its buckets; those beyond ``most`` are split by their other bits."""
     rows, width = distinct.select("fp", F.array().cast("array<long>").alias("key"), F.col("fp").alias("rest")), 64
     done = []
     for level in range(3):
-        rows, width = _spread(rows, width)
+        rows, width = _spread(rows, width, budget + 1)
         if level == 2:
             break
         full = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key"), "full-buckets")
@@ -171,10 +175,8 @@ def trie_links(fps: np.ndarray, bounds: np.ndarray, budget: int = BUDGET) -> np.
 
 
 def link_fingerprints(fps: DataFrame, budget: int = BUDGET, most: int = BUCKET) -> DataFrame:
-    """u, v: fingerprints that link, as spanning forests of the buckets; at most three rows each."""
-    if budget > BUDGET:
-        raise ValueError(f"three blocks find all pairs of up to {BUDGET} differing bits, not budget {budget}")
-    placed = buckets(fps.select("fp").distinct(), most)
+    """u, v: fingerprints that link, as spanning forests of the buckets; at most ``budget`` + 1 rows each."""
+    placed = buckets(fps.select("fp").distinct(), budget, most)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, held, count = [], [], 0
