@@ -3,6 +3,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import public_tokenizers
 import tiktoken
 
@@ -35,12 +36,32 @@ def test_long_and_odd_words(spark):
     assert got == {i: enc.encode_ordinary(w) for i, w in enumerate(words)}
 
 
-def test_other_batches_do_not_matter(spark, monkeypatch):
+def test_small_chunks_and_large_ids(spark, monkeypatch):
+    v, enc = queries.vocabulary(), library()
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 300)
+    monkeypatch.setattr(bpe, "AT_ONCE", 3)
+    rows = [((1 << 60) + 1 + i if i % 5 else None, t) for i, t in enumerate(data.texts())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    coded = bpe.encode(df, v, with_bytes=True)
+    got = sorted(((x.doc_id, list(x.ids), bytes(x.bytes)) for x in coded.collect()), key=str)
+    assert got == sorted(((i, enc.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows), key=str)
+
+
+def test_every_word_is_encoded_once_and_none_may_be_missing(spark):
+    import pytest
+
     v = queries.vocabulary()
-    df = data.frame(spark)
-    want = {r.doc_id: list(r.ids) for r in bpe.encode(df, v).collect()}
-    monkeypatch.setattr(bpe, "write_chunk_tables", lambda rows, v: "file:///tmp/no-such-folder")
-    assert {r.doc_id: list(r.ids) for r in bpe.encode(df, v).collect()} == want
+    names = spark.createDataFrame([(c, n, w) for c in (4, 9) for n, w in enumerate(["the", " cat", " the", "zzzq"])], "chunk long, no int, word string")
+    back = {}
+    for r in bpe.encoded_words(names, v).collect():
+        words = bpe._Words([(r.nos, r.sizes, r.ids)], v.kind) if len(bpe._unpacked(r.nos)) == 4 else None
+        back.setdefault(r.chunk, []).append((r.nos, r.sizes, r.ids))
+        assert words is None or words.size.tolist() == [len(v.encode_word(w)) for w in (b"the", b" cat", b" the", b"zzzq")]
+    assert sorted(back) == [4, 9]
+    whole = bpe._Words(back[4], v.kind)
+    assert whole.ids(bpe._packed(np.array([3, 0]))).tolist() == v.encode_word(b"zzzq") + v.encode_word(b"the")
+    with pytest.raises(ValueError, match="did not come back"):
+        bpe._Words([], v.kind).ids(bpe._packed(np.array([0])))
 
 
 def brute_shards(rows, n):

@@ -1,38 +1,39 @@
 """Byte-level BPE over a corpus: distinct pre-tokens are encoded once, globally.
 
-Documents are cut into pre-tokens.  Each task sends the distinct ones of its chunk of documents
-to a shuffle by word; there every word of the corpus is encoded once, and its ids go back to the
-chunks that asked.  The chunks' tables are written to the shared folder; the tasks of the second
-pass read their chunk's table and put each document's ids together by position.  What is shuffled
-is a chunk's vocabulary, not its text.  Decoding joins ids with the token-byte table, whose size
-is the vocabulary file's (50,256 rows), in the tasks.
+Documents are cut into pre-tokens once.  Every document becomes its pre-tokens' numbers by position,
+and a chunk of documents, some megabytes of them, names each of its distinct pre-tokens once; both
+are written to the shared folder.  The names are exploded to (chunk, number, word) and shuffled by
+word, so that every word of the corpus is encoded once; its ids go back to the chunks by number,
+where the documents' ids are gathered by position.  What is shuffled by word is a chunk's vocabulary,
+and a word has at most one row a chunk, so no word's rows grow faster than the chunks; they are
+streamed, never gathered.  Decoding joins ids with the token-byte table, whose size is the
+vocabulary file's (50,256 rows), in the tasks.
 
 A null text is an empty one and has no ids.  Repeated and equal rows are encoded alike; an empty
-table gives an empty one.  Columns other than the id and the text are not read.  A chunk is a
-batch of an input partition; should a second pass see other batches, words that its table lacks
-are encoded on the spot, so the result never depends on it.
+table gives an empty one.  Columns other than the id and the text are not read.  A chunk whose
+words did not all come back is an error, never a guess.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import regex
-from pyarrow import fs as pafs
-from pyarrow import parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.shared import filesystem, work_path
-
-#: Batches a partition may have; the chunk number is partition * this + batch.
-BATCHES = 1 << 20
+from tramline.llm.shared import written
 
+#: Characters of documents in one chunk, and chunks that a partition may have.
+CHUNK_CHARS, CHUNKS = 16 << 20, 1 << 24
+#: Documents returned at once.
+AT_ONCE = 500
 
 #: The letters, numbers and blanks below U+0250; U+2010 to U+205E has none but for what ``OTHER`` finds.
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
@@ -60,10 +61,11 @@ class Vocabulary:
         self.path, self.pattern = path, pattern
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        self.kind = "<u2" if max(self.ranks.values(), default=0) < 1 << 16 else "<u4"
         self._find = None
 
     def __getstate__(self) -> dict:
-        return {"path": self.path, "pattern": self.pattern, "ranks": self.ranks, "_find": None}
+        return {"path": self.path, "pattern": self.pattern, "ranks": self.ranks, "kind": self.kind, "_find": None}
 
     def words(self, text: str | None) -> list[str]:
         """The pre-tokens of a text; those of mostly Latin letters are found by a plainer, faster pattern."""
@@ -122,53 +124,101 @@ class Vocabulary:
         return table
 
 
-def _chunk(batch: int) -> int:
-    return TaskContext.get().partitionId() * BATCHES + batch
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 as four planes of bytes, which compress well."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def distinct_words(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """word, chunks: every distinct pre-token and the chunks that hold it."""
-    sent = rows.sparkSession.sparkContext.broadcast(vocabulary)
+def _unpacked(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = sent.value
-        for k, b in enumerate(batches):
-            seen: set[str] = set()
-            for t in b["text"].drop_duplicates():
-                seen.update(v.words(t))
-            words = list(seen)
-            for a in range(0, len(words), 200_000):
-                yield pd.DataFrame({"word": words[a : a + 200_000], "chunk": _chunk(k)})
 
-    return rows.select("text").mapInPandas(cut, "word string, chunk long").groupBy("word").agg(F.collect_list("chunk").alias("chunks"))
+def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The slices [start, start + size) of ``flat``, one after the other."""
+    return flat[np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)]
 
 
-def write_chunk_tables(rows: DataFrame, vocabulary: Vocabulary) -> str:
-    """Encode each distinct word once and bring its ids back to its chunks, one folder for each chunk."""
+def cut(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """rows (id, text) to chunk, id, seq (the numbers of a document's pre-tokens, by position) and, one row a chunk, words."""
     sent = rows.sparkSession.sparkContext.broadcast(vocabulary)
-    folder = work_path(rows.sparkSession, "bpe-chunks")
 
-    @F.pandas_udf("binary")
-    def ids_of(words: pd.Series) -> pd.Series:
-        v = sent.value
-        return pd.Series([np.array(v.encode_word(w.encode()), "<i4").tobytes() for w in words])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v, chunk = sent.value, TaskContext.get().partitionId() * CHUNKS
+        number: dict[str, int] = defaultdict()
+        number.default_factory = number.__len__
+        held = 0
 
-    coded = distinct_words(rows, vocabulary).select("chunks", "word", ids_of("word").alias("ids"))
-    back = coded.select(F.explode("chunks").alias("chunk"), "word", "ids")
-    back.repartition(F.col("chunk")).sortWithinPartitions("chunk").write.partitionBy("chunk").option("compression", "zstd").parquet(folder)
-    return folder
+        def names() -> pd.DataFrame:
+            return pd.DataFrame({"chunk": [chunk], "id": [None], "seq": [None], "words": [list(number)]})
 
+        for b in batches:
+            for a in range(0, len(b), AT_ONCE):
+                part, seqs, chunks = b.iloc[a : a + AT_ONCE], [], []
+                for t in part["text"]:
+                    if held and held + len(t or "") > CHUNK_CHARS:
+                        yield names()
+                        number.clear()
+                        chunk, held = chunk + 1, 0
+                    seqs.append(_packed(np.fromiter(map(number.__getitem__, v.words(t)), np.int64)))
+                    chunks.append(chunk)
+                    held += len(t or "")
+                yield pd.DataFrame({"chunk": chunks, "id": part["id"], "seq": seqs, "words": None})
+        if number:
+            yield names()
+
+    return rows.mapInPandas(run, "chunk long, id string, seq binary, words array<string>")
+
+
+def encoded_words(names: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """names (chunk, no, word) to chunk, nos, sizes, ids: every distinct word encoded once, its ids for each chunk that has it.
+
+    A row holds what one Arrow batch has for a chunk.
+    """
+    sent = names.sparkSession.sparkContext.broadcast(vocabulary)
 
-def _table(folder: str, chunk: int) -> dict[str, bytes]:
-    system, path = filesystem(f"{folder}/chunk={chunk}")
-    out: dict[str, bytes] = {}
-    if system.get_file_info(path).type == pafs.FileType.Directory:
-        for f in system.get_file_info(pafs.FileSelector(path)):
-            if f.path.endswith(".parquet"):
-                with system.open_input_file(f.path) as file:
-                    for part in pq.ParquetFile(file).iter_batches(columns=["word", "ids"]):
-                        out.update(zip(part["word"].to_pylist(), part["ids"].to_pylist(), strict=True))
-    return out
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v, last, known = sent.value, None, []
+        for b in batches:
+            if not len(b):
+                continue
+            word, chunk, no = b["word"].to_numpy(object), b["chunk"].to_numpy(np.int64), b["no"].to_numpy(np.int64)
+            new = np.concatenate([[True], word[1:] != word[:-1]])
+            coded = [known if w == last else v.encode_word(w.encode()) for w in word[new]]
+            last, known = word[-1], coded[-1]
+            length = np.fromiter(map(len, coded), np.int64, len(coded))
+            flat = np.fromiter((i for ids in coded for i in ids), v.kind, int(length.sum()))
+            run_of = np.cumsum(new) - 1
+            order = np.argsort(chunk, kind="stable")
+            size = length[run_of][order]
+            ids = _gathered(flat, (np.cumsum(length) - length)[run_of][order], size)
+            chunk, no, upto = chunk[order], no[order], np.concatenate([[0], np.cumsum(size)])
+            edge = np.concatenate([[0], np.flatnonzero(chunk[1:] != chunk[:-1]) + 1, [len(chunk)]])
+            spans = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
+            yield pd.DataFrame({"chunk": chunk[edge[:-1]], "nos": [_packed(no[a:z]) for a, z in spans], "sizes": [_packed(size[a:z]) for a, z in spans], "ids": [ids[upto[a] : upto[z]].tobytes() for a, z in spans]})
+
+    return names.repartition("word").sortWithinPartitions("word").mapInPandas(run, "chunk long, nos binary, sizes binary, ids binary")
+
+
+class _Words:
+    """The ids of a chunk's words, by number."""
+
+    def __init__(self, parts: list[tuple[bytes, bytes, bytes]], kind: str) -> None:
+        none = [np.zeros(0, np.uint32)]
+        no = np.concatenate(none + [_unpacked(n) for n, _, _ in parts]).astype(np.int64)
+        length = np.concatenate(none + [_unpacked(z) for _, z, _ in parts]).astype(np.int64)
+        self.flat = np.frombuffer(b"".join(ids for _, _, ids in parts), kind)
+        self.size, self.start = np.full(len(no), -1, np.int64), np.zeros(len(no), np.int64)
+        if len(no) and no.max() >= len(no):
+            raise ValueError("words of a chunk did not come back")
+        self.size[no], self.start[no] = length, np.cumsum(length) - length
+        if (self.size < 0).any():
+            raise ValueError("words of a chunk did not come back")
+
+    def ids(self, seq: bytes) -> np.ndarray:
+        no = _unpacked(seq)
+        if len(no) and int(no.max()) >= len(self.size):
+            raise ValueError("words of a chunk did not come back")
+        return _gathered(self.flat, self.start[no], self.size[no])
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False) -> DataFrame:
@@ -176,58 +226,68 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
 
     ``with_bytes`` decodes each row's ids in the same task, as ``decode`` would later.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(docs.dtypes)[id_col]
-    folder = write_chunk_tables(rows, vocabulary)
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))  # as text, so that nulls make no floats of ids
+    done = written(cut(rows, vocabulary), "bpe-cut", compression="zstd")
+    names = done.filter("words IS NOT NULL").select("chunk", F.posexplode("words").alias("no", "word"))
+    nothing = F.lit(None).cast("binary")
+    table = encoded_words(names, vocabulary).select("chunk", F.lit(0).alias("doc"), F.lit(None).cast("string").alias("id"), "nos", "sizes", "ids")
+    asked = done.filter("words IS NULL").select("chunk", F.lit(1).alias("doc"), "id", nothing.alias("nos"), nothing.alias("sizes"), F.col("seq").alias("ids"))
     sent = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = sent.value
-        tokens = v.token_bytes() if with_bytes else []
-        for k, b in enumerate(batches):
-            table = _table(folder, _chunk(k))
-            copies = b["text"].duplicated(keep=False).to_numpy()
-            done: dict[str | None, np.ndarray] = {}  # of texts that the batch holds more than once
-            for a in range(0, len(b), 500):
-                part, ids = b.iloc[a : a + 500], []
-                for t, again in zip(part["text"], copies[a : a + 500], strict=True):
-                    if t in done:
-                        ids.append(done[t])
-                        continue
-                    words = v.words(t)
-                    try:
-                        joined = b"".join(map(table.__getitem__, words))
-                    except KeyError:
-                        for w in words:
-                            if w not in table:
-                                table[w] = np.array(v.encode_word(w.encode()), "<i4").tobytes()
-                        joined = b"".join(map(table.__getitem__, words))
-                    ids.append(np.frombuffer(joined, "<i4"))
-                    if again:
-                        done[t] = ids[-1]
-                out = pd.DataFrame({"id": part["id"].to_numpy(), "ids": ids})
-                if with_bytes:
-                    out["bytes"] = [_joined(x, tokens) for x in ids]
-                yield out
-            del table
-
-    schema = f"id {kind}, ids array<int>" + ", bytes binary" * with_bytes
-    return rows.mapInPandas(assemble, schema).toDF(id_col, "ids", *["bytes"] * with_bytes)
-
-
-def _joined(ids: np.ndarray, tokens: list[bytes]) -> bytes:
-    return b"".join(map(tokens.__getitem__, ids.tolist()))
+        tokens = TokenBytes(v) if with_bytes else None
+        now, parts, words = None, [], None
+        for b in batches:
+            out: list[tuple] = []
+            for chunk, doc, i, nos, sizes, ids in zip(b["chunk"], b["doc"], b["id"], b["nos"], b["sizes"], b["ids"], strict=True):
+                if chunk != now:
+                    now, parts, words = chunk, [], None
+                if not doc:
+                    parts.append((nos, sizes, ids))
+                    continue
+                if words is None:
+                    words, parts = _Words(parts, v.kind), []
+                own = words.ids(ids).astype(np.int32)
+                out.append((i, own, tokens.joined(own)) if with_bytes else (i, own))
+                if len(out) >= AT_ONCE:
+                    yield _frame(out)
+                    out = []
+            if out:
+                yield _frame(out)
+
+    def _frame(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["id", "ids", *["bytes"] * with_bytes])
+
+    schema = "id string, ids array<int>" + ", bytes binary" * with_bytes
+    both = table.unionByName(asked).repartition("chunk").sortWithinPartitions("chunk", "doc")
+    out = both.mapInPandas(assemble, schema)
+    return out.select(F.col("id").cast(kind).alias(id_col), "ids", *["bytes"] * with_bytes)
+
+
+class TokenBytes:
+    """The token-byte table, laid end to end; joining many ids with it is one gather."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        table = vocabulary.token_bytes()
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+        self.size = np.array([len(t) for t in table], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        return _gathered(self.flat, self.start[ids], self.size[ids]).tobytes()
 
 
 def decode(coded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``coded`` with ``bytes`` (binary): each row's ids joined with the token-byte table."""
-    sent = coded.sparkSession.sparkContext.broadcast(vocabulary.token_bytes())
+    sent = coded.sparkSession.sparkContext.broadcast(vocabulary)
     kind = dict(coded.dtypes)[id_col]
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = sent.value
+        table = TokenBytes(sent.value)
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "ids": b["ids"], "bytes": [_joined(x, table) for x in b["ids"]]})
+            yield pd.DataFrame({"id": b["id"], "ids": b["ids"], "bytes": [table.joined(np.asarray(x, np.int64)) for x in b["ids"]]})
 
     rows = coded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     return rows.mapInPandas(join, f"id {kind}, ids array<int>, bytes binary").toDF(id_col, "ids", "bytes")
