@@ -4,7 +4,7 @@ Documents are cut into pre-tokens once.  Every document becomes its pre-tokens'
 and a chunk of documents, some megabytes of them, names each of its distinct pre-tokens once; both
 are written to the shared folder.  The names are exploded to (chunk, number, word) and shuffled by
 word, so that every word of the corpus is encoded once; its ids go back to the chunks by number,
-where the documents' ids are gathered by position.  What is shuffled by word is a chunk's vocabulary,
+where the documents, read from the written file, get their ids gathered by position.  What is shuffled by word is a chunk's vocabulary,
 and a word has at most one row a chunk, so no word's rows grow faster than the chunks; they are
 streamed, never gathered.  Decoding joins ids with the token-byte table, whose size is the
 vocabulary file's (50,256 rows), in the tasks.
@@ -24,14 +24,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
+from pyarrow import compute as pc
+from pyarrow import parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.shared import written
+from tramline.llm.shared import filesystem, written
 
 #: Characters of documents in one chunk, and chunks that a partition may have.
-CHUNK_CHARS, CHUNKS = 16 << 20, 1 << 24
+CHUNK_CHARS, CHUNKS = 32 << 20, 1 << 24
 #: Documents returned at once.
 AT_ONCE = 500
 
@@ -139,17 +141,18 @@ def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
 
 
 def cut(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """rows (id, text) to chunk, id, seq (the numbers of a document's pre-tokens, by position) and, one row a chunk, words."""
+    """rows (id, text) to chunk, id, seq (the numbers of a document's pre-tokens, by position) and, one row a chunk, words and their numbers."""
     sent = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v, chunk = sent.value, TaskContext.get().partitionId() * CHUNKS
         number: dict[str, int] = defaultdict()
         number.default_factory = number.__len__
-        held = 0
+        held, some = 0, False
 
         def names() -> pd.DataFrame:
-            return pd.DataFrame({"chunk": [chunk], "id": [None], "seq": [None], "words": [list(number)]})
+            words = sorted(number)  # neighbours look alike, which spares bytes
+            return pd.DataFrame({"chunk": [chunk], "id": [None], "seq": [None], "words": [words], "nos": [[number[w] for w in words]]})
 
         for b in batches:
             for a in range(0, len(b), AT_ONCE):
@@ -162,11 +165,12 @@ def cut(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                     seqs.append(_packed(np.fromiter(map(number.__getitem__, v.words(t)), np.int64)))
                     chunks.append(chunk)
                     held += len(t or "")
-                yield pd.DataFrame({"chunk": chunks, "id": part["id"], "seq": seqs, "words": None})
-        if number:
+                yield pd.DataFrame({"chunk": chunks, "id": part["id"], "seq": seqs, "words": None, "nos": None})
+                some = True
+        if some:
             yield names()
 
-    return rows.mapInPandas(run, "chunk long, id string, seq binary, words array<string>")
+    return rows.mapInPandas(run, "chunk long, id string, seq binary, words array<string>, nos array<int>")
 
 
 def encoded_words(names: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -229,43 +233,55 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))  # as text, so that nulls make no floats of ids
     done = written(cut(rows, vocabulary), "bpe-cut", compression="zstd")
-    names = done.filter("words IS NOT NULL").select("chunk", F.posexplode("words").alias("no", "word"))
+    heads = done.filter("words IS NOT NULL")
+    names = heads.select("chunk", F.explode(F.arrays_zip("nos", "words")).alias("w")).select("chunk", F.col("w.nos").alias("no"), F.col("w.words").alias("word"))
     nothing = F.lit(None).cast("binary")
-    table = encoded_words(names, vocabulary).select("chunk", F.lit(0).alias("doc"), F.lit(None).cast("string").alias("id"), "nos", "sizes", "ids")
-    asked = done.filter("words IS NULL").select("chunk", F.lit(1).alias("doc"), "id", nothing.alias("nos"), nothing.alias("sizes"), F.col("seq").alias("ids"))
+    table = encoded_words(names, vocabulary).withColumn("path", F.lit(None).cast("string"))
+    asked = heads.select("chunk", nothing.alias("nos"), nothing.alias("sizes"), nothing.alias("ids"), F.col("_metadata.file_path").alias("path"))
     sent = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = sent.value
         tokens = TokenBytes(v) if with_bytes else None
-        now, parts, words = None, [], None
+
+        def documents(chunk: int, path: str, parts: list) -> Iterator[pd.DataFrame]:
+            words = _Words(parts, v.kind)
+            for ids, seqs in _chunk_documents(path, chunk):
+                own = [words.ids(x).astype(np.int32) for x in seqs]
+                yield pd.DataFrame({"id": ids, "ids": own} | ({"bytes": [tokens.joined(x) for x in own]} if tokens else {}))
+
+        now, at, parts = None, None, []
         for b in batches:
-            out: list[tuple] = []
-            for chunk, doc, i, nos, sizes, ids in zip(b["chunk"], b["doc"], b["id"], b["nos"], b["sizes"], b["ids"], strict=True):
-                if chunk != now:
-                    now, parts, words = chunk, [], None
-                if not doc:
+            for chunk, nos, sizes, ids, path in zip(b["chunk"], b["nos"], b["sizes"], b["ids"], b["path"], strict=True):
+                if chunk != now and now is not None:
+                    yield from documents(now, at, parts)
+                    parts = []
+                now = chunk
+                if path is None:
                     parts.append((nos, sizes, ids))
-                    continue
-                if words is None:
-                    words, parts = _Words(parts, v.kind), []
-                own = words.ids(ids).astype(np.int32)
-                out.append((i, own, tokens.joined(own)) if with_bytes else (i, own))
-                if len(out) >= AT_ONCE:
-                    yield _frame(out)
-                    out = []
-            if out:
-                yield _frame(out)
-
-    def _frame(out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=["id", "ids", *["bytes"] * with_bytes])
+                else:
+                    at = path
+        if now is not None:
+            yield from documents(now, at, parts)
 
     schema = "id string, ids array<int>" + ", bytes binary" * with_bytes
-    both = table.unionByName(asked).repartition("chunk").sortWithinPartitions("chunk", "doc")
+    both = table.unionByName(asked).repartition("chunk").sortWithinPartitions("chunk")
     out = both.mapInPandas(assemble, schema)
     return out.select(F.col("id").cast(kind).alias(id_col), "ids", *["bytes"] * with_bytes)
 
 
+def _chunk_documents(path: str, chunk: int) -> Iterator[tuple[list, list]]:
+    """(ids, seqs) of a chunk's documents, some at a time, from the written file that holds them."""
+    system, at = filesystem(path)
+    with system.open_input_file(at) as f:
+        file = pq.ParquetFile(f)
+        groups = [g for g in range(file.num_row_groups) if (k := file.metadata.row_group(g).column(0).statistics) is None or not k.has_min_max or k.min <= chunk <= k.max]
+        for part in file.iter_batches(AT_ONCE, row_groups=groups, columns=["chunk", "id", "seq"]):
+            own = part.filter((pc.field("chunk") == chunk) & pc.field("seq").is_valid())
+            if own.num_rows:
+                yield own["id"].to_pylist(), own["seq"].to_pylist()
+
+
 class TokenBytes:
     """The token-byte table, laid end to end; joining many ids with it is one gather."""
 
