@@ -49,52 +49,6 @@ def test_query_equals_sql(spark, duck, name):
     assert got == want
 
 
-def _fold(rows, gain=30.0, jump=100.0, misses=3, least_speed=3.0):
-    """Confirmed routes of one vehicle, told plainly: rows of (route or None, fraction, metres, speed, heading)."""
-    route = held = None
-    missed = 0
-    out = []
-    for new, fraction, metres, speed, heading in rows:
-        if new is None:
-            missed += 1
-            if route is None or missed >= misses:
-                route, held, missed = None, None, 0
-                out.append((None, None))
-            else:
-                out.append((route, None))
-            continue
-        missed = 0
-        gained = (held - metres) if held is not None else None
-        if route is None or new == route or gained > jump or (speed >= least_speed and heading is not None and gained > gain):
-            route, held = new, metres
-        out.append((route, fraction))
-    return out
-
-
-def test_stream_routes_equal_a_plain_fold(spark):
-    got = {r.event_id: (r.route, r.at) for r in catalogue.queries()["stream_routes"](spark, SF).collect()}
-    by: dict[int, list] = {}
-    for e in sorted(spark.read.parquet(f"{SF}/events.parquet").collect(), key=lambda e: (e.ts, e.event_id)):
-        by.setdefault(e.user_id, []).append(e)
-    want = {}
-    for user, es in by.items():
-        kept, last = [], None
-        for e in es:
-            if last is None or e.ts > last:
-                kept.append(e)
-                last = e.ts
-        line = user % 25
-        rows = [(line * 2 + e.event_id % 2 if e.event_id % 7 else None, e.event_id % 20 / 20, float(e.event_id % 200), e.value % 60, float(e.event_id % 360)) for e in kept]
-        want |= dict(zip((e.event_id for e in kept), _fold(rows), strict=True))
-    assert {k: (v[0], None if v[1] is None or math.isnan(v[1]) else v[1]) for k, v in got.items()} == want
-
-
 def test_chained_lines_are_whole_again(spark):
     rows = catalogue.queries()["chained_lines"](spark, SF).collect()
     assert len(rows) == 50 and all(r.same for r in rows)
-
-
-def test_confirmed_routes_keep_every_ping(spark):
-    rows = catalogue.queries()["confirmed_routes"](spark, SF)
-    n = spark.read.parquet(f"{SF}/events.parquet").count()
-    assert rows.count() == n == rows.select("event_id").distinct().count()

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from math import pi
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPHERE = 6371000.0
@@ -169,12 +169,50 @@ def composite_score(distance: Column, distance_max: float, perp: Column, perp_ma
     return w1 * (1 - distance / distance_max) + w2 * (1 - F.least(perp / perp_max, F.lit(1.0)))
 
 
+#: Metres in a degree of latitude are nowhere fewer.
+DEGREE_METRES = 110_574.0
+
+
+def beside_segments(rows: DataFrame) -> DataFrame:
+    """``rows`` of a point (lon, lat) and a segment (ax, ay, bx, by) with ``gap``, their distance in metres in the local
+    metric at the point, and ``t`` and ``apart``, the share along the segment and the distance of its closest place in degrees.
+
+    Steps are columns of their own, so that none is written out again in the next.
+    """
+    k, c, zero = pi / 180, F.col, F.lit(0.0)
+    m, n = _radii(c("lat"))
+    out = rows.withColumns({"__m": k * m, "__n": k * n})
+    out = out.withColumns({"__px": (c("ax") - c("lon")) * c("__n"), "__py": (c("ay") - c("lat")) * c("__m"), "__dx": (c("bx") - c("ax")) * c("__n"), "__dy": (c("by") - c("ay")) * c("__m"), "__ex": c("bx") - c("ax"), "__ey": c("by") - c("ay")})
+    along = lambda num, x, y: F.greatest(zero, F.least(F.lit(1.0), F.coalesce(num / F.nullif(x * x + y * y, zero), zero)))
+    out = out.withColumns({
+        "__s": along(-(c("__px") * c("__dx") + c("__py") * c("__dy")), c("__dx"), c("__dy")),
+        "t": along((c("lon") - c("ax")) * c("__ex") + (c("lat") - c("ay")) * c("__ey"), c("__ex"), c("__ey")),
+    })
+    out = out.withColumns({"__gx": c("__px") + c("__s") * c("__dx"), "__gy": c("__py") + c("__s") * c("__dy"), "__cx": c("ax") + c("t") * c("__ex"), "__cy": c("ay") + c("t") * c("__ey")})
+    out = out.withColumns({"gap": F.sqrt(c("__gx") * c("__gx") + c("__gy") * c("__gy")), "apart": planar(c("__cx"), c("__cy"), c("lon"), c("lat"))})
+    return out.drop("__m", "__n", "__px", "__py", "__dx", "__dy", "__ex", "__ey", "__s", "__gx", "__gy", "__cx", "__cy")
+
+
 def cells(lat: Column, lon: Column, metres: float, spread: bool = False) -> Column:
-    """Grid cell of a point, or with ``spread`` its 3 x 3 neighbourhood, for cells at least ``metres`` wide."""
-    size = metres / CELL_METRES * 1.01
-    wide = size * 1.25  # a degree of longitude is shorter; holds up to 36 degrees of latitude
-    y, x = F.floor(lat / size), F.floor(lon / wide)
+    """Grid cell of a point, or with ``spread`` the cells around it that hold every point within ``metres``.
+
+    Rows are ``metres`` high; a row's cells are as wide as its latitude farthest from the equator
+    asks for, so that the neighbourhood holds at every latitude and across the 180th meridian.
+    At the poles, where no width does, a row is one cell.
+    """
+    size = metres / DEGREE_METRES * 1.001
+    y = F.floor(lat / size)
+
+    def columns(row: Column) -> Column:
+        """How many cells a row has: the whole circle over the least width."""
+        far = F.least(F.lit(90.0), F.greatest(F.abs(row * size), F.abs((row + 1) * size)))
+        return F.greatest(F.lit(1.0), F.floor(360.0 * F.cos(F.radians(far)) / size))
+
+    def x(row: Column, shift: int = 0) -> Column:
+        n = columns(row)
+        return F.pmod(F.floor((lon + 180.0) / 360.0 * n) + shift, n).cast("long")
+
     if not spread:
-        return F.struct(y.alias("y"), x.alias("x"))
-    around = [F.struct((y + dy).alias("y"), (x + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-    return F.explode(F.array(*around))
+        return F.struct(y.alias("y"), x(y).alias("x"))
+    around = [F.struct((y + dy).alias("y"), x(y + dy, dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+    return F.explode(F.array_distinct(F.array(*around)))

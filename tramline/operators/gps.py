@@ -78,18 +78,34 @@ def line_switches(pings: DataFrame) -> DataFrame:
     return pings.withColumn("old_line", old).filter(F.upper("old_line") != F.upper("line_code"))
 
 
-def passages(rows: DataFrame, most_s: int = 1800) -> DataFrame:
-    """Rows (vehicle_id, itinerary_id, event_id, ts, fraction, length_m, stop) where the stop changes.
+def stop_by_name(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` (itinerary_id, stop: a name, fraction) with stop_id, the first stop of that name not before the fraction; rows without one go.
+
+    ``links``: itinerary_id, stop_id, name, fraction.  A name's stops on an itinerary are one short sorted list.
+    """
+    lists = links.groupBy("itinerary_id", F.col("name").alias("stop")).agg(F.array_sort(F.collect_list(F.struct("fraction", "stop_id"))).alias("stops"))
+    ahead = F.get(F.filter("stops", lambda s: s["fraction"] >= F.col("fraction")), 0)["stop_id"]
+    return rows.join(lists, ["itinerary_id", "stop"]).withColumn("stop_id", ahead).filter("stop_id IS NOT NULL").select(*rows.columns, "stop_id")
+
+
+def near_stop(rows: DataFrame, gate: float = 150.0) -> DataFrame:
+    """Rows that may be passages: a named next stop, at most ``gate`` metres away (stop, stop_m)."""
+    return rows.filter(F.trim(F.coalesce("stop", F.lit(""))) != "").filter(F.col("stop_m") <= gate)
+
+
+def passages(rows: DataFrame, most_s: int = 1800, gate: float = 150.0) -> DataFrame:
+    """Rows (vehicle_id, itinerary_id, event_id, ts, fraction, length_m, stop, stop_m) near a stop where the stop changes.
 
     With the time since the passage before (null if negative or over ``most_s``) and the way since
     (null unless the fraction grew).
     """
     w = Window.partitionBy("vehicle_id", "itinerary_id").orderBy("ts", "event_id")
-    heads = rows.filter("stop IS NOT NULL").withColumn("old", F.lag("stop").over(w)).filter("old IS NULL OR old <> stop")
+    heads = near_stop(rows, gate).withColumn("old", F.lag("stop").over(w)).filter("old IS NULL OR old <> stop")
     gap = F.expr("timestampdiff(SECOND, lag_ts, ts)")
     out = heads.withColumn("lag_ts", F.lag("ts").over(w)).withColumn("lag_f", F.lag("fraction").over(w)).withColumn("gap", gap)
+    more = ["stop_id"] if "stop_id" in rows.columns else []
     return out.select(
-        "vehicle_id", "itinerary_id", "event_id", "ts", "stop", F.when(F.col("gap").between(0, most_s), F.col("gap")).alias("secs_since_prev"),
+        "vehicle_id", "itinerary_id", "event_id", "ts", "stop", *more, F.when(F.col("gap").between(0, most_s), F.col("gap")).alias("secs_since_prev"),
         F.when(F.col("fraction") > F.col("lag_f"), F.round((F.col("fraction") - F.col("lag_f")) * F.col("length_m"), 6)).alias("leg_m"),
     )
 
@@ -101,7 +117,9 @@ def clock(rows: DataFrame, zone: str = "America/Sao_Paulo") -> DataFrame:
 
 
 def eta_features(rows: DataFrame) -> DataFrame:
-    """Rows that an arrival model may score."""
+    """Rows that an arrival model may score; a line code, where there is one, must not be blank."""
+    if "line_code" in rows.columns:
+        rows = rows.filter(F.trim(F.coalesce("line_code", F.lit(""))) != "")
     ok = (F.col("next_m") > 10) & (F.col("next_m") < 5000) & (F.col("mean_speed") >= 0) & (F.col("fraction") > 0) & (F.col("fraction") < 1)
     return rows.filter(ok)
 
@@ -133,50 +151,56 @@ def arrivals(matched: DataFrame, links: DataFrame, stop_id, lengths: DataFrame,
     return rows.withColumn("eta_s", eta).withColumn("due", due).orderBy(F.asc_nulls_last("eta_s"), "vehicle_id")
 
 
-STATE = "vehicle_id long, event_id long, route long, at double, status string"
+STATE = "vehicle_id long, event_id long, route long, at double, metres double, status string"
+#: Route, metres from it, fraction along it, pings without a match in a row.
+NO_ROUTE = (None, None, None, 0)
 
 
 def route_state(rows: DataFrame, gain: float = 30.0, jump: float = 100.0, misses: int = 3, least_speed: float = 3.0) -> DataFrame:
     """The confirmed route of each vehicle, ping by ping.
 
-    Columns in: vehicle_id, event_id, ts, speed, heading, itinerary_id, fraction, metres, old_metres
-    (distance to the route held so far, null if unknown); itinerary_id is null where nothing
-    matched.  The same route is accepted; another one takes over only for a clear gain; a blocked
-    change keeps the old route with the new fraction; a vehicle without match keeps its route for
-    fewer than ``misses`` pings.  A fold over a vehicle's own pings in order; between Arrow batches
-    only its last state is held.
+    Columns in: vehicle_id, event_id, ts, speed, mean_speed (null or absent: the speed counts),
+    heading, itinerary_id, fraction, metres; itinerary_id is null where nothing matched.  The same
+    route is accepted; another one takes over for a clear gain while the vehicle moves, or a large one; a
+    blocked change keeps the old route with the new fraction and distance; a ping without heading keeps
+    the confirmed route as it was; a vehicle without match keeps route and fraction for fewer than
+    ``misses`` pings.  A fold over a vehicle's own pings in order; between Arrow batches only its
+    last state is held.
     """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = None, (None, None, 0)
+        last, state = None, NO_ROUTE
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
                 if r.key != last:
-                    last, state = r.key, (None, None, 0)
+                    last, state = r.key, NO_ROUTE
                 state, row = route_step(state, r, gain, jump, misses, least_speed)
                 out.append((int(r.key) if r.key else None, r.event_id, *row))
-            done = pd.DataFrame(out, columns=["vehicle_id", "event_id", "route", "at", "status"])
-            yield done.astype({"vehicle_id": "Int64", "route": "Int64"})
+            done = pd.DataFrame(out, columns=["vehicle_id", "event_id", "route", "at", "metres", "status"])
+            yield done.astype({"vehicle_id": "Int64", "route": "Int64", "at": "Float64", "metres": "Float64"})
 
+    if "mean_speed" not in rows.columns:
+        rows = rows.withColumn("mean_speed", F.lit(None).cast("double"))
     keyed = rows.withColumn("key", F.coalesce(F.col("vehicle_id").cast("string"), F.lit("")))
     in_order = keyed.repartition("key").sortWithinPartitions("key", F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
     return in_order.mapInPandas(fold, STATE)
 
 
 def route_step(state: tuple, r, gain: float, jump: float, misses: int, least_speed: float) -> tuple[tuple, tuple]:
-    """One ping: (route, metres, misses) to the next such state and (route, fraction, status)."""
-    route, held, missed = state
-    if pd.isna(r.itinerary_id):
+    """One ping: (route, metres, fraction, misses) to the next such state and (route, fraction, metres, status)."""
+    route, held, at, missed = state
+    if pd.isna(r.heading) and route is not None:
+        return (route, held, at, 0), (route, at, held, "held")
+    if pd.isna(r.heading) or pd.isna(r.itinerary_id):
         missed += 1
         if route is None or missed >= misses:
-            return (None, None, 0), (None, None, "none")
-        return (route, held, missed), (route, None, "kept")
+            return NO_ROUTE, (None, None, None, "none")
+        return (route, held, at, missed), (route, at, held, "kept")
     new = int(r.itinerary_id)
-    if route is None or new == route:
-        return (new, r.metres, 0), (new, r.fraction, "same" if route is not None else "first")
-    better = held - r.metres
-    moving = r.speed >= least_speed and not pd.isna(r.heading)
-    if (moving and better > gain) or better > jump:
-        return (new, r.metres, 0), (new, r.fraction, "switched")
-    return (route, held, 0), (route, r.fraction, "blocked")
+    moving = (r.speed if pd.isna(r.mean_speed) else r.mean_speed) >= least_speed
+    better = 0.0 if route is None else held - r.metres
+    if route is None or new == route or (moving and better > gain) or better > jump:
+        status = "first" if route is None else "same" if new == route else "switched"
+        return (new, r.metres, r.fraction, 0), (new, r.fraction, r.metres, status)
+    return (route, r.metres, r.fraction, 0), (route, r.fraction, r.metres, "blocked")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from math import cos, radians
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions import geo
 
+#: Rows of a static side that is sent to every task; beyond it the join shuffles.
+SENT_ROWS = 500_000
+
 
 def within(left: DataFrame, right: DataFrame, metres: float, extra: list[str] | None = None, metric=geo.ellipsoid, as_col: str = "metres") -> DataFrame:
     """Pairs of points at most ``metres`` apart (and equal in ``extra`` columns).
@@ -23,8 +28,14 @@ def within(left: DataFrame, right: DataFrame, metres: float, extra: list[str] |
 
 def nearby(points: DataFrame, lat: float, lon: float, metres: float, limit: int, key: str) -> DataFrame:
     """The nearest points within a radius: a box that reaches the scan, exact distances, a top-k."""
-    margin = metres / geo.CELL_METRES * 1.3
-    box = points.filter(F.col("lat").between(lat - margin, lat + margin) & F.col("lon").between(lon - margin, lon + margin))
+    margin = metres / geo.DEGREE_METRES * 1.001
+    box = points.filter(F.col("lat").between(lat - margin, lat + margin))
+    far = min(90.0, abs(lat) + margin)
+    wide = margin / max(cos(radians(far)), 1e-9)
+    if wide < 180:  # near a pole every meridian is near
+        west, east = lon - wide, lon + wide
+        here = F.col("lon").between(west, east)
+        box = box.filter(here | (F.col("lon") >= west + 360) | (F.col("lon") <= east - 360))
     d = geo.ellipsoid(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon"))
     return box.withColumn("metres", d).filter(F.col("metres") <= metres).orderBy("metres", key).limit(limit)
 
@@ -89,10 +100,14 @@ def poi_nearest_stop(pois: DataFrame, links: DataFrame, stops: DataFrame, metres
     return pairs.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("itinerary_id", "poi_id", "stop_id", "metres")
 
 
-def compete(found: DataFrame, existing: DataFrame) -> DataFrame:
-    """Found (poi, stop, metres) against the stored relation of the same POI: insert, replace, or skip."""
-    had = existing.groupBy("poi_id").agg(F.min(F.struct(F.col("metres").alias("m"), F.col("stop_id").alias("s"))).alias("had"))
-    both = found.join(had, "poi_id", "left")
+def compete(found: DataFrame, existing: DataFrame, links: DataFrame) -> DataFrame:
+    """Found (itinerary, poi, stop, metres) against the POI's stored relations: insert, replace, or skip.
+
+    Only relations with stops of the same itinerary (``links``) compete; of several the nearest.
+    """
+    own = existing.join(links.select("itinerary_id", "stop_id").distinct(), "stop_id")
+    had = own.groupBy("itinerary_id", "poi_id").agg(F.min(F.struct(F.col("metres").alias("m"), F.col("stop_id").alias("s"))).alias("had"))
+    both = found.join(had, ["itinerary_id", "poi_id"], "left")
     action = F.when(F.col("had").isNull(), "insert").when(F.col("had.s") == F.col("stop_id"), "skip").when(F.col("metres") < F.col("had.m"), "replace").otherwise("skip")
     return both.withColumn("action", action).withColumn("old_stop", F.col("had.s")).drop("had")
 
@@ -112,18 +127,69 @@ def tiles(box: DataFrame, size: float = 0.027) -> DataFrame:
     )
 
 
-def match_routes(pings: DataFrame, itineraries: DataFrame, heading: str, metres: float = 250.0, most: float = 80.0, key: str = "event_id") -> DataFrame:
-    """The itinerary of its line that each ping is on: in reach, heading within ``most`` degrees, best by (difference, distance, id)."""
-    near = pings.join(itineraries, "line_id").withColumn("metres", geo.point_line_metres(F.col("vertices"), F.col("lat"), F.col("lon"))).filter(F.col("metres") <= metres)
-    fit = geo.let(
-        geo.nearest(F.col("vertices"), F.col("lon"), F.col("lat"))["fraction"],
-        lambda f: F.struct(f.alias("fraction"), geo.local_heading(F.col("vertices"), f).alias("heading")),
-    )
-    placed = near.withColumn("fit", fit).withColumn("fraction", F.col("fit.fraction")).withColumn("route_heading", F.col("fit.heading"))
-    placed = placed.withColumn("diff", geo.heading_difference(F.col("route_heading"), F.col(heading)))
-    # the least difference ranks first, so the limit on it may follow the ranking
-    w = Window.partitionBy(key).orderBy(F.asc_nulls_last(F.round("diff", 6)), F.round("metres", 6), "itinerary_id")
-    return placed.withColumn("rn", F.row_number().over(w)).filter("rn = 1").filter(F.col("diff") < most).drop("rn", "vertices", "fit")
+def segment_rows(itineraries: DataFrame) -> DataFrame:
+    """One row a segment: its ends, planar length, the length up to its begin (``upto``) and its end (``done``), and the whole."""
+    each = itineraries.select("itinerary_id", "line_id", F.posexplode(geo.segments(F.col("vertices"))).alias("k", "s"))
+    flat = each.select("itinerary_id", "line_id", "k", F.col("s.a.lon").alias("ax"), F.col("s.a.lat").alias("ay"), F.col("s.b.lon").alias("bx"), F.col("s.b.lat").alias("by"), F.col("s.n").alias("n"))
+    w = Window.partitionBy("itinerary_id").orderBy("k")
+    run = lambda upto: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, upto)), F.lit(0.0))
+    whole = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return flat.withColumn("upto", run(-1)).withColumn("done", run(0)).withColumn("total", whole)
+
+
+def _sent(side: DataFrame) -> DataFrame:
+    """A static side for every task where its counted rows are few; else as it is, for a shuffled join."""
+    return F.broadcast(side) if side.limit(SENT_ROWS + 1).count() <= SENT_ROWS else side
+
+
+def _cell_size(metres: float) -> float:
+    return 2 * metres / geo.DEGREE_METRES
+
+
+def _covered(segments: DataFrame, metres: float) -> DataFrame:
+    """Segments in every cell from which one may be the nearest within ``metres``, in metres or in degrees."""
+    size = _cell_size(metres)
+    far = F.least(F.lit(89.9), F.greatest(F.abs("ay"), F.abs("by")) + size)
+    reach = F.lit(metres / geo.DEGREE_METRES * 1.001) / F.cos(F.radians(far))
+    at = lambda a, b: F.sequence(F.floor((F.least(a, b) - reach) / size), F.floor((F.greatest(a, b) + reach) / size))
+    return segments.withColumn("cy", F.explode(at("ay", "by"))).withColumn("cx", F.explode(at("ax", "bx")))
+
+
+def _point_at(rows: DataFrame, bins: DataFrame, fraction: Column, name: str, parts: int) -> DataFrame:
+    """``rows`` with (lat, lon) as ``name`` at a fraction of their itinerary: an equi-join on the piece of the line it is in."""
+    at = rows.withColumn("goal", F.greatest(F.lit(0.0), F.least(F.lit(1.0), fraction)) * F.col("total")).withColumn("piece", F.floor(F.col("goal") / F.nullif(F.col("total"), F.lit(0.0)) * parts))
+    b = bins.select("itinerary_id", "piece", *(F.col(c).alias(f"b_{c}") for c in ("k", "ax", "ay", "bx", "by", "n", "upto", "done")))
+    here = (F.col("b_done") >= F.col("goal")) & ((F.col("b_upto") < F.col("goal")) | (F.col("b_k") == 0))
+    t = F.coalesce((F.col("goal") - F.col("b_upto")) / F.nullif(F.col("b_n"), F.lit(0.0)), F.lit(0.0))
+    spot = F.struct((F.col("b_ay") + t * (F.col("b_by") - F.col("b_ay"))).alias("lat"), (F.col("b_ax") + t * (F.col("b_bx") - F.col("b_ax"))).alias("lon"))
+    return at.join(b, ["itinerary_id", "piece"]).filter(here).withColumn(name, spot).select(*rows.columns, name)
+
+
+def match_routes(pings: DataFrame, itineraries: DataFrame, heading: str, metres: float = 250.0, most: float = 80.0, key: str = "event_id", reach: float = 0.025, parts: int = 64) -> DataFrame:
+    """The itinerary of its line that each ping is on: in reach, heading within ``most`` degrees, best by (difference, distance, id).
+
+    Lines are cut once into segments with their cells.  A ping meets only the segments of its line
+    that its cell can reach; the nearest gives distance and fraction, and the local heading comes from
+    the two pieces of line about that fraction.  Pings are dealt by ``key`` once, over as many
+    parts as shuffles have, and stay there; the columns are plain, so that the work is compiled.
+    """
+    segments = segment_rows(itineraries).cache()  # the catalogue of lines, used four times
+    size = _cell_size(metres)
+    n = int(pings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in pings.columns)).alias("ping")
+    dealt = pings.repartition(n, key).select(F.col(key).alias("ping_key"), whole, "line_id", "lat", "lon", F.floor(F.col("lat") / size).alias("cy"), F.floor(F.col("lon") / size).alias("cx"))
+    near = dealt.join(_sent(_covered(segments, metres)), ["line_id", "cy", "cx"])
+    near = geo.beside_segments(near)
+    spot = F.struct(F.col("apart").alias("d"), "k", (F.col("upto") + F.col("t") * F.col("n")).alias("at"))
+    fit = near.groupBy("ping_key", "itinerary_id").agg(F.min("gap").alias("metres"), F.min(spot).alias("spot"), F.first("total").alias("total"), F.first("ping").alias("ping")).filter(F.col("metres") <= metres)
+    fit = fit.withColumn("fraction", F.coalesce(F.col("spot.at") / F.nullif(F.col("total"), F.lit(0.0)), F.lit(0.0))).drop("spot")
+    piece = lambda c: F.floor(F.col(c) / F.nullif(F.col("total"), F.lit(0.0)) * parts)
+    bins = _sent(segments.withColumn("piece", F.explode(F.sequence(piece("upto"), piece("done")))))
+    tips = _point_at(_point_at(fit, bins, F.col("fraction") - reach, "tail", parts), bins, F.col("fraction") + reach, "head", parts)
+    way = geo.bearing(F.col("tail.lat"), F.col("tail.lon"), F.col("head.lat"), F.col("head.lon"))
+    placed = tips.withColumn("route_heading", way).withColumn("diff", geo.heading_difference(F.col("route_heading"), F.col(f"ping.`{heading}`"))).filter(F.col("diff") < most)
+    w = Window.partitionBy("ping_key").orderBy(F.round("diff", 6), F.round("metres", 6), "itinerary_id")
+    return placed.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("ping.*", "itinerary_id", "metres", "fraction", "route_heading", "diff")
 
 
 def next_stop(matched: DataFrame, links: DataFrame, key: str = "event_id") -> DataFrame:

@@ -66,3 +66,16 @@ def located(points: str, key: str, on: str) -> str:
     return f"""placed AS (SELECT p.{key}, seg.*, {t} AS t, p.lon AS x, p.lat AS y, {segment_gap("p.lat", "p.lon")} AS gap FROM {points} p JOIN seg ON {on}),
 spots AS (SELECT {key}, itinerary_id, (upto + t * n) / total AS fraction FROM (SELECT *, row_number() OVER (PARTITION BY {key}, itinerary_id
   ORDER BY sqrt((x - (ax + t * (bx - ax))) * (x - (ax + t * (bx - ax))) + (y - (ay + t * (by_ - ay))) * (y - (ay + t * (by_ - ay)))), idx) AS rn FROM placed) WHERE rn = 1)"""
+
+
+def route_fold(source: str) -> str:
+    """``folded``: the confirmed route of every ping of ``source`` (vehicle_id, n from 1 in order, event_id, speed, heading, itinerary_id, fraction, metres), as a recursion."""
+    new = "CASE WHEN p.heading IS NULL THEN s.route ELSE p.itinerary_id END"
+    step = f"""CASE WHEN p.heading IS NULL AND s.route IS NOT NULL THEN 'held' WHEN {new} IS NULL THEN CASE WHEN s.route IS NULL OR s.missed + 1 >= 3 THEN 'none' ELSE 'kept' END
+      WHEN s.route IS NULL THEN 'first' WHEN p.itinerary_id = s.route THEN 'same' WHEN (p.speed >= 3 AND s.metres - p.metres > 30) OR s.metres - p.metres > 100 THEN 'switched' ELSE 'blocked' END"""
+    return f"""folded(vehicle_id, n, event_id, route, pos, metres, missed, status) AS (
+  SELECT DISTINCT vehicle_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 0, '' FROM {source}
+  UNION ALL SELECT vehicle_id, n, event_id, CASE WHEN status = 'none' THEN NULL WHEN status IN ('held', 'kept', 'blocked') THEN old ELSE itinerary_id END,
+    CASE WHEN status = 'none' THEN NULL WHEN status IN ('held', 'kept') THEN old_pos ELSE fraction END, CASE WHEN status = 'none' THEN NULL WHEN status IN ('held', 'kept') THEN old_metres ELSE metres END,
+    CASE WHEN status = 'kept' THEN missed + 1 ELSE 0 END, status
+  FROM (SELECT p.*, s.route AS old, s.pos AS old_pos, s.metres AS old_metres, s.missed, {step} AS status FROM folded s JOIN {source} p ON p.vehicle_id = s.vehicle_id AND p.n = s.n + 1) AS x)"""

@@ -144,14 +144,14 @@ def poi_nearest_stop(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    prelude("poi", "stop", "itinerary_stop", "poi_stop") + f", {_NEAREST_STOP}, had AS (SELECT poi_id, min(stop_id) AS old_stop, CAST(60 + poi_id % 7 AS DOUBLE) AS m FROM poi_stop WHERE poi_id % 3 <> 0 GROUP BY poi_id)"
+    prelude("poi", "stop", "itinerary_stop", "poi_stop") + f", {_NEAREST_STOP}, had AS (SELECT itinerary_id, poi_id, min(stop_id) AS old_stop, CAST(60 + poi_id % 7 AS DOUBLE) AS m FROM poi_stop JOIN itinerary_stop USING (stop_id) WHERE poi_id % 3 <> 0 GROUP BY itinerary_id, poi_id)"
     " SELECT itinerary_id, poi_id, stop_id, round(metres, 6) AS metres, CASE WHEN old_stop IS NULL THEN 'insert' WHEN old_stop = stop_id THEN 'skip' WHEN metres < m THEN 'replace' ELSE 'skip' END AS action, old_stop"
-    " FROM nearest_ LEFT JOIN had USING (poi_id)"
+    " FROM nearest_ LEFT JOIN had USING (itinerary_id, poi_id)"
 )
 def poi_competition(spark: SparkSession, sf: str) -> DataFrame:
     """Found relations against stored ones, whose distances are made up here."""
     stored = view(spark, sf, "poi_stop").filter("poi_id % 3 <> 0").withColumn("metres", (F.col("poi_id") % 7 + 60).cast("double"))
-    return spatial.compete(_nearest(spark, sf), stored).select("itinerary_id", "poi_id", "stop_id", F.round("metres", 6).alias("metres"), "action", "old_stop")
+    return spatial.compete(_nearest(spark, sf), stored, view(spark, sf, "itinerary_stop")).select("itinerary_id", "poi_id", "stop_id", F.round("metres", 6).alias("metres"), "action", "old_stop")
 
 
 @query(
@@ -166,7 +166,7 @@ def import_tiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ENDS = " UNION ALL ".join(f"SELECT event_id, itinerary_id, {side} AS side, greatest(0e0, least(1e0, fraction {op} 0.025e0)) AS f FROM spots" for side, op in ((0, "-"), (1, "+")))
-_MATCHED = f"""{SEGMENTS}, {_HEADED}, {located("headed", "event_id", "seg.line_id = p.line_id")},
+MATCHED = f"""{SEGMENTS}, {_HEADED}, {located("headed", "event_id", "seg.line_id = p.line_id")},
 near_ AS (SELECT event_id, itinerary_id, min(gap) AS metres FROM placed GROUP BY ALL HAVING min(gap) <= 250),
 tip AS (SELECT * FROM (SELECT e.event_id, e.itinerary_id, side, ax + (f * total - upto) / n * (bx - ax) AS lon, ay + (f * total - upto) / n * (by_ - ay) AS lat,
   row_number() OVER (PARTITION BY e.event_id, e.itinerary_id, side ORDER BY idx) AS rn FROM ({_ENDS}) e JOIN seg USING (itinerary_id) WHERE upto + n >= f * total - 1e-12) AS x WHERE rn = 1),
@@ -180,14 +180,14 @@ def matched_pings(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.match_routes(gps.with_heading(view(spark, sf, "ping")), itineraries(spark, sf), "heading", REACH)
 
 
-@query(prelude("ping", "vertex") + f", {_MATCHED} SELECT event_id, itinerary_id, round(fraction, 6) AS fraction, round(metres, 6) AS metres, round(diff, 6) AS diff FROM matched")
+@query(prelude("ping", "vertex") + f", {MATCHED} SELECT event_id, itinerary_id, round(fraction, 6) AS fraction, round(metres, 6) AS metres, round(diff, 6) AS diff FROM matched")
 def route_match(spark: SparkSession, sf: str) -> DataFrame:
     """Every ping on the itinerary of its line that fits its place and heading best."""
     return matched_pings(spark, sf).select("event_id", "itinerary_id", *(F.round(c, 6).alias(c) for c in ("fraction", "metres", "diff")))
 
 
 @query(
-    prelude("ping", "vertex", "itinerary_stop") + f", {_MATCHED}, ahead AS (SELECT event_id, i.stop_id, i.fraction, row_number() OVER (PARTITION BY event_id ORDER BY i.fraction, i.stop_id) AS k FROM matched m"
+    prelude("ping", "vertex", "itinerary_stop") + f", {MATCHED}, ahead AS (SELECT event_id, i.stop_id, i.fraction, row_number() OVER (PARTITION BY event_id ORDER BY i.fraction, i.stop_id) AS k FROM matched m"
     " JOIN (SELECT itinerary_id, fraction, min(stop_id) AS stop_id FROM itinerary_stop GROUP BY ALL) i ON i.itinerary_id = m.itinerary_id AND round(i.fraction, 6) > round(m.fraction, 6))"
     " SELECT m.event_id, m.itinerary_id, a.stop_id AS next_stop, round(a.fraction, 6) AS next_fraction FROM matched m LEFT JOIN (SELECT * FROM ahead WHERE k = 1) a ON a.event_id = m.event_id"
 )

@@ -8,13 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.plans.registry import query
+from tramline.plans.registry import query, route_fold
 from tramline.streaming import gps_stream
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder where the session's executors can all write."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tramline-stream-")
+    """A new folder where the session's executors can all write; only a local master may do without a shared one."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="tramline-stream-")
     return f"{at.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
 
 
@@ -65,12 +69,17 @@ def stream_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("vehicle_id").agg(F.max("ts").cast("timestamp_ntz").alias("ts"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) AS k FROM events) AS e WHERE k = 1),
+steps AS (SELECT user_id AS vehicle_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n, event_id, value % 60 AS speed, CASE WHEN event_id % 5 > 0 THEN CAST(event_id % 360 AS DOUBLE) END AS heading,
+  CASE WHEN event_id % 7 <> 0 THEN user_id % 25 * 2 + event_id % 2 END AS itinerary_id, (event_id % 20) / 20e0 AS fraction, CAST(event_id % 200 AS DOUBLE) AS metres FROM once),
+{route_fold("steps")} SELECT vehicle_id, event_id, route, pos AS "at", metres, status FROM folded WHERE n > 0"""
+)
 def stream_routes(spark: SparkSession, sf: str) -> DataFrame:
-    """Confirmed routes as keyed state; every ping brings a candidate route, every seventh none."""
+    """Confirmed routes as keyed state; every ping brings a candidate route, every seventh none, every fifth no heading."""
     e = F.col("event_id")
     rows = _pings(spark, sf).select(
-        "vehicle_id", "event_id", "ts", (F.col("speed") % 60).alias("speed"), (e % 360).cast("double").alias("heading"), F.when(e % 7 != 0, F.col("line_id") * 2 + e % 2).alias("itinerary_id"),
+        "vehicle_id", "event_id", "ts", (F.col("speed") % 60).alias("speed"), F.when(e % 5 > 0, (e % 360).cast("double")).alias("heading"), F.when(e % 7 != 0, F.col("line_id") * 2 + e % 2).alias("itinerary_id"),
         ((e % 20) / 20).alias("fraction"), (e % 200).cast("double").alias("metres"),
     )
     return _result(spark, gps_stream.confirmed_routes(rows), "routes")

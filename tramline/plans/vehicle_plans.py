@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tramline.functions import geo
 from tramline.operators import gps, stats
-from tramline.plans.registry import query
-from tramline.plans.spatial_plans import matched_pings
+from tramline.plans.registry import query, route_fold
+from tramline.plans.spatial_plans import MATCHED, matched_pings
 from tramline.sources.tables import itineraries, prelude, view
 
 NOW = "2024-01-30 12:00:00"
@@ -80,16 +80,38 @@ def line_switches(spark: SparkSession, sf: str) -> DataFrame:
     return gps.line_switches(view(spark, sf, "ping").withColumn("line_code", code)).select("event_id", "vehicle_id", "old_line", "line_code")
 
 
+_PASSAGES = """heads AS (SELECT * FROM (SELECT *, lag(stop) OVER (PARTITION BY vehicle_id, itinerary_id ORDER BY ts, event_id) AS old FROM r) AS x WHERE old IS NULL OR old <> stop),
+gaps AS (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) // 1000000 AS gap, lag(fraction) OVER w AS lf FROM heads WINDOW w AS (PARTITION BY vehicle_id, itinerary_id ORDER BY ts, event_id))"""
+
+
 @query(
-    prelude("ping") + """, r AS (SELECT vehicle_id, line_id * 2 AS itinerary_id, event_id, ts, k / 20e0 AS fraction, 'S' || (k // 2) AS stop FROM ping WHERE event_id % 17 <> 0),
-heads AS (SELECT * FROM (SELECT *, lag(stop) OVER (PARTITION BY vehicle_id, itinerary_id ORDER BY ts, event_id) AS old FROM r) AS x WHERE old IS NULL OR old <> stop),
-gaps AS (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) // 1000000 AS gap, lag(fraction) OVER w AS lf FROM heads WINDOW w AS (PARTITION BY vehicle_id, itinerary_id ORDER BY ts, event_id))
+    prelude("ping") + f""", r AS (SELECT vehicle_id, line_id * 2 AS itinerary_id, event_id, ts, k / 20e0 AS fraction, 'S' || (k // 2) AS stop FROM ping WHERE event_id % 17 <> 0 AND event_id % 190 <= 150),
+{_PASSAGES}
 SELECT vehicle_id, itinerary_id, event_id, ts, stop, CASE WHEN gap BETWEEN 0 AND 36000 THEN gap END AS secs_since_prev, CASE WHEN fraction > lf THEN round((fraction - lf) * 10000, 6) END AS leg_m FROM gaps"""
 )
 def stop_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return gps.passages(_near_stops(spark, sf), 36000)
+
+
+def _near_stops(spark: SparkSession, sf: str) -> DataFrame:
+    """Pings with a next stop, 0 to 189 metres ahead."""
     stop = F.when(F.col("event_id") % 17 != 0, F.concat(F.lit("S"), F.expr("k div 2").cast("string")))
-    rows = view(spark, sf, "ping").select("vehicle_id", (F.col("line_id") * 2).alias("itinerary_id"), "event_id", "ts", (F.col("k") / 20).alias("fraction"), F.lit(10000.0).alias("length_m"), stop.alias("stop"))
-    return gps.passages(rows, 36000)
+    return view(spark, sf, "ping").select("vehicle_id", (F.col("line_id") * 2).alias("itinerary_id"), "event_id", "ts", (F.col("k") / 20).alias("fraction"), F.lit(10000.0).alias("length_m"), stop.alias("stop"), (F.col("event_id") % 190).cast("double").alias("stop_m"))
+
+
+_LINKS = "link_ AS (SELECT itinerary_id, stop_id, 'S' || (stop_id % 21) AS name, fraction FROM itinerary_stop)"
+
+
+@query(
+    prelude("ping", "itinerary_stop") + f""", {_LINKS}, p AS (SELECT vehicle_id, line_id * 2 AS itinerary_id, event_id, ts, k / 20e0 AS fraction, 'S' || (k // 2) AS stop FROM ping WHERE event_id % 17 <> 0 AND event_id % 190 <= 150),
+r AS (SELECT p.*, stop_id FROM p JOIN (SELECT event_id, first(stop_id ORDER BY l.fraction, stop_id) AS stop_id FROM p JOIN link_ l ON l.itinerary_id = p.itinerary_id AND l.name = p.stop AND l.fraction >= p.fraction GROUP BY event_id) USING (event_id)),
+{_PASSAGES}
+SELECT vehicle_id, itinerary_id, event_id, ts, stop, stop_id, CASE WHEN gap BETWEEN 0 AND 36000 THEN gap END AS secs_since_prev, CASE WHEN fraction > lf THEN round((fraction - lf) * 10000, 6) END AS leg_m FROM gaps"""
+)
+def stop_passages_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    """Passages at the first stop of the announced name that is not behind the vehicle."""
+    links = view(spark, sf, "itinerary_stop").select("itinerary_id", "stop_id", F.concat(F.lit("S"), F.col("stop_id") % 21).alias("name"), "fraction")
+    return gps.passages(gps.stop_by_name(gps.near_stop(_near_stops(spark, sf)), links), 36000)
 
 
 @query(prelude("ping") + "SELECT CAST(hour(ts - INTERVAL 3 HOURS) AS INTEGER) AS hour, CAST(dayofweek(ts - INTERVAL 3 HOURS) AS INTEGER) AS weekday, count(*) AS n FROM ping GROUP BY 1, 2")
@@ -157,12 +179,16 @@ def arrivals_board(spark: SparkSession, sf: str) -> DataFrame:
     return gps.arrivals(live, links, 9, lengths, NOW).select("vehicle_id", F.round("metres", 6).alias("metres"), F.round("eta_s", 6).alias("eta_s"))
 
 
-@query()
+@query(
+    prelude("ping", "vertex").replace("WITH ", "WITH RECURSIVE ", 1) + f""", {MATCHED},
+steps AS (SELECT h.vehicle_id, row_number() OVER (PARTITION BY h.vehicle_id ORDER BY h.ts, h.event_id) AS n, h.event_id, h.speed, h.heading, m.itinerary_id, m.fraction, m.metres FROM headed h LEFT JOIN matched m USING (event_id)),
+{route_fold("steps")} SELECT vehicle_id, event_id, route, round(pos, 6) AS "at", round(metres, 6) AS metres, status FROM folded WHERE n > 0"""
+)
 def confirmed_routes(spark: SparkSession, sf: str) -> DataFrame:
-    """The route of each vehicle with hysteresis, ping by ping; a fold that SQL does not say."""
+    """The route of each vehicle with hysteresis, ping by ping."""
     m = matched_pings(spark, sf).select("event_id", "itinerary_id", "fraction", "metres")
     rows = gps.with_heading(view(spark, sf, "ping")).select("vehicle_id", "event_id", "ts", "speed", "heading").join(m, "event_id", "left")
-    return gps.route_state(rows).select("vehicle_id", "event_id", "route", F.round("at", 6).alias("at"), "status")
+    return gps.route_state(rows).select("vehicle_id", "event_id", "route", F.round("at", 6).alias("at"), F.round("metres", 6).alias("metres"), "status")
 
 
 @query(prelude("vertex") + "SELECT DISTINCT itinerary_id, line_id, 21 AS n_vertices FROM vertex")

@@ -10,8 +10,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_D = "(SELECT 0 AS d UNION ALL SELECT 1 AS d)"
-_I = "(" + " UNION ALL ".join(f"SELECT {i} AS i" for i in range(21)) + ")"
+#: The two directions and the places of a line's 21 vertices, as rows.
+_D = "(SELECT CAST(r_regionkey AS INTEGER) AS d FROM <region> WHERE r_regionkey < 2)"
+_I = "(SELECT CAST(n_nationkey AS INTEGER) AS i FROM <nation> WHERE n_nationkey < 21)"
 
 
 def num(x: str) -> str:
@@ -38,7 +39,7 @@ TABLES = {
     "poi": f"SELECT p_partkey AS poi_id, p_name AS name, p_type AS category, CAST(p_size % 3 + 1 AS BIGINT) AS priority, p_partkey % 25 AS line_id,"
     f" {num('-43.60')} + {num('0.0025')} * ({whole('p_partkey / 25')} % 21) + {num('0.0002')} * ((p_partkey % 11) - 5) AS lon,"
     f" {num('-23.0')} + {num('0.004')} * (p_partkey % 25) + {num('0.0004')} * (({whole('p_partkey / 25')} % 21) % 3) + {num('0.0002')} * ((p_partkey % 13) - 6) AS lat FROM <part>",
-    "poi_stop": f"SELECT p_partkey AS poi_id, c_custkey AS stop_id FROM <part> JOIN <customer> ON p_partkey % 1500 = c_custkey % 1500 WHERE c_custkey < 3000",
+    "poi_stop": "SELECT p_partkey AS poi_id, c_custkey AS stop_id FROM <part> JOIN <customer> ON p_partkey = c_custkey UNION ALL SELECT p_partkey AS poi_id, c_custkey AS stop_id FROM <part> JOIN <customer> ON p_partkey = c_custkey + 25",
     "fare": "SELECT o_orderkey AS fare_id, o_custkey % 25 AS line_id, CAST(round(o_totalprice / 100000, 2) AS DECIMAL(18, 2)) AS value, CAST(o_orderdate AS DATE) AS valid_from,"
     " CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) + CAST(o_orderkey % 365 AS INT) END AS valid_to, o_orderpriority AS source, o_orderstatus <> 'P' AS active FROM <orders>",
     "ping": f"SELECT event_id, user_id AS vehicle_id, user_id % 25 AS line_id, ts, k, value AS speed,"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tramline.operators.gps import STATE, route_step
+from tramline.operators.gps import NO_ROUTE, STATE, route_step
 
 
 def read_pings(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000, names: str = "*.parquet") -> DataFrame:
@@ -44,24 +44,26 @@ def confirmed_routes(rows: DataFrame, gain: float = 30.0, jump: float = 100.0, m
     Columns as there; output one row for each accepted ping.  Age is event time, so that a replay
     expires the same states and a run over what is there comes to its end.
     """
-    state_schema = "route long, held double, missed int, last timestamp"
+    state_schema = "route long, held double, at double, missed int, last timestamp"
+    if "mean_speed" not in rows.columns:
+        rows = rows.withColumn("mean_speed", F.lit(None).cast("double"))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        route, held, missed, last = state.get if state.exists else (None, None, 0, None)
-        out = []
+        *now, last = state.get if state.exists else (*NO_ROUTE, None)
+        now, out = tuple(now), []
         for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples(index=False):
             if last is not None and r.ts <= last:
                 continue
-            (route, held, missed), row = route_step((route, held, missed), r, gain, jump, misses, least_speed)
+            now, row = route_step(now, r, gain, jump, misses, least_speed)
             last = r.ts
             out.append((r.vehicle_id, r.event_id, *row))
-        state.update((route, held, missed, last))
+        state.update((*now, last))
         state.setTimeoutTimestamp(max(int(last.timestamp() * 1000), state.getCurrentWatermarkMs()) + ttl_ms)
         if out:
-            yield pd.DataFrame(out, columns=["vehicle_id", "event_id", "route", "at", "status"]).astype({"route": "Int64"})
+            yield pd.DataFrame(out, columns=["vehicle_id", "event_id", "route", "at", "metres", "status"]).astype({"route": "Int64", "at": "Float64", "metres": "Float64"})
 
     return rows.withWatermark("ts", late).groupBy("vehicle_id").applyInPandasWithState(step, STATE, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
