@@ -5,8 +5,8 @@ next to the full rule strings, in one file for each range of keys.  A task maps
 memory, hashes every (host suffix, path prefix) that could be a rule, finds the keys by
 vectorised binary search and confirms the stored strings, so colliding keys do no harm.
 
-A null url, or one without ``://``, has an empty host and path and fits no rule.  A rule given
-twice keeps its smallest verdict.  Of the rules that fit, the longest string wins, then the
+A null url, or one without ``://``, has an empty host and path and fits no rule.  Rule hosts are
+lower-cased as urls' are; a rule with a null part counts for nothing; one given twice keeps its smallest verdict.  Of the rules that fit, the longest string wins, then the
 longest host; two rules cannot tie further.  No rules, or no rows, give no match.  Columns other
 than the id and the url are not read.
 """
@@ -16,7 +16,6 @@ from __future__ import annotations
 import json
 import mmap
 import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +37,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     rest = F.coalesce(rest, F.lit(""))
     host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    lower = F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return lower, path
+    return _lower(host), path
+
+
+def _lower(host: Column) -> Column:
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def build_rules(rules: DataFrame, files: int | None = None) -> str:
@@ -51,8 +53,10 @@ def build_rules(rules: DataFrame, files: int | None = None) -> str:
     spark = rules.sparkSession
     folder = work_path(spark, "url-rules")
     files = files or max(1, -(-rules.count() // FILE_RULES))
-    distinct = rules.filter("host IS NOT NULL AND path IS NOT NULL").groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
-    keyed = distinct.select(F.concat("host", F.lit("\n"), "path").alias("rule"), "verdict").withColumn("key", F.xxhash64("rule"))
+    whole = rules.filter("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL").withColumn("host", _lower(F.col("host")))
+    distinct = whole.groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
+    named = distinct.select(F.concat(F.length("host").cast("string"), F.lit(":"), "host", "path").alias("rule"), F.length("path").alias("n"), "verdict")
+    keyed = named.withColumn("key", F.xxhash64("rule"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [b for b in batches if len(b)]
@@ -61,7 +65,8 @@ def build_rules(rules: DataFrame, files: int | None = None) -> str:
         part = pd.concat(rows)
         keys = part["key"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(keys, kind="stable")
-        texts = [(r + "\n" + v).encode() for r, v in zip(part["rule"].to_numpy()[order], part["verdict"].to_numpy()[order], strict=True)]
+        pairs = zip((r.encode() for r in part["rule"].to_numpy()[order]), (v.encode() for v in part["verdict"].to_numpy()[order]), strict=True)
+        texts = [len(v).to_bytes(4, "little") + v + r for r, v in pairs]
         ends = np.cumsum([len(t) for t in texts], dtype=np.uint64)
         body = np.uint64(len(texts)).tobytes() + keys[order].tobytes() + ends.tobytes() + b"".join(texts)
         name = f"{int(keys.min()):016x}.keys"
@@ -71,7 +76,7 @@ def build_rules(rules: DataFrame, files: int | None = None) -> str:
         with system.open_output_stream(temp) as out:
             out.write(body)
         system.move(temp, f"{path}/{name}")
-        lens = sorted({len(t.split(b"\n")[1].decode()) for t in texts})
+        lens = sorted(set(part["n"].tolist()))
         yield pd.DataFrame({"name": [name], "lens": [json.dumps(lens)]})
 
     made = keyed.repartitionByRange(files, "key").mapInPandas(write, "name string, lens string").collect()
@@ -99,12 +104,11 @@ class DigestArray:
         if os.path.exists(path):  # the shared folder is mounted here
             with open(path, "rb") as f:
                 whole = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        else:  # a store without mounts: an unlinked copy, gone when the worker ends
-            with tempfile.TemporaryFile() as f, system.open_input_stream(path) as source:
+        else:  # a store without mounts: the bytes in an anonymous map, no file
+            with system.open_input_file(path) as source:
+                whole = mmap.mmap(-1, source.size())
                 while block := source.read(1 << 20):
-                    f.write(block)
-                f.flush()
-                whole = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+                    whole.write(block)
         n = int(np.frombuffer(whole, np.uint64, 1)[0])
         return np.frombuffer(whole, np.uint64, n, 8), np.frombuffer(whole, np.uint64, n, 8 + 8 * n), memoryview(whole)[8 + 16 * n :]
 
@@ -117,9 +121,9 @@ class DigestArray:
             for i in np.flatnonzero(high > low):
                 for j in range(low[i], high[i]):  # more than one only for colliding keys
                     stored = bytes(body[int(ends[j - 1]) if j else 0 : int(ends[j])])
-                    rule, _, verdict = stored.rpartition(b"\n")
-                    if rule == texts[i]:
-                        found[i] = verdict.decode()
+                    n = 4 + int.from_bytes(stored[:4], "little")
+                    if stored[n:] == texts[i]:
+                        found[i] = stored[4:n].decode()
         return found
 
 
@@ -142,7 +146,7 @@ def apply_rules(urls: DataFrame, folder: str, id_col: str, url_col: str, default
         for b in batches:
             pairs = [_candidates(h, p, array.path_lengths) for h, p in zip(b["host"], b["path"], strict=True)]
             distinct = {c: None for own in pairs for c in own}
-            known = dict(zip(distinct, array.verdicts([f"{h}\n{p}".encode() for h, p in distinct]), strict=True))
+            known = dict(zip(distinct, array.verdicts([f"{len(h)}:{h}{p}".encode() for h, p in distinct]), strict=True))
             wins = [next((c for c in own if known[c] is not None), None) for own in pairs]
             b["rule"] = [None if w is None else w[0] + w[1] for w in wins]
             b["verdict"] = [default if w is None else known[w] for w in wins]
