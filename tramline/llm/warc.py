@@ -1,14 +1,14 @@
 """Deterministic sharded WARC archives.
 
-Pages are laid out in id order: splitters from exact byte counts of id blocks give each shard
-about the same bytes, rows are sorted within their shard, and a shard rolls to a new file when
+Pages are laid out in order of their ids: splitters from exact running bytes give each shard
+the same bytes but for one page, rows are sorted within their shard, and a shard rolls to a new file when
 its compressed size is reached.  Headers and digests are made anew from the payload.  Files are
 written under temporary names and renamed; a manifest written last names what belongs to the
 archive.  The same table gives the same bytes, however tasks were run or repeated.
 
 Null html is an empty payload.  Of equal payloads of at least ``least`` bytes the smallest id is
 the response and the others revisit it; null ids come last.  Rows that repeat an id and payload
-are responses together where that id is smallest.  Empty tables give an empty manifest; columns
+are responses together where that id is smallest.  Rows with one id, or none, may lie in several shards.  Empty tables give an empty manifest; columns
 other than id, url and html are not read.
 """
 
@@ -23,44 +23,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tramline.llm.shared import filesystem, json_literal, work_path
+from tramline.llm.shared import filesystem, json_literal, let, work_path, written
 
-#: Fixed number of id blocks that are counted; finer ones are counted only inside overfull blocks.
-BLOCKS = 4096
+#: Ranges for each shard, in which the running bytes are summed.
+RANGES = 4
 EPOCH = "1970-01-01T00:00:00Z"
+#: What orders pages: null ids last, and payloads of one id by their digest, so that no id is too large for a shard.
+PLACE = "struct<none:boolean,id:bigint,tie:bigint>"
 
 
-def _splitters(sized: DataFrame, shards: int) -> list[int]:
-    """Ids at which new shards begin, from byte counts of equal-width id blocks.
+def _place() -> Column:
+    return F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).cast("long").alias("id"), F.conv(F.substring("digest", 1, 15), 16, 10).cast("long").alias("tie"))
 
-    A block with more than a shard's bytes is cut into blocks again, so ids may be unevenly
-    spread; one pass counts at most ``BLOCKS`` blocks for each overfull one (at most 2 x shards).
+
+def _splitters(sized: DataFrame, shards: int) -> list[dict]:
+    """Places at which new shards begin: where the running bytes of all rows in order cross k / shards of the whole.
+
+    Sampled quantiles deal the rows (place, n) into ranges of about equal rows; the ranges' exact bytes, and the
+    running bytes inside each, say for every row what lies before it.  So the cuts are exact whatever the sample
+    was, and only one place a shard reaches the driver.
     """
-    low, high, total = sized.agg(F.min("id"), F.max("id"), F.sum("n")).first()
-    if low is None or shards < 2:
+    if shards < 2:
         return []
-    todo, blocks = [(low, high + 1)], []
-    while todo:
-        cases = []
-        for k, (a, b) in enumerate(todo):
-            width = max(1, -(-(b - a) // BLOCKS))
-            cases.append(f"WHEN id >= {a}L AND id < {b}L THEN named_struct('k', {k}, 'at', {a}L + ((id - {a}L) div {width}L) * {width}L, 'w', {width}L)")
-        counts = sized.withColumn("b", F.expr("CASE " + " ".join(cases) + " END")).filter("b IS NOT NULL").groupBy("b").agg(F.sum("n").alias("n")).collect()
-        todo = []
-        for r in counts:
-            if r.n > total / shards / 4 and r.b.w > 1:
-                todo.append((r.b.at, r.b.at + r.b.w))
-            else:
-                blocks.append((r.b.at, r.n))
-    cuts, upto = [], 0
-    for at, n in sorted(blocks):
-        if upto and upto * shards // total != (upto + n) * shards // total and (upto + n // 2) * shards // total > len(cuts):
-            cuts.append(at)
-        upto += n
-    return cuts[: shards - 1]
+    rows = written(sized.repartitionByRange(RANGES * shards, "place").withColumn("part", F.spark_partition_id()), "warc-sizes")
+    sums = rows.groupBy("part").agg(F.sum("n").alias("bytes"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    upto = sums.select("part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("upto"), F.sum("bytes").over(Window.partitionBy()).alias("whole"))
+    inside = Window.partitionBy("part").orderBy("place", "n").rowsBetween(Window.unboundedPreceding, 0)
+    start = rows.join(upto, "part").withColumn("start", F.col("upto") + F.sum("n").over(inside) - F.col("n"))
+    shard = F.least(F.lit(shards - 1), F.expr(f"start * {shards} div greatest(whole, 1)"))
+    firsts = start.groupBy(shard.alias("shard")).agg(F.min("place").alias("place")).filter("shard > 0").orderBy("shard").collect()
+    return [r.place.asDict() for r in firsts]
 
 
 def _record(kind: str, page: int | None, url: str | None, payload: bytes, digest: str, size: int, refers: int | None) -> bytes:
@@ -104,16 +100,16 @@ def write_archive(pages: DataFrame, shards: int, roll_bytes: int = 64 << 20, lea
     spark = pages.sparkSession
     folder = work_path(spark, "warc")
     first, rows = plan_records(pages, least, id_col, url_col, html_col)
-    cuts = _splitters(rows.select("id", F.col("size").alias("n")), shards)
-    at = json_literal(cuts, "array<bigint>")
+    cuts = _splitters(rows.select(_place().alias("place"), F.col("size").alias("n")), shards)
+    at = json_literal(cuts, f"array<{PLACE}>")
     steps = F.array(*(F.lit(1 << s) for s in range(max(1, len(cuts).bit_length()) - 1, -1, -1)))
-    shard = F.aggregate(steps, F.lit(0), lambda low, s: F.when((low + s <= len(cuts)) & (F.get(at, low + s - 1) <= F.col("id")), low + s).otherwise(low))
+    search = lambda key: F.aggregate(steps, F.lit(0), lambda low, s: F.when((low + s <= len(cuts)) & (F.get(at, low + s - 1) <= key), low + s).otherwise(low))
+    shard = let(_place(), search)
     # A narrow join finds who revisits whom; its marks meet the pages in the writer's one sorted shuffle.
-    place = lambda c: F.when(c.isNull(), len(cuts)).otherwise(shard)
-    marks = rows.select("id", "digest").join(first, F.col("digest") == F.col("d")).filter("NOT (id <=> first)").select("id", "digest", F.col("first").alias("refers_to")).distinct()
+    marks = rows.filter(F.col("size") >= least).select("id", "digest").join(first, F.col("digest") == F.col("d")).filter("NOT (id <=> first)").select("id", "digest", F.col("first").alias("refers_to")).distinct()
     nothing = [F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), F.lit(0).cast("long").alias("size")]
-    placed = rows.select(place(F.col("id")).alias("shard"), "id", "digest", F.lit(1).alias("page"), "url", "html", "size", F.lit(None).cast("long").alias("refers_to")).unionByName(
-        marks.select(place(F.col("id")).alias("shard"), "id", "digest", F.lit(0).alias("page"), *nothing, "refers_to")
+    placed = rows.select(shard.alias("shard"), "id", "digest", F.lit(1).alias("page"), "url", "html", "size", F.lit(None).cast("long").alias("refers_to")).unionByName(
+        marks.select(shard.alias("shard"), "id", "digest", F.lit(0).alias("page"), *nothing, "refers_to")
     )
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
