@@ -47,6 +47,66 @@ def test_archives_come_back(spark):
     assert warc.read_archive(spark, warc.write_archive(pages.limit(0), 3)).count() == 0
 
 
+def test_odd_rules_and_urls(spark):
+    rules = [("Example.NET", "/a\nb", "block"), ("a", "/", None), (None, "/", "block"), ("b", None, "block"), ("c.org", "/", "x\ny"), ("c.org", "/", "a"), ("", "", "allow"), ("12:q", "/", "block")]
+    folder = url_rules.build_rules(url_rules.rules_frame(spark, rules), files=3)
+    urls = ["h://www.example.net/a\nbc", "h://a/", "h://b/", "h://C.org/", "h://12:q/z", "h://d/" + "p" * 200_000]
+    df = spark.createDataFrame([(i, u, "clash", "clash") for i, u in enumerate(urls)] * 2, "page_id long, url string, rule string, verdict string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.apply_rules(df, folder, "page_id", "url").collect()}
+    assert got == {0: ("Example.NET/a\nb".lower(), "block"), 1: (None, "allow"), 2: (None, "allow"), 3: ("c.org/", "a"), 4: ("12:q/", "block"), 5: (None, "allow")}
+    none = url_rules.build_rules(url_rules.rules_frame(spark, []))
+    assert {r.verdict for r in url_rules.apply_rules(df, none, "page_id", "url").collect()} == {"allow"}
+
+
+def test_shards_of_an_archive_are_even(spark):
+    from pyspark.sql import functions as F
+
+    r = __import__("random").Random(6)
+    rows = [(k * k if k % 4 else 77 if k % 8 else None, f"http://a/{k}", "".join(r.choice("abcdef <>") for _ in range(r.choice([50, 400, 900])))) for k in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    sized = warc.plan_records(pages)[1].select(warc._place().alias("place"), F.col("size").alias("n"))
+    for shards in (2, 12, 40):
+        cuts = warc._splitters(sized, shards)
+        assert len(cuts) == shards - 1
+        places = sorted((x.place.none, x.place.id, x.place.tie, x.n) for x in sized.collect())
+        at = [(c["none"], c["id"], c["tie"]) for c in cuts]
+        sizes = [0] * shards
+        for *p, n in places:
+            sizes[sum(c <= tuple(p) for c in at)] += n
+        assert max(sizes) < 1.2 * sum(sizes) / shards and min(sizes) > 0.8 * sum(sizes) / shards
+    again = pages.unionByName(pages.limit(5))
+    got = warc.read_archive(spark, warc.write_archive(again.withColumn("digest", F.lit("clash")).withColumn("shard", F.lit("clash")), 12))
+    own = [(a, b) for a, _, b in rows + rows[:5]]
+    assert sorted(((x.page_id, x.payload_digest) for x in got.collect()), key=str) == sorted(((a, hashlib.sha256(b.encode()).hexdigest()) for a, b in own), key=str)
+
+
+def test_ledger_policies_ablations_and_groups(spark):
+    df = data.frame(spark, 3)
+    entries = quality_rules.ledger(df.select("doc_id", "text"))
+    stored = entries.join(df.select("doc_id", "source"), "doc_id")
+    rows = stored.collect()
+    fails = {
+        "few_words": lambda r: r.n_words < 50, "repeated_words": lambda r: 100 * r.n_repeat_words > 50 * r.n_words, "symbols": lambda r: 10 * r.n_symbols > r.n_words, "repeated_lines": lambda r: 2 * r.n_dup_lines > r.n_lines,
+        "word_length": lambda r: r.n_words > 0 and not 3 * r.n_words <= r.word_chars <= 12 * r.n_words, "capitals": lambda r: r.word_chars > 0 and 10 * r.n_capitals > 4 * r.word_chars,
+    }
+    bits = {r.doc_id: sum(1 << k for k, f in enumerate(fails.values()) if f(r)) for r in rows}
+    assert {r.doc_id: r.failure_bits for r in rows} == bits
+    for policy in (quality_rules.BASE, quality_rules.STRICT):
+        mask = policy.mask()
+        assert {r.doc_id: r.kept for r in quality_rules.judge(stored, policy).collect()} == {i: not b & mask for i, b in bits.items()}
+        want = {name: (sum(bool(b >> k & 1) for b in bits.values()), sum(b & mask == 1 << k for b in bits.values())) for k, name in enumerate(fails) if name in policy.rules}
+        got = {r.rule: (r.failed, r.rejected_alone) for r in quality_rules.ablate(stored, policy).collect()}
+        assert {k: v for k, v in got.items()} == {k: v for k, v in want.items() if k in got} and all(v == (0, 0) for k, v in want.items() if k not in got)
+    for r in quality_rules.by_group(stored, "source").collect():
+        own = [bits[x.doc_id] for x in rows if x.source == r.source]
+        any_, all_ = 0, -1
+        for b in own:
+            any_, all_ = any_ | b, all_ & b
+        assert (r.any_bits, r.all_bits, r.n) == (any_, all_, len(own))
+    kept = quality_rules.keep(df)
+    assert {r.doc_id for r in kept.collect()} == {i for i, b in bits.items() if not b} and kept.columns == df.columns
+
+
 def test_quality_measures(spark):
     df = data.frame(spark, 3, awkward=True)
 

@@ -49,7 +49,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = quality_rules.ledger(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    entries = written(quality_rules.ledger(_table(spark, sf_dir, "documents", "doc_id", "text")), "rule-ledger")
     judged = quality_rules.judge(quality_rules.judge(entries, quality_rules.BASE, as_col="passed"), quality_rules.STRICT)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("passed")).alias("base_failed"), "kept")
 

@@ -20,12 +20,14 @@ _written: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as a URI.
 
-    It is ``spark.checkpoint.dir`` of the session.  Only where that is unset (tests on one
-    machine) a temporary folder stands in for it.
+    It is ``spark.checkpoint.dir`` of the session.  Only where that is unset and the master is
+    local (tests on one machine) a temporary folder stands in for it; on a cluster that is an error.
     """
     global _fallback
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         _fallback = _fallback or tempfile.mkdtemp(prefix="tramline-")
         at = _fallback
     return at if "://" in at or at.startswith("file:") else f"file://{at}"
