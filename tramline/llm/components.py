@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.shared import written
+from tramline.llm.shared import drop_written, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.filter("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        now = written(small.filter("u <> v").distinct(), "edges")
+        last, now = now, written(small.filter("u <> v").distinct(), "edges")
+        drop_written(last)
         before, state = state, _state(now)
         if state == before:
             break

@@ -34,18 +34,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramline.llm.components import components
-from tramline.llm.shared import numbered, one_of_each, written
+from tramline.llm.shared import drop_written, numbered, one_of_each, written
 from tramline.llm.simhash import LOWER, link_fingerprints, majority
 
 SHINGLE = 5
 #: Frequent shingles that are put last; any number gives the same pairs.
 LAST = 100_000
-#: Pairs compared at once in a task, and sets that a task decides pairs of.
-AT_ONCE, SETS = 1_000_000, 5_000
-#: Least number of parts of the rows; pairs of parts are decided together.
-PARTS = 8
+#: Pairs compared at once in a task, and pairs decided together in one.
+AT_ONCE, SETS = 1_000_000, 2_000
+#: Least number of blocks of pairs that are decided together.
+PARTS = 64
 #: Rows of a bucket that are looked at in one task; larger buckets are split.
 BUCKET = 20_000
+#: (row, block) pairs that are sent to every task; about 30 bytes each.
+SENT = 500_000
 PARITY = ("p0", "p1", "p2", "p3")
 
 
@@ -210,22 +212,22 @@ def other_pairs(buckets: DataFrame, roots: DataFrame, most: int | None = None, n
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose whole sets are alike; each set goes once to every block of pairs that needs it."""
-    rows = pairs.select(F.col("u").alias("row")).unionByName(pairs.select(F.col("v").alias("row"))).distinct()
-    parts = max(PARTS, rows.count() // SETS)
-    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
-    blocks = pairs.select("u", "v", (part("u") * parts + part("v")).alias("block"))
-    wanted = blocks.select("block", F.col("u").alias("row")).unionByName(blocks.select("block", F.col("v").alias("row"))).distinct()
-    asked = docs.select("row", "text").join(wanted.groupBy("row").agg(F.collect_list("block").alias("blocks")), "row")
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"row": b["row"], "blocks": b["blocks"], "s": [shingles(t).tobytes() for t in b["text"]]})
+    """The pairs (u, v) whose whole sets are alike.
 
-    held = asked.mapInPandas(sets, "row long, blocks array<long>, s binary").select(F.explode("blocks").alias("block"), "row", "s")
+    Pairs are dealt into blocks by u, those of a u with many partners by v as well; a text goes once
+    to every block of its pairs.  Few rows asked for are sent to the texts; many meet them in a shuffle.
+    """
+    parts = max(PARTS, pairs.count() // SETS)
+    many = pairs.groupBy("u").agg(F.ceil(F.count("*") / SETS).alias("k")).filter("k > 1")
+    blocks = pairs.join(many, "u", "left").select("u", "v", F.xxhash64(F.pmod(F.xxhash64("u"), F.lit(parts)), F.when(F.col("k").isNotNull(), F.struct("u", F.pmod(F.xxhash64("v"), F.col("k"))))).alias("block"))
+    blocks = written(blocks, "pair-blocks")
+    wanted = blocks.select("block", F.col("u").alias("row")).unionByName(blocks.select("block", F.col("v").alias("row"))).distinct()
+    asked = written(wanted.groupBy("row").agg(F.collect_list("block").alias("blocks")), "asked-rows")
+    asked = F.broadcast(asked) if wanted.count() <= SENT else asked
+    held = docs.select("row", "text").join(asked, "row").select(F.explode("blocks").alias("block"), "row", "text")
 
     def decide(uv: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        s = {r: np.frombuffer(x, np.uint64) for r, x in zip(own["row"], own["s"], strict=True)}
+        s = {r: shingles(t) for r, t in zip(own["row"], own["text"], strict=True)}
         return uv.loc[[alike(s[u], s[v]) for u, v in zip(uv["u"], uv["v"], strict=True)], ["u", "v"]]
 
     return blocks.groupBy("block").cogroup(held.groupBy("block")).applyInPandas(decide, "u long, v long")
@@ -236,16 +238,20 @@ def group(docs: DataFrame) -> DataFrame:
     firsts = written(prefixes(docs, frequent(docs)), "prefixes")
     same = firsts.groupBy("same").agg(F.min("row").alias("row"))
     reps = written(firsts.join(same.select("row"), "row", "left_semi"), "distinct-sets")
+    firsts = firsts.select("row", "same")
     buckets = written(bucket_rows(reps).join(reps.select("row", "n", *PARITY), "row"), "buckets")
     ordered = lambda p: p.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     pairs, joined = simhash_pairs(reps).unionByName(pivot_pairs(buckets)), None
     for step in ("proposed", "nearest", "others"):
         if joined is not None:
             pairs = other_pairs(buckets, joined.select(F.col("node").alias("row"), "root"), nearest=step == "nearest")
-        links = confirmed(docs, written(ordered(pairs), f"{step}-pairs"))
+        pairs = written(ordered(pairs), f"{step}-pairs")
+        links = confirmed(docs, pairs)
         if joined is not None:
             links = links.unionByName(joined.select(F.col("node").alias("u"), F.col("root").alias("v")))
         joined = written(components(links), "joined")
+        drop_written(pairs)
+    drop_written(buckets, reps)
     done = joined.select(F.col("node").alias("least"), "root")
     rows = firsts.select("row", "same").join(same.withColumnRenamed("row", "least"), "same")
     return rows.join(done, "least", "left").select("row", F.coalesce("root", "least").alias("root"))
