@@ -356,20 +356,21 @@ def _strings(picked: DataFrame, docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out: list[tuple] = []
-            for i, tie, text, own in zip(b["id"], b["tie"], b["text"], b["picks"], strict=True):
-                if own is None:
+            for i, tie, text, start, shape, h, crowded in zip(*(b[c] for c in ("id", "tie", "text", "start", "shape", "h", "crowded")), strict=True):
+                if start is None:
                     continue
                 raw = text.encode()
-                for p in own:
-                    a, (n, pick) = p["start"], divmod(p["shape"], WINDOW)
-                    out.append((p["h"], i, tie, a, pick, raw[a : a + n], p["crowded"]))
+                for a, z, own, many in zip(start.tolist(), shape.tolist(), h.tolist(), crowded.tolist(), strict=True):
+                    n, pick = divmod(z, WINDOW)
+                    out.append((own, i, tie, a, pick, raw[a : a + n], many))
                 if len(out) > 20_000:
                     yield pd.DataFrame(out, columns=columns)
                     out = []
             if out:
                 yield pd.DataFrame(out, columns=columns)
 
-    rows = docs.join(wanted, ["id", "tie"], "left").select("id", "tie", "text", "picks")
+    # one array a field, which Python holds as plain numbers
+    rows = docs.join(wanted, ["id", "tie"], "left").select("id", "tie", "text", "picks.start", "picks.shape", "picks.h", "picks.crowded")
     return rows.mapInPandas(cut, "h long, id long, tie long, base long, pick long, body binary, crowded boolean")
 
 
@@ -521,9 +522,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             kept, sizes, removed, merged = [], [], [], []
-            for text, own in zip(b["text"], b["spans"], strict=True):
+            for text, start, end in zip(b["text"], b["start"], b["end"], strict=True):
                 raw = (text or "").encode()
-                runs = _merged([(s["start"], min(s["end"], len(raw))) for s in own] if own is not None else [])
+                runs = _merged([(a, min(e, len(raw))) for a, e in zip(start.tolist(), end.tolist(), strict=True)] if start is not None else [])
                 parts, upto = [], 0
                 for a, e in runs:
                     parts.append(raw[upto:a])
@@ -536,7 +537,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
             ids = b["id"].astype("Int64").mask(b["id"] == null_id)
             yield pd.DataFrame({"id": ids, "n_bytes": sizes, "n_removed": removed, "spans": merged, "kept": kept} | {c: b[c] for c, _ in kinds})
 
-    out = keyed.join(gathered, ["id", "tie"], "left").select("id", "text", "spans", *(c for c, _ in kinds))
+    out = keyed.join(gathered, ["id", "tie"], "left").select("id", "text", "spans.start", "spans.end", *(c for c, _ in kinds))
     schema = f"id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept {'string' if as_text else 'binary'}"
     return out.mapInPandas(apply, schema + "".join(f", {c} {t}" for c, t in kinds)).toDF(id_col, "n_bytes", "n_removed", "spans", "kept", *carry)
 
