@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +95,28 @@ def test_chaining_turns_parts():
     parts = [[(0, 0), (1, 0)], [(2, 0), (1, 0)], []]
     assert ingest.chain_parts(parts) == [(0, 0), (1, 0), (2, 0)]
     assert ingest.chain_parts([[(0, 0)]]) == []
+
+
+def test_pairs_are_found_at_every_latitude(spark):
+    from pyspark.sql import functions as F
+
+    from tramline.operators import spatial
+
+    for lat in (0.0, 45.0, 60.0, 80.0, -89.0):
+        step = 240 / 111_320 / math.cos(math.radians(lat)) if lat > -80 else 0.1
+        rows = [(k, lat, -180 + step * k / 2) for k in range(60)]
+        left = spark.createDataFrame([(k, la, lo) for k, la, lo in rows], "a long, lat double, lon double")
+        right = spark.createDataFrame([(k, la, lo + step if lo + step <= 180 else lo + step - 360) for k, la, lo in rows], "b long, lat double, lon double")
+        got = {(r.a, r.b) for r in spatial.within(left, right, 250.0, metric=spatial.geo.haversine).collect()}
+        both = left.crossJoin(right.withColumnsRenamed({"lat": "la", "lon": "lo"}))
+        want = {(r.a, r.b) for r in both.filter(spatial.geo.haversine(F.col("lat"), F.col("lon"), F.col("la"), F.col("lo")) <= 250).collect()}
+        assert got == want and len(got) >= 60
+
+
+def test_an_empty_page_has_an_envelope(spark):
+    from tramline.operators import catalog
+
+    rows = spark.range(7)
+    assert catalog.page(rows, [rows.id.asc()], 9, 3).count() == 0
+    assert catalog.envelope(rows, 3).first().asDict() == {"total": 7, "pages": 3}
+    assert catalog.envelope(rows.limit(0), 3).first().asDict() == {"total": 0, "pages": 0}

@@ -31,8 +31,12 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int, most: int
     ``order`` so that pages don't overlap.  Deep offsets cost a sort of all rows before them.
     """
     check_page(number, size, most)
-    total = rows.agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / size))
-    return rows.orderBy(*order).offset((number - 1) * size).limit(size).join(F.broadcast(total))
+    return rows.orderBy(*order).offset((number - 1) * size).limit(size).join(F.broadcast(envelope(rows, size)))
+
+
+def envelope(rows: DataFrame, size: int) -> DataFrame:
+    """``total`` and ``pages`` in one row, whatever page is asked for: a page beyond the last has no rows to carry them."""
+    return rows.agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / size))
 
 
 def by_key(rows: DataFrame, key: str, value) -> DataFrame:

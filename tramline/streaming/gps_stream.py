@@ -34,7 +34,7 @@ def sessions(pings: DataFrame, gap: str = "30 minutes", late: str = "300 seconds
 
 
 def latest_rows(pings: DataFrame) -> DataFrame:
-    """The newest ping of each vehicle as a stream in update mode."""
+    """The newest ping of each vehicle as a stream in update mode; its state has one row a vehicle and no end of life."""
     return pings.groupBy("vehicle_id").agg(F.max(F.struct("ts", "event_id", "line_id", "speed")).alias("b")).select("vehicle_id", "b.*")
 
 
