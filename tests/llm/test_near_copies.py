@@ -2,7 +2,7 @@ import random
 
 import corpus_pipeline
 from tests.llm import data
-from tramline.llm import near_copies
+from tramline.llm import near_copies, shared
 
 
 def brute_groups(texts):
@@ -110,3 +110,11 @@ def test_awkward_rows(spark):
     assert kept.columns == df.columns
     own = [(r.doc_id, r.text) for r in df.collect()]
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == brute_kept(own)
+
+
+def test_sent_and_shuffled_rows_are_the_same(spark, monkeypatch):
+    rows = near_rows(9)
+    df = spark.createDataFrame(rows, data.SCHEMA)
+    monkeypatch.setattr(shared, "SENT", 0)
+    monkeypatch.setattr(near_copies, "SENT", 0)
+    assert sorted(((r.doc_id, r.text) for r in near_copies.keep_first(df).collect()), key=str) == brute_kept(rows)

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramline.llm.components import components
-from tramline.llm.shared import drop_written, numbered, one_of_each, written
+from tramline.llm.shared import SENT, drop_written, numbered, one_of_each, without, written
 from tramline.llm.simhash import LOWER, link_fingerprints, majority
 
 SHINGLE = 5
@@ -46,8 +46,6 @@ AT_ONCE, SETS = 1_000_000, 2_000
 PARTS = 64
 #: Rows of a bucket that are looked at in one task; larger buckets are split.
 BUCKET = 20_000
-#: (row, block) pairs that are sent to every task; about 30 bytes each.
-SENT = 500_000
 PARITY = ("p0", "p1", "p2", "p3")
 
 
@@ -237,7 +235,8 @@ def group(docs: DataFrame) -> DataFrame:
     """docs (row, text) to row, root: one value for all rows that similar pairs join."""
     firsts = written(prefixes(docs, frequent(docs)), "prefixes")
     same = firsts.groupBy("same").agg(F.min("row").alias("row"))
-    reps = written(firsts.join(same.select("row"), "row", "left_semi"), "distinct-sets")
+    copies = written(firsts.select("row").join(same.select("row"), "row", "left_anti"), "copies")
+    reps = written(without(firsts, copies, "row"), "distinct-sets")
     firsts = firsts.select("row", "same")
     buckets = written(bucket_rows(reps).join(reps.select("row", "n", *PARITY), "row"), "buckets")
     ordered = lambda p: p.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Characters that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 
+#: Rows of a few numbers that may be sent to every task; more meet in a shuffle.
+SENT = 500_000
+
 _fallback: str | None = None
 _written: list[str] = []
 
@@ -52,11 +55,21 @@ def numbered(docs: DataFrame) -> DataFrame:
     return written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
 
 
+def without(rows: DataFrame, gone: DataFrame, on: str) -> DataFrame:
+    """``rows`` less those whose ``on`` is in ``gone``, a written table of numbers.
+
+    Wide rows stay where they are as long as ``gone`` is small by count; else both are shuffled.
+    """
+    return rows.join(F.broadcast(gone) if gone.count() <= SENT else gone, on, "left_anti")
+
+
 def one_of_each(rows: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
-    """Of ``numbered`` rows those with the least (id, number) of each root (row, root); null ids come last."""
+    """Of ``numbered`` rows those with the least (id, number) of each root (row, root; every row has one); null ids come last."""
     ids = rows.select(F.col("__row").alias("row"), F.col(id_col).alias("id"))
+    roots = written(roots, "roots")
     least = roots.join(ids, "row").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least"))
-    return rows.join(least.select(F.col("least.row").alias("__row")), "__row", "left_semi").drop("__row")
+    gone = roots.select("row").join(least.select(F.col("least.row").alias("row")), "row", "left_anti")
+    return without(rows, written(gone.select(F.col("row").alias("__row")), "gone"), "__row").drop("__row")
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
