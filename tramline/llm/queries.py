@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import bpe, decontaminate, language, quality_model, quality_rules, sharding, simhash, suffix_dedup, url_rules, warc
+from tramline.llm import bpe, decontaminate, language, quality_model, quality_rules, sharding, simhash, suffix_dedup, token_files, url_rules, warc
 from tramline.llm.shared import shared_dir, utf8_size, written
 
 #: Fixed rules of the query: host, path, verdict.
@@ -15,6 +15,7 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 SHARDS = 24
 WARC_BYTES_A_SHARD = 64 << 20
 VOCABULARY = "byte_bpe_50k.tiktoken"
+WORD_VOCABULARY, END_ID = "word_bpe_49k.json", 2
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -108,8 +109,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    tokenizer = token_files.WordTokenizer(public_tokenizers.path(WORD_VOCABULARY), END_ID)
+    return token_files.read_files(spark, token_files.write_files(token_files.encode(_table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_rules, op2_warc, op3_quality_rules, op4_decontaminate, op5_bpe, op6_sharding, op7_suffix_dedup, op8_simhash, op9_quality_model, op10_language)}
+    return {f.__name__: f for f in (op1_url_rules, op2_warc, op3_quality_rules, op4_decontaminate, op5_bpe, op6_sharding, op7_suffix_dedup, op8_simhash, op9_quality_model, op10_language, op11_token_files)}
 
 
 OP1_SQL = r"""
