@@ -1,14 +1,15 @@
 """Token ids as files: one concatenated array of ids, with the document boundaries in Elias-Fano code.
 
-Texts are encoded by the tokenizers library, an end id is appended, and the ids are laid out in
-ascending document id over range partitions.  Each partition streams its ids into files that roll
+Texts are encoded by the tokenizers library, an end id is appended, and the ids, of two bytes where the
+vocabulary allows, are laid out in ascending document id over range partitions, whose bounds come from the
+ids alone so that a text is encoded once.  Each partition streams its ids into files that roll
 at a weight of ids and documents; a file ends with two Elias-Fano sequences, the boundaries of its documents
 and their ids, so that an offset needs a few bits and no table of 64-bit numbers.  Files are
 written under temporary names and renamed; the manifest, a Parquet table with one row a file, is written last and
 says at which id of the whole array a file begins.  What is not in the manifest is not in the archive.
 
 A null text is an empty one and has only the end id.  Null document ids come last.  Rows with one id come
-in the order of their ids' hash, equal rows side by side.  An empty table gives a manifest without rows.
+in the order of their texts' hash, equal rows side by side.  An empty table gives a manifest without rows.
 Columns other than the id and the text are not read.  Document ids may span at most 63 bits a file.
 """
 
@@ -24,23 +25,28 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tramline.llm.shared import drop_written, filesystem, work_path, written
+from tramline.llm.shared import filesystem, json_literal, let, work_path, written
 
 MAGIC = b"TOKIDS01"
 #: Weight at which a file rolls: its ids, and so many for each document.
 ROLL, DOC_WEIGHT = 64 << 20, 16
 #: Set bits between two stored places of a select structure.
 EVERY = 256
-#: Pieces whose ids a task remembers, and bytes of ids or text that it hands on at once.
-REMEMBERED, AT_ONCE = 1_000_000, 8 << 20
+#: Words whose ids a worker remembers in each of two generations, and bytes of ids or text that it hands on at once.
+REMEMBERED, AT_ONCE = 400_000, 8 << 20
+#: Letter runs that the library gets in one text.
+JOINED = 500
 
-#: A run of Latin letters before a stop, or all up to the next blank: no token spans two of them.  U+0130 isn't among the letters, as
-#: its lower case ends in a mark.
-PIECES = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+(?=[.,;:!?])|[^ \t-\r]+")
+#: Latin letters.  U+0130 isn't among them, as its lower case ends in a mark.
+LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f"
+#: A run of Latin letters before a stop, or all up to the next blank: no token spans two of them.
+PIECES = re.compile(f"[{LETTERS}]+(?=[.,;:!?])|[^ \t-\r]+")
+ALL_LETTERS = re.compile(f"[{LETTERS}]+")
+#: Python parts words at these, the library doesn't.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 class EliasFano:
@@ -96,86 +102,158 @@ class EliasFano:
 
 
 class WordTokenizer:
-    """A vocabulary file of the tokenizers library, loaded once a task; pieces between blanks are encoded once and remembered."""
+    """A vocabulary file of the tokenizers library whose tokens never span blanks; the library sees each new piece once.
+
+    What a Python worker has met is remembered for its next tasks, in two generations of bounded size.
+    """
+
+    _of_worker: dict[tuple, WordTokenizer] = {}
 
     def __init__(self, path: str, end: int) -> None:
-        self.path, self.end, self._library, self._known = path, end, None, {}
+        self.path, self.end = path, end
+        self._library, self._young, self._old = None, {}, {}
 
-    def __getstate__(self) -> dict:
-        return {"path": self.path, "end": self.end, "_library": None, "_known": {}}
+    def __reduce__(self) -> tuple:
+        return WordTokenizer._shared, (self.path, self.end)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text and the end id, four bytes each."""
+    @classmethod
+    def _shared(cls, path: str, end: int) -> WordTokenizer:
+        return cls._of_worker.setdefault((path, end), cls(path, end))
+
+    def _load(self) -> None:
         if self._library is None:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
             from tokenizers import Tokenizer
 
             self._library = Tokenizer.from_file(self.path)
-        cut = [PIECES.findall(t) if t else [] for t in texts]
-        if len(self._known) > REMEMBERED:
-            self._known = {}
-        new = list({p for ps in cut for p in ps if p not in self._known})
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
-            for p, e in zip(some, self._library.encode_batch(some, add_special_tokens=False), strict=True):
-                self._known[p] = np.array(e.ids, "<u4").tobytes()
-        end, known = np.array([self.end], "<u4").tobytes(), self._known
-        return [b"".join([*map(known.__getitem__, ps), end]) for ps in cut]
+            vocabulary = self._library.get_vocab()
+            self._closes = {i for t, i in vocabulary.items() if t.endswith("</w>")}
+            self.kind = "<u2" if max(self.end, *vocabulary.values()) < 1 << 16 else "<u4"
+
+    def width(self) -> int:
+        self._load()
+        return int(self.kind[-1])
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
+        """Pieces by the library: letter runs many at a time, parted after the tokens that close a word."""
+        out, plain, others = {}, [], []
+        for p in pieces:
+            (plain if self._closes and ALL_LETTERS.fullmatch(p) else others).append(p)
+        for i in range(0, len(plain), JOINED):
+            some, words, word = plain[i : i + JOINED], [], []
+            for t in self._library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids:
+                word.append(t)
+                if t in self._closes:
+                    words.append(word)
+                    word = []
+            if len(words) != len(some) or word:
+                others += some
+            else:
+                out.update(zip(some, map(self._pack, words), strict=True))
+        for i in range(0, len(others), 10_000):
+            some = others[i : i + 10_000]
+            out.update((p, self._pack(e.ids)) for p, e in zip(some, self._library.encode_batch_fast(some, add_special_tokens=False), strict=True))
+        return out
 
-
-def encode(docs: DataFrame, tokenizer: WordTokenizer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): four bytes an id, the end id last."""
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text and the end id, ``width`` bytes each."""
+        self._load()
+        cut = [[] if not t else t.split() if not any(c in t for c in SEPARATORS) else PIECES.findall(t) for t in texts]
+        now, parts = {}, {}
+        for w in set().union(*cut):
+            raw = self._young.get(w) or self._old.get(w)
+            if raw is None:
+                parts[w] = PIECES.findall(w)
+            else:
+                now[w] = raw
+        pieces = {}
+        for p in {p for ps in parts.values() for p in ps}:
+            pieces[p] = now.get(p) or self._young.get(p) or self._old.get(p)
+        pieces.update(self._encoded([p for p, raw in pieces.items() if raw is None]))
+        now.update((w, b"".join([pieces[p] for p in ps])) for w, ps in parts.items())
+        self._young.update(pieces)
+        self._young.update(now)
+        if len(self._young) > REMEMBERED:
+            self._old, self._young = self._young, {}
+        end, known = self._pack([self.end]), now
+        return [b"".join([*map(known.__getitem__, ws), end]) for ws in cut]
+
+
+def _place(id_col: str, text_col: str) -> Column:
+    """Where a document lies: null ids last, rows of one id by a hash of their text."""
+    doc = F.col(f"`{id_col}`").cast("long")
+    return F.struct(doc.isNull().alias("none"), F.coalesce(doc, F.lit(0)).alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("tie"))
+
+
+def _ranges(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, int]:
+    """A document's range, of as many as shuffles have parts: found on the narrow places, so that texts are encoded once."""
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    places = docs.select(_place(id_col, text_col).alias("place")).repartitionByRange(n, "place")
+    firsts = places.groupBy(F.spark_partition_id().alias("part")).agg(F.min("place").alias("place")).orderBy("place").collect()
+    cuts = [r.place.asDict() for r in firsts[1:]]
+    at = json_literal(cuts, "array<struct<none:boolean,id:bigint,tie:bigint>>")
+    steps = F.array(*(F.lit(1 << s) for s in range(max(1, len(cuts).bit_length()) - 1, -1, -1)))
+    search = lambda key: F.aggregate(steps, F.lit(0), lambda low, s: F.when((low + s <= len(cuts)) & (F.get(at, low + s - 1) <= key), low + s).otherwise(low))
+    return let(_place(id_col, text_col), search), len(cuts) + 1
+
+
+def encode(docs: DataFrame, tokenizer: WordTokenizer, id_col: str = "doc_id", text_col: str = "text", part: Column | None = None) -> DataFrame:
+    """(doc_id, part, tie, ids): ``tokenizer.width()`` bytes an id, the end id last; ``part`` and the text's hash are carried along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1)
+            texts = b.column(3)
             sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]) if len(texts) else np.zeros(0)
             at = 0
             for j in [*(np.flatnonzero(np.diff(np.cumsum(sizes) // AT_ONCE)) + 1).tolist(), len(texts)]:
                 if j > at:
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, j - at), pa.array(tokenizer.encode(texts.slice(at, j - at).to_pylist()), pa.binary())], ["doc_id", "ids"])
+                    ids = pa.array(tokenizer.encode(texts.slice(at, j - at).to_pylist()), pa.binary())
+                    yield pa.RecordBatch.from_arrays([*(b.column(i).slice(at, j - at) for i in range(3)), ids], ["doc_id", "part", "tie", "ids"])
                 at = j
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    part = F.lit(0) if part is None else part
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), part.cast("int").alias("part"), _place(id_col, text_col)["tie"].alias("tie"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, part int, tie long, ids binary")
 
 
-def write_files(encoded: DataFrame, roll: int = ROLL) -> str:
-    """Write (doc_id, ids) as files in the shared folder, in ascending document id; returns the folder."""
-    spark = encoded.sparkSession
-    folder = work_path(spark, "tokens")
-    rows = written(encoded.select("doc_id", "ids", F.xxhash64("ids").alias("tie"), F.monotonically_increasing_id().alias("row")), "token-ids")
-    order = [F.asc_nulls_last("doc_id"), F.asc("tie"), F.asc("row")]
+def write_files(docs: DataFrame, tokenizer: WordTokenizer, id_col: str = "doc_id", text_col: str = "text", roll: int = ROLL) -> str:
+    """Write the texts' ids as files in the shared folder, in ascending document id; returns the folder."""
+    folder = work_path(docs.sparkSession, "tokens")
+    part, n = _ranges(docs, id_col, text_col)
+    width = tokenizer.width()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
         system, path = filesystem(folder)
         system.create_dir(path, recursive=True)
-        out, seq, held = None, 0, None
+        out, seq, held = None, 0, {"part": None}
 
         def close() -> pa.RecordBatch:
-            ends, ids, nulls, n_ids = np.array(held["ends"], np.int64), np.array(held["ids"], np.int64), held["nulls"], held["at"]
+            ids, docs_, at = np.array(held["ids"], np.int64), len(held["ends"]), held["at"]
             base = int(ids[0]) if len(ids) else 0
-            boundaries = EliasFano.encode(ends).tobytes()
+            boundaries = EliasFano.encode(np.array(held["ends"], np.int64)).tobytes()
             names = EliasFano.encode((ids - base).view(np.uint64)).tobytes()
-            foot = json.dumps({"ids": n_ids, "docs": len(ends), "nulls": nulls, "base": base, "boundaries": len(boundaries), "names": len(names)}).encode()
+            foot = json.dumps({"ids": at, "width": width, "docs": docs_, "nulls": held["nulls"], "base": base, "boundaries": len(boundaries), "names": len(names)}).encode()
             out.write(boundaries + names + foot + struct.pack("<I", len(foot)) + MAGIC)
             out.close()
-            name = f"part-{part:06d}-{seq:06d}.ids"
+            name = f"part-{held['part']:06d}-{seq:06d}.ids"
             system.move(held["temp"], f"{path}/{name}")
-            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "name": [name], "n_ids": [n_ids], "n_docs": [len(ends)]})
+            return pa.RecordBatch.from_pydict({"part": pa.array([held["part"]], pa.int32()), "seq": [seq], "name": [name], "n_ids": [at], "n_docs": [docs_]})
 
         for b in batches:
-            for doc, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if out is not None and held["at"] + DOC_WEIGHT * len(held["ends"]) >= roll:
+            for doc, part, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if out is not None and (part != held["part"] or held["at"] + DOC_WEIGHT * len(held["ends"]) >= roll):
                     yield close()
-                    out, seq = None, seq + 1
+                    out, seq = None, seq + 1 if part == held["part"] else 0
                 if out is None:
-                    held = {"ends": [], "ids": [], "nulls": 0, "at": 0, "temp": f"{path}/.part-{part}-{os.urandom(8).hex()}"}
+                    held = {"part": part, "ends": [], "ids": [], "nulls": 0, "at": 0, "temp": f"{path}/.part-{part}-{os.urandom(8).hex()}"}
                     out = system.open_output_stream(held["temp"], compression=None)
                     out.write(MAGIC)
                 raw = ids.as_buffer()
                 out.write(raw)
-                held["at"] += raw.size // 4
+                held["at"] += raw.size // width
                 held["ends"].append(held["at"])
                 if doc is None:
                     held["nulls"] += 1
@@ -184,12 +262,11 @@ def write_files(encoded: DataFrame, roll: int = ROLL) -> str:
         if out is not None:
             yield close()
 
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "ids")
-    files = written(dealt.mapInArrow(write, "part long, seq long, name string, n_ids long, n_docs long"), "token-parts")
+    rows = encode(docs, tokenizer, id_col, text_col, part).repartitionById(n, F.col("part"))
+    dealt = rows.sortWithinPartitions("part", F.asc_nulls_last("doc_id"), "tie").select("doc_id", "part", "ids")
+    files = written(dealt.mapInArrow(write, "part int, seq long, name string, n_ids long, n_docs long"), "token-parts")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # over one row a file
     files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).coalesce(1).write.parquet(f"{folder}/manifest")
-    drop_written(rows)
     return folder
 
 
@@ -203,6 +280,7 @@ class TokenFile:
         if self.source.read_at(8, size - 8) != MAGIC or self.source.read_at(8, 0) != MAGIC:
             raise ValueError(f"{path} is not a whole file of token ids")
         self.foot = json.loads(self.source.read_at(n, size - 12 - n))
+        self.width = self.foot["width"]
         a, b = self.foot["boundaries"], self.foot["names"]
         self.ends = EliasFano.frombytes(self.source.read_at(a, size - 12 - n - b - a))
         self.names = EliasFano.frombytes(self.source.read_at(b, size - 12 - n - b))
@@ -219,12 +297,14 @@ class TokenFile:
         some = self.names.slice(i, min(j, known)) + self.foot["base"]
         return [*some.tolist(), *[None] * (j - max(i, known) if j > known else 0)]
 
-    def raw(self, start: int, end: int) -> bytes:
-        return self.source.read_at(4 * (end - start), len(MAGIC) + 4 * start)
+    def ids(self, start: int, end: int) -> np.ndarray:
+        """Ids from one place of the array to another, as little-endian numbers of four bytes."""
+        raw = self.source.read_at(self.width * (end - start), len(MAGIC) + self.width * start)
+        return np.frombuffer(raw, f"<u{self.width}").astype("<u4", copy=False)
 
     def document(self, i: int) -> np.ndarray:
         a, b = self.bounds(i, i + 1).tolist()
-        return np.frombuffer(self.raw(a, b), "<u4")
+        return self.ids(a, b)
 
 
 def read_files(spark: SparkSession, folder: str, ids: bool = False) -> DataFrame:
@@ -242,11 +322,12 @@ def read_files(spark: SparkSession, folder: str, ids: bool = False) -> DataFrame
                     at = f.bounds(i, min(n, i + 10_000))
                     j = i + max(1, int(np.searchsorted(at, at[0] + AT_ONCE // 4, "right")) - 1)  # documents up to so many bytes, or one longer
                     at = at[: j - i + 1]
-                    raw = memoryview(f.raw(int(at[0]), int(at[-1])))
-                    cut = (4 * (at - at[0])).tolist()
-                    out = {"doc_id": pd.array(f.doc_ids(i, j), "Int64"), "start": at[:-1] + base, "n_tokens": np.diff(at), "ids_crc32": [zlib.crc32(raw[x:y]) for x, y in zip(cut, cut[1:], strict=False)]}
+                    own = f.ids(int(at[0]), int(at[-1]))
+                    cut = (at - at[0]).tolist()
+                    each = [own[x:y] for x, y in zip(cut, cut[1:], strict=False)]
+                    out = {"doc_id": pd.array(f.doc_ids(i, j), "Int64"), "start": at[:-1] + base, "n_tokens": np.diff(at), "ids_crc32": [zlib.crc32(x) for x in each]}
                     if ids:
-                        out["ids"] = [np.frombuffer(raw[x:y], "<u4").astype(np.int64) for x, y in zip(cut, cut[1:], strict=False)]
+                        out["ids"] = [x.astype(np.int64) for x in each]
                     yield pd.DataFrame(out)
                     i = j
 
