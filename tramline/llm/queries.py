@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import bpe, decontaminate, language, quality_model, quality_rules, sharding, simhash, suffix_dedup, token_files, url_rules, warc
+from tramline.llm import bpe, conversations, decontaminate, language, quality_model, quality_rules, sharding, simhash, suffix_dedup, token_files, url_rules, warc
 from tramline.llm.shared import shared_dir, utf8_size, written
 
 #: Fixed rules of the query: host, path, verdict.
@@ -113,11 +113,25 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     tokenizer = token_files.WordTokenizer(public_tokenizers.path(WORD_VOCABULARY), END_ID)
-    return token_files.read_files(spark, token_files.write_files(token_files.encode(_table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer)))
+    return token_files.read_files(spark, token_files.write_files(_table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer))
+
+
+def damaged(talks: DataFrame) -> DataFrame:
+    """The contract's damage: some rows dropped, emptied, cut, repeated or given to the user, by a checksum of their place; nulls are one space."""
+    some = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    hit = F.crc32(F.concat(some("conv_id"), F.lit(":"), some("turn")).cast("binary")) % 20
+    text = F.when(hit == 1, "").when(hit == 2, F.regexp_replace(some("text"), "[.!?]", "")).otherwise(some("text"))
+    rows = talks.filter(hit != 0)
+    return rows.select("conv_id", "turn", F.when(hit == 4, "user").otherwise(some("role")).alias("role"), text.alias("text"), F.explode(F.sequence(F.lit(1), F.when(hit == 3, 2).otherwise(1))).alias("copy")).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return conversations.repair(damaged(talks), talks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_rules, op2_warc, op3_quality_rules, op4_decontaminate, op5_bpe, op6_sharding, op7_suffix_dedup, op8_simhash, op9_quality_model, op10_language, op11_token_files)}
+    return {f.__name__: f for f in (op1_url_rules, op2_warc, op3_quality_rules, op4_decontaminate, op5_bpe, op6_sharding, op7_suffix_dedup, op8_simhash, op9_quality_model, op10_language, op11_token_files, op12_conversation_repair)}
 
 
 OP1_SQL = r"""
@@ -170,6 +184,37 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_STEPS = ", ".join(["-1"] * 8)
+OP12_SQL = f"""
+WITH RECURSIVE r AS (SELECT coalesce(conv_id::VARCHAR, '') AS k, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(place, ''), lambda c: [ascii(c)::BIGINT, {_STEPS}]))),
+  lambda x, b: CASE WHEN b >= 0 THEN xor(x, b) WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END), 4294967295) % 20 AS hit FROM r),
+d AS (SELECT k, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, n
+  FROM h, (VALUES (0), (1)) AS c(n) WHERE hit <> 0 AND (n = 0 OR hit = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text, n) AS i, row_number() OVER (PARTITION BY k, role, text ORDER BY turn NULLS FIRST, n) AS nth, left(role, 1) AS ini FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ \t-\r]') THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(regexp_replace(text, '[ \t-\r]+$', ''), 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+  lag(ini) OVER (PARTITION BY k ORDER BY i) || ini AS pair, i > 1 AS paired FROM o),
+e AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000000 WHEN fault = 'truncated' THEN 3 ELSE 0 END AS x FROM f),
+walk AS (SELECT k, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': ''}} AS s0, {{'c': 1000000000::BIGINT, 'a': ''}} AS s1, {{'c': 3::BIGINT, 'a': 'I'}} AS s2, {{'c': 6::BIGINT, 'a': 'II'}} AS s3 FROM (SELECT DISTINCT k FROM e)
+  UNION ALL SELECT k, i, t0, t1, c2, list_min([t3, {{'c': c2.c + 3, 'a': c2.a || 'I'}}]) FROM (
+    SELECT *, list_min([t2, {{'c': t0.c + 3, 'a': t0.a || 'I'}}, {{'c': t1.c + 3, 'a': t1.a || 'I'}}, {{'c': t3.c + 3, 'a': t3.a || 'I'}}]) AS c2 FROM (
+      SELECT e.k, e.i, {{'c': s0.c + 4, 'a': s0.a || 'D'}} AS t0,
+        list_min([{{'c': s1.c + 4, 'a': s1.a || 'D'}}, {{'c': s0.c + x + CASE ini WHEN 's' THEN 0 ELSE 1000000000 END, 'a': s0.a || 'K'}}]) AS t1,
+        list_min(list_concat([{{'c': s2.c + 4, 'a': s2.a || 'D'}}], flatten(list_transform([s0, s1, s3], lambda q: [{{'c': q.c + x + CASE ini WHEN 'u' THEN 0 ELSE 1000000000 END, 'a': q.a || 'K'}}, {{'c': q.c + x + 3, 'a': q.a || 'R'}}])))) AS t2,
+        list_min([{{'c': s3.c + 4, 'a': s3.a || 'D'}}, {{'c': s2.c + x + CASE ini WHEN 'a' THEN 0 ELSE 1000000000 END, 'a': s2.a || 'K'}}, {{'c': s2.c + x + 3, 'a': s2.a || 'R'}}]) AS t3
+      FROM walk JOIN e ON e.k = walk.k AND e.i = walk.i + 1) AS y) AS z),
+best AS (SELECT k, list_min([arg_max(s0, i), arg_max(s3, i)]) AS b FROM walk GROUP BY k),
+l AS (SELECT k, p, b.a[p] AS letter, sum(CASE WHEN b.a[p] <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY p) AS i FROM best, unnest(range(1, length(b.a) + 1)) AS u(p)),
+kept AS (SELECT l.k, p, letter, CASE WHEN letter = 'I' THEN '' ELSE text END AS text, role, ini, row_number() OVER (PARTITION BY l.k ORDER BY p) - 1 AS seq FROM l LEFT JOIN e ON e.k = l.k AND e.i = l.i WHERE letter <> 'D'),
+told AS (SELECT *, max(CASE WHEN seq = 0 AND letter = 'K' AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY k) AS led FROM kept),
+said AS (SELECT k, string_agg(CASE WHEN letter = 'K' THEN role WHEN (seq - led) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p) AS lines FROM told GROUP BY k),
+n AS (SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (paired AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY k)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT k, conv_id FROM r) AS c LEFT JOIN n USING (k) LEFT JOIN best USING (k) LEFT JOIN said USING (k)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_rules": OP1_SQL, "op2_warc": OP2_SQL, "op3_quality_rules": OP3_SQL, "op4_decontaminate": OP4_SQL}
+    return {"op1_url_rules": OP1_SQL, "op2_warc": OP2_SQL, "op3_quality_rules": OP3_SQL, "op4_decontaminate": OP4_SQL, "op12_conversation_repair": OP12_SQL}
