@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import bpe, conversations, decontaminate, language, quality_model, quality_rules, sharding, simhash, suffix_dedup, token_files, url_rules, warc
+from tramline.llm import bpe, conversations, decontaminate, hard_negatives, language, quality_model, quality_rules, sharding, simhash, suffix_dedup, token_files, url_rules, warc
 from tramline.llm.shared import shared_dir, utf8_size, written
 
 #: Fixed rules of the query: host, path, verdict.
@@ -130,8 +130,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(damaged(talks), talks)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("id") % 100 == 0, "vec_id", "embedding", "label")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_rules, op2_warc, op3_quality_rules, op4_decontaminate, op5_bpe, op6_sharding, op7_suffix_dedup, op8_simhash, op9_quality_model, op10_language, op11_token_files, op12_conversation_repair)}
+    return {f.__name__: f for f in (op1_url_rules, op2_warc, op3_quality_rules, op4_decontaminate, op5_bpe, op6_sharding, op7_suffix_dedup, op8_simhash, op9_quality_model, op10_language, op11_token_files, op12_conversation_repair, op13_hard_negatives)}
 
 
 OP1_SQL = r"""
@@ -215,6 +221,16 @@ SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
 FROM (SELECT DISTINCT k, conv_id FROM r) AS c LEFT JOIN n USING (k) LEFT JOIN best USING (k) LEFT JOIN said USING (k)
 """
 
+OP13_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE same) AS x WHERE k <= 5),
+n AS (SELECT anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT * FROM n WHERE rank <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_rules": OP1_SQL, "op2_warc": OP2_SQL, "op3_quality_rules": OP3_SQL, "op4_decontaminate": OP4_SQL, "op12_conversation_repair": OP12_SQL}
+    return {"op1_url_rules": OP1_SQL, "op2_warc": OP2_SQL, "op3_quality_rules": OP3_SQL, "op4_decontaminate": OP4_SQL, "op12_conversation_repair": OP12_SQL, "op13_hard_negatives": OP13_SQL}
