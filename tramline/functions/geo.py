@@ -193,6 +193,26 @@ def beside_segments(rows: DataFrame) -> DataFrame:
     return out.drop("__m", "__n", "__px", "__py", "__dx", "__dy", "__ex", "__ey", "__s", "__gx", "__gy", "__cx", "__cy")
 
 
+def beside_segment(ax: Column, ay: Column, bx: Column, by: Column, lat: Column, lon: Column) -> Column:
+    """(gap, t, apart) of ``beside_segments`` for one segment, inside a lambda over an array of them."""
+    k, zero = pi / 180, F.lit(0.0)
+    along = lambda num, x, y: F.greatest(zero, F.least(F.lit(1.0), F.coalesce(num / F.nullif(x * x + y * y, zero), zero)))
+
+    def flat(r: Column) -> Column:
+        return F.struct(((ax - lon) * r["n"]).alias("px"), ((ay - lat) * r["m"]).alias("py"), ((bx - ax) * r["n"]).alias("dx"), ((by - ay) * r["m"]).alias("dy"))
+
+    def shares(p: Column) -> Column:
+        s = along(-(p["px"] * p["dx"] + p["py"] * p["dy"]), p["dx"], p["dy"])
+        return F.struct(p["px"], p["py"], p["dx"], p["dy"], s.alias("s"), along((lon - ax) * (bx - ax) + (lat - ay) * (by - ay), bx - ax, by - ay).alias("t"))
+
+    def gaps(q: Column) -> Column:
+        x, y = q["px"] + q["s"] * q["dx"], q["py"] + q["s"] * q["dy"]
+        return F.struct(F.sqrt(x * x + y * y).alias("gap"), q["t"].alias("t"), planar(ax + q["t"] * (bx - ax), ay + q["t"] * (by - ay), lon, lat).alias("apart"))
+
+    m, n = _radii(lat)
+    return let(let(let(F.struct((k * m).alias("m"), (k * n).alias("n")), flat), shares), gaps)
+
+
 def cells(lat: Column, lon: Column, metres: float, spread: bool = False) -> Column:
     """Grid cell of a point, or with ``spread`` the cells around it that hold every point within ``metres``.
 

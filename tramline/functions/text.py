@@ -60,6 +60,11 @@ def epoch_millis(x: Column, as_of: Column) -> Column:
     return F.coalesce(F.timestamp_millis(F.trim(x).try_cast("bigint")), as_of)
 
 
+def double_key(x: Column) -> Column:
+    """A double as text of 17 digits: equal texts for equal numbers only."""
+    return F.format_string("%.16e", x)
+
+
 def upper_trim(x: Column) -> Column:
     return F.upper(F.trim(x))
 

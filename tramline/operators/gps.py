@@ -89,8 +89,8 @@ def stop_by_name(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_stop(rows: DataFrame, gate: float = 150.0) -> DataFrame:
-    """Rows that may be passages: a named next stop, at most ``gate`` metres away (stop, stop_m)."""
-    return rows.filter(F.trim(F.coalesce("stop", F.lit(""))) != "").filter(F.col("stop_m") <= gate)
+    """Rows that may be passages: on an itinerary, at a known place of it, a named next stop at most ``gate`` metres away (stop, stop_m)."""
+    return rows.filter("itinerary_id IS NOT NULL AND fraction IS NOT NULL").filter(F.trim(F.coalesce("stop", F.lit(""))) != "").filter(F.col("stop_m") <= gate)
 
 
 def passages(rows: DataFrame, most_s: int = 1800, gate: float = 150.0) -> DataFrame:
@@ -101,11 +101,11 @@ def passages(rows: DataFrame, most_s: int = 1800, gate: float = 150.0) -> DataFr
     """
     w = Window.partitionBy("vehicle_id", "itinerary_id").orderBy("ts", "event_id")
     heads = near_stop(rows, gate).withColumn("old", F.lag("stop").over(w)).filter("old IS NULL OR old <> stop")
-    gap = F.expr("timestampdiff(SECOND, lag_ts, ts)")
+    gap = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("lag_ts").cast("timestamp"))) / 1e6
     out = heads.withColumn("lag_ts", F.lag("ts").over(w)).withColumn("lag_f", F.lag("fraction").over(w)).withColumn("gap", gap)
     more = ["stop_id"] if "stop_id" in rows.columns else []
     return out.select(
-        "vehicle_id", "itinerary_id", "event_id", "ts", "stop", *more, F.when(F.col("gap").between(0, most_s), F.col("gap")).alias("secs_since_prev"),
+        "vehicle_id", "itinerary_id", "event_id", "ts", "stop", *more, F.when(F.col("gap").between(0, most_s), F.round("gap", 6)).alias("secs_since_prev"),
         F.when(F.col("fraction") > F.col("lag_f"), F.round((F.col("fraction") - F.col("lag_f")) * F.col("length_m"), 6)).alias("leg_m"),
     )
 

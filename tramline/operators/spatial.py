@@ -142,13 +142,14 @@ def _sent(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.limit(SENT_ROWS + 1).count() <= SENT_ROWS else side
 
 
-def _cell_size(metres: float) -> float:
+def cell_size(metres: float) -> float:
+    """Degrees of a cell's side in ``covered_segments``."""
     return 2 * metres / geo.DEGREE_METRES
 
 
-def _covered(segments: DataFrame, metres: float) -> DataFrame:
+def covered_segments(segments: DataFrame, metres: float) -> DataFrame:
     """Segments in every cell from which one may be the nearest within ``metres``, in metres or in degrees."""
-    size = _cell_size(metres)
+    size = cell_size(metres)
     far = F.least(F.lit(89.9), F.greatest(F.abs("ay"), F.abs("by")) + size)
     reach = F.lit(metres / geo.DEGREE_METRES * 1.001) / F.cos(F.radians(far))
     at = lambda a, b: F.sequence(F.floor((F.least(a, b) - reach) / size), F.floor((F.greatest(a, b) + reach) / size))
@@ -173,12 +174,12 @@ def match_routes(pings: DataFrame, itineraries: DataFrame, heading: str, metres:
     the two pieces of line about that fraction.  Pings are dealt by ``key`` once, over as many
     parts as shuffles have, and stay there; the columns are plain, so that the work is compiled.
     """
-    segments = segment_rows(itineraries).cache()  # the catalogue of lines, used four times
-    size = _cell_size(metres)
+    segments = segment_rows(itineraries)
+    size = cell_size(metres)
     n = int(pings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = F.struct(*(F.col(f"`{c}`") for c in pings.columns)).alias("ping")
     dealt = pings.repartition(n, key).select(F.col(key).alias("ping_key"), whole, "line_id", "lat", "lon", F.floor(F.col("lat") / size).alias("cy"), F.floor(F.col("lon") / size).alias("cx"))
-    near = dealt.join(_sent(_covered(segments, metres)), ["line_id", "cy", "cx"])
+    near = dealt.join(_sent(covered_segments(segments, metres)), ["line_id", "cy", "cx"])
     near = geo.beside_segments(near)
     spot = F.struct(F.col("apart").alias("d"), "k", (F.col("upto") + F.col("t") * F.col("n")).alias("at"))
     fit = near.groupBy("ping_key", "itinerary_id").agg(F.min("gap").alias("metres"), F.min(spot).alias("spot"), F.first("total").alias("total"), F.first("ping").alias("ping")).filter(F.col("metres") <= metres)

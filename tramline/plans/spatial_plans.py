@@ -25,12 +25,12 @@ def ping_moves(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("event_id", F.round(geo.haversine(*at), 6).alias("moved_m"), F.round(geo.bearing(*at), 6).alias("bearing"), F.round(geo.ellipsoid(*at), 6).alias("moved_ellipsoid_m"))
 
 
-_HEADED = f"""headed0 AS (SELECT *, CASE WHEN {haversine('plat', 'plon', 'lat', 'lon')} >= 10 THEN {bearing('plat', 'plon', 'lat', 'lon')} END AS raw
+HEADED = f"""headed0 AS (SELECT *, CASE WHEN {haversine('plat', 'plon', 'lat', 'lon')} >= 10 THEN {bearing('plat', 'plon', 'lat', 'lon')} END AS raw
   FROM (SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM ping WINDOW w AS (PARTITION BY vehicle_id ORDER BY ts, event_id)) AS p0),
 headed AS (SELECT *, last_value(raw IGNORE NULLS) OVER (PARTITION BY vehicle_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM headed0)"""
 
 
-@query(prelude("ping") + f", {_HEADED} SELECT event_id, round(heading, 6) AS heading FROM headed")
+@query(prelude("ping") + f", {HEADED} SELECT event_id, round(heading, 6) AS heading FROM headed")
 def ping_headings(spark: SparkSession, sf: str) -> DataFrame:
     return gps.with_heading(view(spark, sf, "ping")).select("event_id", F.round("heading", 6).alias("heading"))
 
@@ -166,7 +166,7 @@ def import_tiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ENDS = " UNION ALL ".join(f"SELECT event_id, itinerary_id, {side} AS side, greatest(0e0, least(1e0, fraction {op} 0.025e0)) AS f FROM spots" for side, op in ((0, "-"), (1, "+")))
-MATCHED = f"""{SEGMENTS}, {_HEADED}, {located("headed", "event_id", "seg.line_id = p.line_id")},
+MATCHED = f"""{SEGMENTS}, {HEADED}, {located("headed", "event_id", "seg.line_id = p.line_id")},
 near_ AS (SELECT event_id, itinerary_id, min(gap) AS metres FROM placed GROUP BY ALL HAVING min(gap) <= 250),
 tip AS (SELECT * FROM (SELECT e.event_id, e.itinerary_id, side, ax + (f * total - upto) / n * (bx - ax) AS lon, ay + (f * total - upto) / n * (by_ - ay) AS lat,
   row_number() OVER (PARTITION BY e.event_id, e.itinerary_id, side ORDER BY idx) AS rn FROM ({_ENDS}) e JOIN seg USING (itinerary_id) WHERE upto + n >= f * total - 1e-12) AS x WHERE rn = 1),

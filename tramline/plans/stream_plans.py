@@ -12,7 +12,7 @@ from tramline.plans.registry import query, route_fold
 from tramline.streaming import gps_stream
 
 
-def _folder(spark: SparkSession, name: str) -> str:
+def folder_for(spark: SparkSession, name: str) -> str:
     """A new folder where the session's executors can all write; only a local master may do without a shared one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
@@ -29,7 +29,7 @@ def _pings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _result(spark: SparkSession, rows: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    at = _folder(spark, name)
+    at = folder_for(spark, name)
     gps_stream.run_once(rows, f"{at}/rows", f"{at}/state", mode)
     return spark.read.parquet(f"{at}/rows")
 
@@ -63,7 +63,7 @@ def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT user_id AS vehicle_id, max(ts) AS ts FROM events GROUP BY 1")
 def stream_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     """The snapshot table after the last cycle: the newest ping of each vehicle."""
-    at = _folder(spark, "snapshot")
+    at = folder_for(spark, "snapshot")
     gps_stream.run_snapshots(gps_stream.latest_rows(_pings(spark, sf)), f"{at}/rows", f"{at}/state", once=True).awaitTermination()
     rows = spark.read.parquet(f"{at}/rows")
     return rows.groupBy("vehicle_id").agg(F.max("ts").cast("timestamp_ntz").alias("ts"))

@@ -81,19 +81,19 @@ def line_switches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _PASSAGES = """heads AS (SELECT * FROM (SELECT *, lag(stop) OVER (PARTITION BY vehicle_id, itinerary_id ORDER BY ts, event_id) AS old FROM r) AS x WHERE old IS NULL OR old <> stop),
-gaps AS (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) // 1000000 AS gap, lag(fraction) OVER w AS lf FROM heads WINDOW w AS (PARTITION BY vehicle_id, itinerary_id ORDER BY ts, event_id))"""
+gaps AS (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 AS gap, lag(fraction) OVER w AS lf FROM heads WINDOW w AS (PARTITION BY vehicle_id, itinerary_id ORDER BY ts, event_id))"""
 
 
 @query(
     prelude("ping") + f""", r AS (SELECT vehicle_id, line_id * 2 AS itinerary_id, event_id, ts, k / 20e0 AS fraction, 'S' || (k // 2) AS stop FROM ping WHERE event_id % 17 <> 0 AND event_id % 190 <= 150),
 {_PASSAGES}
-SELECT vehicle_id, itinerary_id, event_id, ts, stop, CASE WHEN gap BETWEEN 0 AND 36000 THEN gap END AS secs_since_prev, CASE WHEN fraction > lf THEN round((fraction - lf) * 10000, 6) END AS leg_m FROM gaps"""
+SELECT vehicle_id, itinerary_id, event_id, ts, stop, CASE WHEN gap BETWEEN 0 AND 36000 THEN round(gap, 6) END AS secs_since_prev, CASE WHEN fraction > lf THEN round((fraction - lf) * 10000, 6) END AS leg_m FROM gaps"""
 )
 def stop_passages(spark: SparkSession, sf: str) -> DataFrame:
-    return gps.passages(_near_stops(spark, sf), 36000)
+    return gps.passages(near_stops(spark, sf), 36000)
 
 
-def _near_stops(spark: SparkSession, sf: str) -> DataFrame:
+def near_stops(spark: SparkSession, sf: str) -> DataFrame:
     """Pings with a next stop, 0 to 189 metres ahead."""
     stop = F.when(F.col("event_id") % 17 != 0, F.concat(F.lit("S"), F.expr("k div 2").cast("string")))
     return view(spark, sf, "ping").select("vehicle_id", (F.col("line_id") * 2).alias("itinerary_id"), "event_id", "ts", (F.col("k") / 20).alias("fraction"), F.lit(10000.0).alias("length_m"), stop.alias("stop"), (F.col("event_id") % 190).cast("double").alias("stop_m"))
@@ -106,12 +106,16 @@ _LINKS = "link_ AS (SELECT itinerary_id, stop_id, 'S' || (stop_id % 21) AS name,
     prelude("ping", "itinerary_stop") + f""", {_LINKS}, p AS (SELECT vehicle_id, line_id * 2 AS itinerary_id, event_id, ts, k / 20e0 AS fraction, 'S' || (k // 2) AS stop FROM ping WHERE event_id % 17 <> 0 AND event_id % 190 <= 150),
 r AS (SELECT p.*, stop_id FROM p JOIN (SELECT event_id, first(stop_id ORDER BY l.fraction, stop_id) AS stop_id FROM p JOIN link_ l ON l.itinerary_id = p.itinerary_id AND l.name = p.stop AND l.fraction >= p.fraction GROUP BY event_id) USING (event_id)),
 {_PASSAGES}
-SELECT vehicle_id, itinerary_id, event_id, ts, stop, stop_id, CASE WHEN gap BETWEEN 0 AND 36000 THEN gap END AS secs_since_prev, CASE WHEN fraction > lf THEN round((fraction - lf) * 10000, 6) END AS leg_m FROM gaps"""
+SELECT vehicle_id, itinerary_id, event_id, ts, stop, stop_id, CASE WHEN gap BETWEEN 0 AND 36000 THEN round(gap, 6) END AS secs_since_prev, CASE WHEN fraction > lf THEN round((fraction - lf) * 10000, 6) END AS leg_m FROM gaps"""
 )
 def stop_passages_by_name(spark: SparkSession, sf: str) -> DataFrame:
     """Passages at the first stop of the announced name that is not behind the vehicle."""
-    links = view(spark, sf, "itinerary_stop").select("itinerary_id", "stop_id", F.concat(F.lit("S"), F.col("stop_id") % 21).alias("name"), "fraction")
-    return gps.passages(gps.stop_by_name(gps.near_stop(_near_stops(spark, sf)), links), 36000)
+    return gps.passages(gps.stop_by_name(gps.near_stop(near_stops(spark, sf)), named_links(spark, sf)), 36000)
+
+
+def named_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Stops of itineraries under names that several share."""
+    return view(spark, sf, "itinerary_stop").select("itinerary_id", "stop_id", F.concat(F.lit("S"), F.col("stop_id") % 21).alias("name"), "fraction")
 
 
 @query(prelude("ping") + "SELECT CAST(hour(ts - INTERVAL 3 HOURS) AS INTEGER) AS hour, CAST(dayofweek(ts - INTERVAL 3 HOURS) AS INTEGER) AS weekday, count(*) AS n FROM ping GROUP BY 1, 2")
