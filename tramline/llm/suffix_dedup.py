@@ -34,17 +34,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.shared import written
+from tramline.llm.shared import by_bytes, written
 
 LENGTH = 100
 #: Grams in the winnowing window, a power of two; a gram has LENGTH - WINDOW + 1 bytes.
 WINDOW = 64
 GRAM = LENGTH - WINDOW + 1
 #: Bytes of documents looked at together, of strings refined together, of pieces in one construction.
-BLOCK, BATCH, CONSTRUCT = 1 << 16, 4 << 20, 1 << 20
+BLOCK, BATCH, CONSTRUCT = 1 << 16, 2 << 20, 1 << 20
 #: Blocks whose picks are returned together.
 TOGETHER = 16
 #: Windows in a piece; a power of two.
@@ -165,35 +167,35 @@ def _groups(texts: list[bytes]) -> Iterator[list[tuple[int, int]]]:
 def find_picks(docs: DataFrame) -> DataFrame:
     """docs (id, tie, text) to id, tie, start, shape, h, around."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher(BLOCK + (1 << 18))
-        for b in batches:
-            texts = [(t or "").encode() for t in b["text"]]
-            ids, ties = b["id"].to_numpy(), b["tie"].to_numpy()
+        for b in (part for whole in batches for part in by_bytes(whole, "text")):
+            texts = [(t or "").encode() for t in b.column("text").to_pylist()]
+            ids, ties = b.column("id").to_numpy(), b.column("tie").to_numpy()
             for several in _groups(texts):
                 with np.errstate(over="ignore"):
                     found = [picks(texts[lo:hi], hasher) for lo, hi in several]
                 text = np.concatenate([lo + f[0] for (lo, _), f in zip(several, found, strict=True)])
                 start, shape, h, around = (np.concatenate(x) for x in list(zip(*found, strict=True))[1:])
-                yield pd.DataFrame({"id": ids[text], "tie": ties[text], "start": start, "shape": shape.astype(np.int32), "h": h.view(np.int64), "around": around.view(np.int64)})
+                yield pa.RecordBatch.from_pydict({"id": ids[text], "tie": ties[text], "start": start, "shape": shape.astype(np.int32), "h": h.view(np.int64), "around": around.view(np.int64)})
 
-    return docs.mapInPandas(run, "id long, tie long, start long, shape int, h long, around long")
+    return docs.mapInArrow(run, "id long, tie long, start long, shape int, h long, around long")
 
 
 def often_picked(docs: DataFrame) -> DataFrame:
     """h of the grams that are picked twice or more; what a task sees is counted there."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher(BLOCK + (1 << 18))
-        for b in batches:
-            texts = [(t or "").encode() for t in b["text"]]
+        for b in (part for whole in batches for part in by_bytes(whole, "text")):
+            texts = [(t or "").encode() for t in b.column("text").to_pylist()]
             for several in _groups(texts):
                 with np.errstate(over="ignore"):
                     found = [_winnowed(texts[lo:hi], hasher) for lo, hi in several]
                 h, n = np.unique(np.concatenate([f[2][f[4]] for f in found]).view(np.int64), return_counts=True)
-                yield pd.DataFrame({"h": h, "n": n.astype(np.int64)})
+                yield pa.RecordBatch.from_pydict({"h": h, "n": n.astype(np.int64)})
 
-    return docs.select("text").mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
+    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
 
 
 class _RangeMin:
@@ -351,27 +353,27 @@ def _strings(picked: DataFrame, docs: DataFrame) -> DataFrame:
     A left join, as the last step's is, so that both read one exchange of the texts.
     """
     wanted = picked.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "shape", "h", "crowded")).alias("picks"))
-    columns = ["h", "id", "tie", "base", "pick", "body", "crowded"]
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out: list[tuple] = []
-            for i, tie, text, start, shape, h, crowded in zip(*(b[c] for c in ("id", "tie", "text", "start", "shape", "h", "crowded")), strict=True):
-                if start is None:
-                    continue
-                raw = text.encode()
-                for a, z, own, many in zip(start.tolist(), shape.tolist(), h.tolist(), crowded.tolist(), strict=True):
-                    n, pick = divmod(z, WINDOW)
-                    out.append((own, i, tie, a, pick, raw[a : a + n], many))
-                if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=columns)
-                    out = []
-            if out:
-                yield pd.DataFrame(out, columns=columns)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in by_bytes(whole.filter(pc.is_valid(whole.column("start"))), "text")):
+            bodies, picked_at = [], []
+            lists = [b.column(c) for c in ("start", "shape", "h", "crowded")]
+            owner = np.repeat(np.arange(b.num_rows), pc.list_value_length(lists[0]).to_numpy())
+            start, shape, h, crowded = (x.flatten() for x in lists)
+            texts = b.column("text")
+            now, raw = -1, b""
+            for k, a, z in zip(owner.tolist(), start.to_pylist(), shape.to_pylist(), strict=True):
+                if k != now:
+                    now, raw = k, texts[k].as_py().encode()
+                n, pick = divmod(z, WINDOW)
+                bodies.append(raw[a : a + n])
+                picked_at.append(pick)
+            out = {"h": h, "id": b.column("id").take(pa.array(owner)), "tie": b.column("tie").take(pa.array(owner)), "base": start, "pick": pa.array(picked_at, pa.int64()), "body": pa.array(bodies, pa.binary()), "crowded": crowded}
+            yield pa.RecordBatch.from_pydict(out)
 
     # one array a field, which Python holds as plain numbers
     rows = docs.join(wanted, ["id", "tie"], "left").select("id", "tie", "text", "picks.start", "picks.shape", "picks.h", "picks.crowded")
-    return rows.mapInPandas(cut, "h long, id long, tie long, base long, pick long, body binary, crowded boolean")
+    return rows.mapInArrow(cut, "h long, id long, tie long, base long, pick long, body binary, crowded boolean")
 
 
 def _refined(bodies: list[bytes], pick: np.ndarray, where: np.ndarray, hasher: _Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -443,7 +445,7 @@ def _construct(strings: DataFrame) -> DataFrame:
     """id, tie, start, end: bytes of the strings that repeat earlier ones."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = _Hasher(BATCH + (1 << 20))
+        hasher = _Hasher(BATCH + (1 << 19))
         rows, held = [], 0
 
         def flush() -> pd.DataFrame:
@@ -519,12 +521,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     spans = repeated_spans(keyed.select("id", "tie", "text"), most)
     gathered = spans.groupBy("id", "tie").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in by_bytes(whole, "text")):
             kept, sizes, removed, merged = [], [], [], []
-            for text, start, end in zip(b["text"], b["start"], b["end"], strict=True):
-                raw = (text or "").encode()
-                runs = _merged([(a, min(e, len(raw))) for a, e in zip(start.tolist(), end.tolist(), strict=True)] if start is not None else [])
+            for text, start, end in zip(b.column("text"), b.column("start").to_pylist(), b.column("end").to_pylist(), strict=True):
+                raw = (text.as_py() or "").encode()
+                runs = _merged([(a, min(e, len(raw))) for a, e in zip(start, end, strict=True)] if start is not None else [])
                 parts, upto = [], 0
                 for a, e in runs:
                     parts.append(raw[upto:a])
@@ -534,12 +538,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
                 removed.append(sum(e - a for a, e in runs))
                 merged.append([{"start": a, "end": e} for a, e in runs])
                 kept.append("".join(p.decode(errors="ignore") for p in parts) if as_text else b"".join(parts))
-            ids = b["id"].astype("Int64").mask(b["id"] == null_id)
-            yield pd.DataFrame({"id": ids, "n_bytes": sizes, "n_removed": removed, "spans": merged, "kept": kept} | {c: b[c] for c, _ in kinds})
+            ids = b.column("id")
+            out = [pc.if_else(pc.equal(ids, null_id), pa.scalar(None, pa.int64()), ids), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(merged, span), pa.array(kept, pa.string() if as_text else pa.binary())]
+            yield pa.RecordBatch.from_arrays([*out, *(b.column(c) for c, _ in kinds)], ["id", "n_bytes", "n_removed", "spans", "kept", *(c for c, _ in kinds)])
 
     out = keyed.join(gathered, ["id", "tie"], "left").select("id", "text", "spans.start", "spans.end", *(c for c, _ in kinds))
     schema = f"id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept {'string' if as_text else 'binary'}"
-    return out.mapInPandas(apply, schema + "".join(f", {c} {t}" for c, t in kinds)).toDF(id_col, "n_bytes", "n_removed", "spans", "kept", *carry)
+    return out.mapInArrow(apply, schema + "".join(f", {c} {t}" for c, t in kinds)).toDF(id_col, "n_bytes", "n_removed", "spans", "kept", *carry)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
