@@ -47,6 +47,11 @@ def exists(rows: DataFrame, key: str, value) -> bool:
     return not by_key(rows, key, value).isEmpty()
 
 
+def exist(asked: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """``asked`` with found: whether ``rows`` has its key; one join for all of them."""
+    return asked.join(rows.select(key).distinct().withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def search(rows: DataFrame, text: str | None, *columns: str) -> DataFrame:
     """Case-insensitive contains in any column; wildcards in the text are live; blank finds all."""
     if not text or not text.strip():

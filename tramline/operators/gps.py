@@ -116,12 +116,24 @@ def clock(rows: DataFrame, zone: str = "America/Sao_Paulo") -> DataFrame:
     return rows.withColumn("hour", F.hour(local)).withColumn("weekday", F.dayofweek(local) - 1)
 
 
-def eta_features(rows: DataFrame) -> DataFrame:
-    """Rows that an arrival model may score; a line code, where there is one, must not be blank."""
-    if "line_code" in rows.columns:
-        rows = rows.filter(F.trim(F.coalesce("line_code", F.lit(""))) != "")
+def eligible(rows: DataFrame) -> Column:
+    """Whether an arrival model may score a row; a line code, where there is one, must not be blank."""
     ok = (F.col("next_m") > 10) & (F.col("next_m") < 5000) & (F.col("mean_speed") >= 0) & (F.col("fraction") > 0) & (F.col("fraction") < 1)
-    return rows.filter(ok)
+    if "line_code" in rows.columns:
+        ok = ok & (F.trim(F.coalesce("line_code", F.lit(""))) != "")
+    return F.coalesce(ok, F.lit(False))
+
+
+def eta_features(rows: DataFrame) -> DataFrame:
+    """Rows that an arrival model may score."""
+    return rows.filter(eligible(rows))
+
+
+def current(snapshots: DataFrame, as_of: str, active_s: int, recent_s: int) -> DataFrame:
+    """What a reader of vehicles sees: the newest row of each at ``as_of``, active while it is young, else without signal, else nothing."""
+    age = (F.unix_micros(F.lit(as_of).cast("timestamp_ntz").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6
+    last = latest(snapshots.filter(age >= 0)).withColumn("age_s", age)
+    return last.filter(F.col("age_s") < recent_s).withColumn("status", F.when(F.col("age_s") < active_s, "active").otherwise("no_signal")).drop("age_s")
 
 
 def no_signal(index: DataFrame, cycle: DataFrame, recent: DataFrame) -> DataFrame:
@@ -151,6 +163,25 @@ def arrivals(matched: DataFrame, links: DataFrame, stop_id, lengths: DataFrame,
     return rows.withColumn("eta_s", eta).withColumn("due", due).orderBy(F.asc_nulls_last("eta_s"), "vehicle_id")
 
 
+def board(live: DataFrame, links: DataFrame, stop_id, lengths: DataFrame, as_of: str, zone: str = "America/Sao_Paulo") -> DataFrame:
+    """The arrivals board of a stop from matched vehicles (``current`` rows with itinerary_id, line_id, fraction, mean_speed, speed).
+
+    ``links``: itinerary_id, line_id, stop_id, fraction, distance_m.  Of a line's itineraries through the stop that have vehicles
+    the one whose stop is nearest to it counts, then the earlier place.  With metres, eta_s by the mean speed or
+    else the speed, due (not before ``as_of``) and its local clock time; vehicles without an estimate come last.
+    """
+    at = links.filter(F.col("stop_id") == stop_id).groupBy("itinerary_id", "line_id").agg(F.min(F.struct("distance_m", "fraction")).alias("p"))
+    found = live.drop("line_id").join(F.broadcast(at), "itinerary_id")  # the itineraries of one stop
+    best = found.groupBy("line_id").agg(F.min(F.struct("p.distance_m", "p.fraction", "itinerary_id"))["itinerary_id"].alias("itinerary_id"))
+    rows = found.join(best, ["line_id", "itinerary_id"]).filter(F.col("fraction") <= F.col("p.fraction")).join(lengths, "itinerary_id", "left")
+    rows = rows.withColumn("metres", (F.col("p.fraction") - F.col("fraction")) * F.col("length_m"))
+    rows = rows.withColumn("eta_s", geo.eta_seconds(F.col("metres"), F.coalesce("mean_speed", "speed")))
+    due = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.round(F.col("eta_s") * 1e6).cast("long"))
+    rows = rows.withColumn("due", F.when(F.col("eta_s").isNotNull(), F.greatest(F.lit(as_of).cast("timestamp_ntz").cast("timestamp"), due)))
+    rows = rows.withColumn("due_local", F.date_format(F.from_utc_timestamp("due", zone), "HH:mm")).drop("p")
+    return rows.orderBy(F.asc_nulls_last("eta_s"), F.asc_nulls_last("metres"), "vehicle_id")
+
+
 STATE = "vehicle_id long, event_id long, route long, at double, metres double, status string"
 #: Route, metres from it, fraction along it, pings without a match in a row.
 NO_ROUTE = (None, None, None, 0)

@@ -66,11 +66,13 @@ def legs_both_ways(stations: DataFrame, back_first_s: str | None = None, dwell_s
     return out.unionByName(trains.leg_times(turned.drop("turned"), dwell_s).withColumn("way", F.lit(1)))
 
 
-def cycle_counters(pings: DataFrame, as_of: str, most_s: int = 300, stale_s: int = 60) -> list:
-    """Counts of a cycle as aggregates: seen, valid (with coordinates), dropped for age, stale."""
+def cycle_counters(pings: DataFrame, as_of: str, most_s: int = 300, stale_s: int = 60, last_ts: str | None = None) -> list:
+    """Counts of a cycle as aggregates: seen, valid (with coordinates), dropped for age, stale; and, with a column of the
+    vehicles' stored times, fresh: not too old and newer than what is stored."""
     age = F.expr(f"timestampdiff(SECOND, ts, TIMESTAMP_NTZ '{as_of}')")
     valid = F.col("lat").isNotNull() & F.col("lon").isNotNull()
-    return [F.count("*").alias("seen"), F.count_if(valid).alias("valid"), F.count_if(valid & (age > most_s)).alias("age_dropped"), F.count_if(valid & (age <= most_s) & (age > stale_s)).alias("stale")]
+    fresh = [F.count_if(valid & (age <= most_s) & (F.col(last_ts).isNull() | (F.col("ts") > F.col(last_ts)))).alias("fresh")] if last_ts else []
+    return [*fresh, F.count("*").alias("seen"), F.count_if(valid).alias("valid"), F.count_if(valid & (age > most_s)).alias("age_dropped"), F.count_if(valid & (age <= most_s) & (age > stale_s)).alias("stale")]
 
 
 def observed(pings: DataFrame, as_of: str, name: str = "cycle", **limits: int) -> tuple[DataFrame, Observation]:

@@ -75,7 +75,7 @@ def matched_stations(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.match_stations(lines.select(name.alias("station")), places, aliases)
 
 
-@query()
+@query(prelude("vertex") + "SELECT itinerary_id, CAST(count(*) AS INTEGER) AS n_vertices, true AS same FROM vertex GROUP BY itinerary_id")
 def chained_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Every itinerary cut into three parts, the middle one turned, and chained again."""
     v = F.col("vertices")

@@ -80,7 +80,7 @@ _CYCLE = f"""{FED}, {ACCEPTED}, {MATCHED.replace(HEADED, _LIVES)},
 steps AS (SELECT h.vehicle_id * 1000 + life AS vehicle_id, row_number() OVER (PARTITION BY h.vehicle_id, life ORDER BY h.ts) AS n, h.event_id, coalesce(mean_speed, speed) AS speed, h.heading, m.itinerary_id, m.fraction, m.metres FROM headed h LEFT JOIN matched m USING (event_id)),
 {route_fold("steps")},
 sized AS (SELECT itinerary_id, sum({ellipsoid('ay', 'ax', 'by_', 'bx')}) AS length_m FROM seg GROUP BY itinerary_id),
-held_ AS (SELECT h.vehicle_id, h.event_id, h.ts, h.mean_speed, h.heading, f.route, f.pos AS fraction, f.status, s.length_m FROM folded f JOIN headed h USING (event_id) LEFT JOIN sized s ON s.itinerary_id = f.route WHERE f.n > 0),
+held_ AS (SELECT h.vehicle_id, h.event_id, h.ts, (epoch_us(h.polled_at) - epoch_us(h.ts)) / 1e6 AS lag_s, h.mean_speed, h.heading, f.route, f.pos AS fraction, f.status, s.length_m FROM folded f JOIN headed h USING (event_id) LEFT JOIN sized s ON s.itinerary_id = f.route WHERE f.n > 0),
 nexts AS (SELECT event_id, i.stop_id, i.fraction AS stop_fraction, row_number() OVER (PARTITION BY event_id ORDER BY i.fraction, i.stop_id) AS k FROM held_ h JOIN itinerary_stop i ON i.itinerary_id = h.route AND round(i.fraction, 6) > round(h.fraction, 6)
   WHERE status IN ('first', 'same', 'switched', 'blocked', 'held')),
 stopped AS (SELECT h.*, n.stop_id AS next_stop, s.name AS stop, (n.stop_fraction - h.fraction) * h.length_m AS stop_m FROM held_ h LEFT JOIN (SELECT * FROM nexts WHERE k = 1) n USING (event_id) LEFT JOIN stop s ON s.stop_id = n.stop_id),
@@ -96,7 +96,7 @@ def _states(spark: SparkSession, sf: str, pings: DataFrame, late: int = LATE, wa
 
 @query(
     prelude("ping", "vertex", "itinerary_stop", "stop").replace("WITH ", "WITH RECURSIVE ", 1) + f""", {_CYCLE}
-SELECT s.event_id, round(s.mean_speed, 6) AS mean_speed, round(s.heading, 6) AS heading, s.route, round(s.fraction, 6) AS fraction, s.status AS step, s.next_stop, coalesce(h.event_id IS NOT NULL, false) AS passage,
+SELECT s.event_id, round(s.mean_speed, 6) AS mean_speed, round(s.heading, 6) AS heading, s.route, round(CASE WHEN s.mean_speed >= 2 AND s.fraction < 0.98 AND s.length_m > 0 AND s.lag_s > 5 AND s.lag_s < 120 THEN least(1e0, s.fraction + s.mean_speed / 3.6e0 * s.lag_s / s.length_m) ELSE s.fraction END, 6) AS fraction, s.status AS step, s.next_stop, coalesce(h.event_id IS NOT NULL, false) AS passage,
   CASE WHEN gap_s BETWEEN 0 AND {RECENT} THEN round(gap_s, 6) END AS secs_since_prev, CASE WHEN h.fraction > lf THEN round((h.fraction - lf) * h.length_m, 3) END AS leg_m
 FROM stopped s LEFT JOIN heads h USING (event_id)"""
 )
@@ -121,11 +121,17 @@ def stream_passages(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("vehicle_id", "itinerary_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "stop", "stop_id", F.round("secs_since_prev", 6).alias("secs_since_prev"), F.round("leg_m", 6).alias("leg_m"))
 
 
-_FED_ONCE = f"fed AS (SELECT *, {_POLLED} AS polled_at FROM (SELECT *, {_NTH} AS poll FROM ping) AS p)"
+#: A third of the vehicles stops for good after nine days, another is silent for sixteen days.
+_HEARD = f"NOT (vehicle_id % 3 = 0 AND ts >= TIMESTAMP '{START}' + INTERVAL 9 DAYS) AND NOT (vehicle_id % 3 = 1 AND ts >= TIMESTAMP '{START}' + INTERVAL 9 DAYS AND ts < TIMESTAMP '{START}' + INTERVAL 25 DAYS)"
+_FED_ONCE = f"fed AS (SELECT *, {_POLLED} AS polled_at FROM (SELECT *, {_NTH} AS poll FROM ping WHERE {_HEARD}) AS p)"
 _MARKS = f"""marks AS (SELECT n, (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 300 SECONDS FROM fed WHERE poll < n) AS w FROM (SELECT DISTINCT poll + 1 AS n FROM fed) AS p),
 ends AS (SELECT a.*, coalesce(lead(poll) OVER (PARTITION BY vehicle_id ORDER BY poll) - 1, (SELECT max(n) FROM marks)) AS n FROM accepted a)"""
 
 
+def _heard(spark: SparkSession, sf: str) -> DataFrame:
+    return feed(spark, sf, view(spark, sf, "ping").filter(_HEARD.replace("TIMESTAMP '", "TIMESTAMP_NTZ '")), overlap=False)
+
+
 def _bare(pings: DataFrame) -> DataFrame:
     """Pings that are not to be matched."""
     return pings.withColumn("enriched", F.lit(False)).withColumn("candidates", F.lit(None).cast(live.CANDIDATE))
@@ -137,7 +143,7 @@ SELECT vehicle_id, event_id, 'no_signal' AS status FROM told WHERE ms + INTERVAL
 )
 def stream_no_signal(spark: SparkSession, sf: str) -> DataFrame:
     """Vehicles that fell silent, told by timers while nothing of theirs arrives: first without signal, later gone."""
-    states = live.vehicle_states(_bare(_coded(feed(spark, sf, overlap=False))), ACTIVE, RECENT, OLDEST)
+    states = live.vehicle_states(_bare(_coded(_heard(spark, sf))), ACTIVE, RECENT, OLDEST)
     return ran(spark, states.filter("status <> 'active'"), "silence").select("vehicle_id", "event_id", "status")
 
 
@@ -148,7 +154,7 @@ SELECT 'L' || (event_id // 64) % 3 AS line_code, vehicle_id FROM last_ WHERE dat
 def stream_line_index(spark: SparkSession, sf: str) -> DataFrame:
     """The line index at the end of a stream in which vehicles switch lines and vanish: its changes, last by last."""
     code = F.concat(F.when(F.col("event_id") % 2 == 0, "l").otherwise("L"), F.expr("(event_id div 64) % 3").cast("string"))
-    states = live.vehicle_states(_bare(feed(spark, sf, overlap=False).withColumn("line_code", code)), ACTIVE, RECENT, OLDEST)
+    states = live.vehicle_states(_bare(_heard(spark, sf).withColumn("line_code", code)), ACTIVE, RECENT, OLDEST)
     changes = ran(spark, live.line_changes(states), "index")
     last = changes.groupBy("line_code", "vehicle_id").agg(F.max(F.struct("cycle", "present")).alias("l"))
     return last.filter("l.present").select("line_code", "vehicle_id")

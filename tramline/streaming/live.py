@@ -227,7 +227,7 @@ def vehicle_states(
     gain: float = 30.0, jump: float = 100.0, misses: int = 3, least_speed: float = 3.0, late: str = "300 seconds",
 ) -> DataFrame:
     """``VehicleProcessor`` over ``with_candidates`` rows (vehicle_id, event_id, ts, polled_at, line_code, lat, lon, speed, enriched, candidates)."""
-    own = rows.select("vehicle_id", "event_id", "ts", "polled_at", "line_code", "lat", "lon", "speed", "enriched", F.col("candidates").cast(CANDIDATE).alias("candidates"))
+    own = rows.filter("vehicle_id IS NOT NULL").select("vehicle_id", "event_id", "ts", "polled_at", "line_code", "lat", "lon", "speed", "enriched", F.col("candidates").cast(CANDIDATE).alias("candidates"))
     processor = VehicleProcessor(active, recent, most_s, size, most_speed, least_move, most_turn, gain, jump, misses, least_speed)
     return own.withWatermark("ts", late).groupBy("vehicle_id").transformWithStateInPandas(processor, VEHICLE, "Append", "EventTime", eventTimeColumnName="seen_at")
 
@@ -300,7 +300,8 @@ def with_passages(rows: DataFrame, most_s: float = 1800, gate: float = 150.0) ->
     """
     schema = ", ".join(f"{f.name} {_SQL_NAMES.get(f.dataType.simpleString(), f.dataType.simpleString())}" for f in rows.schema)
     schema += ", passage boolean, secs_since_prev double, leg_m double"
-    return rows.groupBy("vehicle_id", "itinerary_id").transformWithStateInPandas(PassageProcessor(most_s, gate, rows.columns, schema), schema, "Append", "EventTime", eventTimeColumnName="seen_at")
+    keyed = rows.withColumn("track", F.coalesce("itinerary_id", F.lit(-1)))  # a null in a key would turn the others into doubles
+    return keyed.groupBy("vehicle_id", "track").transformWithStateInPandas(PassageProcessor(most_s, gate, rows.columns, schema), schema, "Append", "EventTime", eventTimeColumnName="seen_at")
 
 
 _SQL_NAMES = {"bigint": "long"}
@@ -338,6 +339,7 @@ def line_changes(states: DataFrame, parts: int = 16) -> DataFrame:
     step = lambda line, present: F.struct(F.upper(F.trim(line)).alias("line_code"), F.lit(present).alias("present"))
     live = F.array_compact(F.array(F.when(F.col("status") == "active", step(F.col("line_code"), True)), F.when(F.col("old_line").isNotNull(), step(F.col("old_line"), False)), F.when(F.col("status") == "gone", step(F.col("line_code"), False))))
     each = states.select("vehicle_id", "ts", "seen_at", F.explode(live).alias("s")).select("s.line_code", F.pmod(F.xxhash64("vehicle_id"), F.lit(parts)).alias("part"), "vehicle_id", "ts", "seen_at", "s.present")
+    each = each.filter("line_code IS NOT NULL")
     return each.groupBy("line_code", "part").transformWithStateInPandas(LineIndexProcessor(), LINE_CHANGE, "Append", "EventTime", eventTimeColumnName="seen_at")
 
 
