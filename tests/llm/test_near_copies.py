@@ -2,7 +2,7 @@ import random
 
 import corpus_pipeline
 from tests.llm import data
-from tramline.llm import near_copies, shared
+from tramline.llm import near_copies, simhash, shared
 
 
 def brute_groups(texts):
@@ -118,3 +118,21 @@ def test_sent_and_shuffled_rows_are_the_same(spark, monkeypatch):
     monkeypatch.setattr(shared, "SENT", 0)
     monkeypatch.setattr(near_copies, "SENT", 0)
     assert sorted(((r.doc_id, r.text) for r in near_copies.keep_first(df).collect()), key=str) == brute_kept(rows)
+
+
+def test_a_bucket_of_single_rows_is_dealt_over_parts(spark):
+    """Rows of one bucket that no links join yet: the same pairs in one part and in many, each part with its share of the work."""
+    kinds = ", ".join(f"{p} long" for p in near_copies.PARITY)
+    rows = [(7, k, 100 + k % 40, k % 3, 0, 0, k % 2) for k in range(120)]
+    buckets = spark.createDataFrame(rows, f"h long, row long, n long, {kinds}")
+    roots = spark.createDataFrame([(k, 0) for k in range(0, 30)], "row long, root long")
+    for nearest in (False, True):
+        one = {(min(x), max(x)) for x in near_copies.other_pairs(buckets, roots, 1000, nearest).collect()}
+        many = {(min(x), max(x)) for x in near_copies.other_pairs(buckets, roots, 20, nearest).collect()}
+        assert one and many == one if not nearest else {x for p in one for x in p if x >= 30} <= {x for p in many for x in p}
+
+
+def test_a_column_named_as_the_row_number_is_carried(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 5), (2, "a b c d e f", 6)], "doc_id long, text string, __row long")
+    for module in (near_copies, simhash):
+        assert [tuple(r) for r in module.keep_first(df).collect()] == [(1, "a b c d e f", 5)]

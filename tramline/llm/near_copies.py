@@ -14,8 +14,9 @@ steps, and only confirmed ones count:
 Nothing is lost: all shingles have one order, the frequent ones last, and two sets that reach the
 similarity share one of the first n - ceil(4n/5) + 1 of each (prefix filter); such a pair is in
 one bucket, and is either joined by links or tested there.  A pair goes untested only if the
-sizes, or the parities of the shingles in 256 cells, already show more differences than
-(n + m) / 9; the others are decided by their whole sets.
+sizes, or the parities of the shingles in 256 cells (then in cells sized by the sets), already show more differences than
+(n + m) / 9; the others are decided by their whole sets.  A pair that shares several shingles is
+proposed by the first of them that both have among their first four, else by each.
 
 Words are parted and lowered as in ``simhash``; a text of fewer words is one shingle, and all
 texts without words are alike.  Equal sets are paired once for all.  A shingle is its XXH64.
@@ -29,12 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramline.llm.components import components
-from tramline.llm.shared import SENT, drop_written, numbered, one_of_each, without, written
+from tramline.llm.shared import SENT, by_bytes, drop_written, numbered, one_of_each, without, written
 from tramline.llm.simhash import LOWER, link_fingerprints, majority
 
 SHINGLE = 5
@@ -47,6 +49,10 @@ PARTS = 64
 #: Rows of a bucket that are looked at in one task; larger buckets are split.
 BUCKET = 20_000
 PARITY = ("p0", "p1", "p2", "p3")
+#: The first of a row's first shingles, which tell in a bucket whether a pair has met in an earlier one.
+HEADS = ("h0", "h1", "h2", "h3")
+#: Cells of a row's own parity sketch for each of its shingles; a power of two in all.
+CELLS = 8
 
 
 def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -102,10 +108,11 @@ def prefixes(docs: DataFrame, often: pd.DataFrame) -> DataFrame:
                 first = s[np.lexsort((s, rare))][: n - -(-4 * n // 5) + 1]
                 odd = np.packbits((np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
                 fp = int(np.uint64(majority(every)).astype(np.int64))
-                out.append((row, xxhash.xxh3_128_hexdigest(s.tobytes()), fp, n, *odd.tolist(), first.view(np.int64)))
-            yield pd.DataFrame(out, columns=["row", "same", "fp", "n", *PARITY, "first"])
+                heads = [*first[: len(HEADS)].view(np.int64).tolist(), 0, 0, 0, 0][: len(HEADS)]
+                out.append((row, xxhash.xxh3_128_hexdigest(s.tobytes()), fp, n, *odd.tolist(), *heads, first.view(np.int64)))
+            yield pd.DataFrame(out, columns=["row", "same", "fp", "n", *PARITY, *HEADS, "first"])
 
-    kinds = ", ".join(f"{p} long" for p in PARITY)
+    kinds = ", ".join(f"{p} long" for p in (*PARITY, *HEADS))
     return docs.select("row", "text").mapInPandas(run, f"row long, same string, fp long, n long, {kinds}, first array<long>")
 
 
@@ -126,8 +133,8 @@ def simhash_pairs(reps: DataFrame) -> DataFrame:
 
 
 def bucket_rows(reps: DataFrame) -> DataFrame:
-    """h, row: the first shingles that two rows or more share, and who has them."""
-    each = reps.select("row", F.explode("first").alias("h"))
+    """h, row, pos: the first shingles that two rows or more share, who has them, and as which of theirs."""
+    each = reps.select("row", F.posexplode("first").alias("pos", "h"))
     return each.join(each.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h"), "h")
 
 
@@ -139,21 +146,23 @@ def pivot_pairs(buckets: DataFrame) -> DataFrame:
     return both.select(F.col("a.row").alias("u"), F.col("b.row").alias("v"))
 
 
-def _across(edge: np.ndarray, n: np.ndarray, odd: np.ndarray, group: np.ndarray, minor: np.ndarray, first_part: np.ndarray, nearest: bool) -> Iterator[np.ndarray]:
+def _across(edge: np.ndarray, n: np.ndarray, odd: np.ndarray, group: np.ndarray, minor: np.ndarray, mine: np.ndarray, nearest: bool) -> Iterator[np.ndarray]:
     """Places (i, j) in one bucket (``edge``: where buckets begin), of different groups, i minor, whose sizes and
-    parities allow the similarity; two minors once, in the bucket's first part.  ``nearest`` keeps for each i the j
+    parities allow the similarity; two minors once, in the part that the first of them is dealt to (``mine``).  ``nearest`` keeps for each i the j
     with the fewest differences for its size."""
     size = np.diff(edge)
     begin, wide = np.repeat(edge[:-1], size), np.repeat(size, size)
-    who = np.flatnonzero(minor & (wide > 1))
-    ends = np.cumsum(wide[who])
+    major = np.repeat(np.add.reduceat(~minor, edge[:-1], dtype=np.int64), size) if len(size) else size
+    met = np.where(mine, wide, major)  # the largest component's rows come first in a bucket
+    who = np.flatnonzero(minor & (met > 0))
+    ends = np.cumsum(met[who])
     at = 0
     while at < len(who):
         upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
         own = who[at:upto]
-        x = np.repeat(own, wide[own])
-        y = np.repeat(begin[own], wide[own]) + np.arange(len(x)) - np.repeat(np.cumsum(wide[own]) - wide[own], wide[own])
-        both = minor[y] & ((nearest & (x != y)) | (x < y)) & first_part[x]
+        x = np.repeat(own, met[own])
+        y = np.repeat(begin[own], met[own]) + np.arange(len(x)) - np.repeat(np.cumsum(met[own]) - met[own], met[own])
+        both = minor[y] & ((nearest & (x != y)) | (x < y)) & mine[x]
         ok = (group[x] != group[y]) & (~minor[y] | both) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
         x, y = x[ok], y[ok]
         apart = np.bitwise_count(odd[x] ^ odd[y]).sum(1, dtype=np.int64)
@@ -168,30 +177,50 @@ def _across(edge: np.ndarray, n: np.ndarray, odd: np.ndarray, group: np.ndarray,
         at = upto
 
 
+def _first_meeting(pairs: np.ndarray, heads: np.ndarray, pos: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the bucket's shingle may be the first that a pair of places shares and the pair alike.
+
+    Not if they share a head before it: they meet in that head's bucket as well.  Not if too few shingles are left from it
+    on: alike sets share 4/9 of both sizes together, all of them from their first common one on.
+    """
+    x, y = pairs[:, 0], pairs[:, 1]
+    enough = 9 * np.minimum(n[x] - pos[x], n[y] - pos[y]) >= 4 * (n[x] + n[y])
+    met = np.zeros(len(pairs), bool)
+    for i in range(heads.shape[1]):
+        for j in range(heads.shape[1]):
+            met |= (heads[x, i] == heads[y, j]) & (pos[x] > i) & (pos[y] > j)
+    return enough & ~met
+
+
 def other_pairs(buckets: DataFrame, roots: DataFrame, most: int | None = None, nearest: bool = False) -> DataFrame:
     """u, v: rows of one bucket that may be alike and that no links join yet; with ``nearest`` at most one for each row of a part.
 
-    A bucket's largest component is dealt over parts of about ``most`` rows, by hash; the rows of
-    its smaller ones go to every part.
+    A bucket's largest component is dealt over parts by hash; the rows of its smaller ones go to every part, and
+    meet each other in the part of the first, so that no part compares more than about ``most`` squared pairs.
     """
     most = most or BUCKET
+    if HEADS[0] not in buckets.columns:
+        buckets = buckets.withColumns({c: F.lit(0).cast("long") for c in ("pos", *HEADS)})
     placed = written(buckets.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "bucket-roots")
     sizes = placed.groupBy("h", "root").agg(F.count("*").alias("k"))
     mixed = sizes.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("k").alias("m"), F.max(F.struct("k", "root")).alias("major")).filter("kinds > 1")
-    mixed = mixed.select("h", F.ceil(F.col("m") / most).cast("int").alias("parts"), F.col("major.root").alias("major"))
+    work = F.col("m") * (F.col("m") - F.col("major.k")) / (float(most) * most)  # comparisons of its smaller components' rows
+    mixed = mixed.select("h", F.ceil(F.greatest(F.col("m") / most, work)).cast("int").alias("parts"), F.col("major.root").alias("major"))
     own = placed.join(mixed, "h").withColumn("minor", F.col("root") != F.col("major"))
     every = F.sequence(F.lit(0), F.col("parts") - 1)
-    rows = own.select("h", "row", "n", *PARITY, "root", "minor", F.explode(F.when(F.col("minor"), every).otherwise(F.array(F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")))).alias("part"))
+    home = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
+    rows = own.select("h", "row", "n", *PARITY, *HEADS, "pos", "root", "minor", home.alias("home"), F.explode(F.when(F.col("minor"), every).otherwise(F.array(home))).alias("part"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
 
         def pairs(b: pd.DataFrame) -> pd.DataFrame:
-            h, part, row, n, root = (b[c].to_numpy(np.int64) for c in ("h", "part", "row", "n", "root"))
+            h, part, row, n, root, home = (b[c].to_numpy(np.int64) for c in ("h", "part", "row", "n", "root", "home"))
             minor = b["minor"].to_numpy(bool)
             odd = b[list(PARITY)].to_numpy(np.int64).view(np.uint64)
             edge = np.concatenate([[0], np.flatnonzero((h[1:] != h[:-1]) | (part[1:] != part[:-1])) + 1, [len(h)]])
-            found = [row[p] for p in _across(edge, n, odd, root, minor, part == 0, nearest)]
+            heads, pos = b[list(HEADS)].to_numpy(np.int64), b["pos"].to_numpy(np.int64)
+            found = [row[p[_first_meeting(p, heads, pos, n)]] for p in _across(edge, n, odd, root, minor, part == home, nearest)]
             uv = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.empty((0, 2), np.int64)
             return pd.DataFrame({"u": uv[:, 0], "v": uv[:, 1]})
 
@@ -206,29 +235,67 @@ def other_pairs(buckets: DataFrame, roots: DataFrame, most: int | None = None, n
         if held is not None and len(held):
             yield pairs(held)
 
-    return rows.repartition("h", "part").sortWithinPartitions("h", "part", "row").mapInPandas(run, "u long, v long")
+    return rows.repartition("h", "part").sortWithinPartitions("h", "part", "minor", "row").mapInPandas(run, "u long, v long")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose whole sets are alike.
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, text, blocks) to (block, row, n, cells): the parities of a text's shingles in about ``CELLS`` cells for each."""
+    for b in (part for whole in batches for part in by_bytes(whole, "text")):
+        out = []
+        for row, text, blocks in zip(b.column("row").to_pylist(), b.column("text").to_pylist(), b.column("blocks").to_pylist(), strict=True):
+            s = shingles(text)
+            cells = 1 << max(8, (CELLS * len(s) - 1).bit_length())
+            odd = np.packbits((np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8), bitorder="little").tobytes()
+            out += [(block, row, len(s), odd) for block in blocks]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["block", "row", "n", "cells"])
+
+
+def _near(n: int, a: np.ndarray, m: int, b: np.ndarray) -> bool:
+    """Whether sizes and sketches allow the similarity; the larger sketch is folded to the smaller."""
+    if len(a) > len(b):
+        a, b = b, a
+    b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return 5 * min(n, m) >= 4 * max(n, m) and 9 * int(np.bitwise_count(a ^ b).sum(dtype=np.int64)) <= n + m
+
 
-    Pairs are dealt into blocks by u, those of a u with many partners by v as well; a text goes once
-    to every block of its pairs.  Few rows asked for are sent to the texts; many meet them in a shuffle.
+def _asked(docs: DataFrame, pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs dealt into blocks by u, those of a u with many partners by v as well, and the texts that each block needs (row, text, blocks).
+
+    Few rows asked for are sent to the texts; many meet them in a shuffle.
     """
     parts = max(PARTS, pairs.count() // SETS)
     many = pairs.groupBy("u").agg(F.ceil(F.count("*") / SETS).alias("k")).filter("k > 1")
     blocks = pairs.join(many, "u", "left").select("u", "v", F.xxhash64(F.pmod(F.xxhash64("u"), F.lit(parts)), F.when(F.col("k").isNotNull(), F.struct("u", F.pmod(F.xxhash64("v"), F.col("k"))))).alias("block"))
-    blocks = written(blocks, "pair-blocks")
+    blocks = written(blocks, f"{name}-blocks")
     wanted = blocks.select("block", F.col("u").alias("row")).unionByName(blocks.select("block", F.col("v").alias("row"))).distinct()
-    asked = written(wanted.groupBy("row").agg(F.collect_list("block").alias("blocks")), "asked-rows")
-    asked = F.broadcast(asked) if wanted.count() <= SENT else asked
-    held = docs.select("row", "text").join(asked, "row").select(F.explode("blocks").alias("block"), "row", "text")
+    asked = written(wanted.groupBy("row").agg(F.collect_list("block").alias("blocks")), f"{name}-rows")
+    asked = F.broadcast(asked) if asked.count() <= SENT else asked
+    return blocks, docs.select("row", "text").join(asked, "row").select("row", "text", "blocks")
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose whole sets are alike.
+
+    First sketches sized by their sets, a sixth of a text, go to the blocks of their pairs and rule out nearly all that are not
+    alike; then the texts of the rest.
+    """
+    blocks, held = _asked(docs, pairs, "sifted")
+
+    def sift(uv: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        s = {r: (n, np.frombuffer(c, np.uint8)) for r, n, c in zip(own["row"], own["n"], own["cells"], strict=True)}
+        return uv.loc[[_near(*s[u], *s[v]) for u, v in zip(uv["u"], uv["v"], strict=True)], ["u", "v"]]
+
+    sketches = held.mapInArrow(_sketched, "block long, row long, n long, cells binary")
+    left = written(blocks.groupBy("block").cogroup(sketches.groupBy("block")).applyInPandas(sift, "u long, v long"), "sifted-pairs")
+    blocks, held = _asked(docs, left, "pair")
 
     def decide(uv: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         s = {r: shingles(t) for r, t in zip(own["row"], own["text"], strict=True)}
         return uv.loc[[alike(s[u], s[v]) for u, v in zip(uv["u"], uv["v"], strict=True)], ["u", "v"]]
 
-    return blocks.groupBy("block").cogroup(held.groupBy("block")).applyInPandas(decide, "u long, v long")
+    texts = held.select(F.explode("blocks").alias("block"), "row", "text")
+    return blocks.groupBy("block").cogroup(texts.groupBy("block")).applyInPandas(decide, "u long, v long")
 
 
 def group(docs: DataFrame) -> DataFrame:
@@ -238,7 +305,7 @@ def group(docs: DataFrame) -> DataFrame:
     copies = written(firsts.select("row").join(same.select("row"), "row", "left_anti"), "copies")
     reps = written(without(firsts, copies, "row"), "distinct-sets")
     firsts = firsts.select("row", "same")
-    buckets = written(bucket_rows(reps).join(reps.select("row", "n", *PARITY), "row"), "buckets")
+    buckets = written(bucket_rows(reps).join(reps.select("row", "n", *PARITY, *HEADS), "row"), "buckets")
     ordered = lambda p: p.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     pairs, joined = simhash_pairs(reps).unionByName(pivot_pairs(buckets)), None
     for step in ("proposed", "nearest", "others"):
@@ -258,5 +325,5 @@ def group(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near copies: that with the smallest id, of those the first; rows without an id come last."""
-    rows = numbered(docs)
-    return one_of_each(rows, group(rows.select(F.col("__row").alias("row"), F.col(text_col).alias("text"))), id_col)
+    rows, number = numbered(docs)
+    return one_of_each(rows, number, group(rows.select(F.col(number).alias("row"), F.col(text_col).alias("text"))), id_col)

@@ -54,9 +54,12 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` written with ``__row``, a number for each row that stays the same."""
-    return written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written with a number for each row that stays the same, and the name of that column, which none of theirs has."""
+    name = "__row"
+    while name in docs.columns:
+        name += "_"
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
 def without(rows: DataFrame, gone: DataFrame, on: str) -> DataFrame:
@@ -67,13 +70,13 @@ def without(rows: DataFrame, gone: DataFrame, on: str) -> DataFrame:
     return rows.join(F.broadcast(gone) if gone.count() <= SENT else gone, on, "left_anti")
 
 
-def one_of_each(rows: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
+def one_of_each(rows: DataFrame, number: str, roots: DataFrame, id_col: str) -> DataFrame:
     """Of ``numbered`` rows those with the least (id, number) of each root (row, root; every row has one); null ids come last."""
-    ids = rows.select(F.col("__row").alias("row"), F.col(id_col).alias("id"))
+    ids = rows.select(F.col(number).alias("row"), F.col(f"`{id_col}`").alias("id"))
     roots = written(roots, "roots")
     least = roots.join(ids, "row").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least"))
     gone = roots.select("row").join(least.select(F.col("least.row").alias("row")), "row", "left_anti")
-    return without(rows, written(gone.select(F.col("row").alias("__row")), "gone"), "__row").drop("__row")
+    return without(rows, written(gone.select(F.col("row").alias(number)), "gone"), number).drop(number)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -220,6 +220,6 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budge
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
     """One row of each group: that with the smallest id, of those the first; rows without an id come last."""
-    rows = numbered(docs)
-    roots = group(rows.select("__row", text_col), "__row", text_col, budget).select(F.col("__row").alias("row"), F.col("component_id").alias("root"))
-    return one_of_each(rows, roots, id_col)
+    rows, number = numbered(docs)
+    roots = group(rows.select(number, text_col), number, text_col, budget).select(F.col(number).alias("row"), F.col("component_id").alias("root"))
+    return one_of_each(rows, number, roots, id_col)

@@ -127,7 +127,8 @@ class WordTokenizer:
 
             self._library = Tokenizer.from_file(self.path)
             vocabulary = self._library.get_vocab()
-            self._closes = {i for t, i in vocabulary.items() if t.endswith("</w>")}
+            self._closes = np.zeros(max(vocabulary.values()) + 1, bool)
+            self._closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
             self.kind = "<u2" if max(self.end, *vocabulary.values()) < 1 << 16 else "<u4"
 
     def width(self) -> int:
@@ -140,19 +141,18 @@ class WordTokenizer:
     def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
         """Pieces by the library: letter runs many at a time, parted after the tokens that close a word."""
         out, plain, others = {}, [], []
+        closes = self._closes.any()
         for p in pieces:
-            (plain if self._closes and ALL_LETTERS.fullmatch(p) else others).append(p)
+            (plain if closes and ALL_LETTERS.fullmatch(p) else others).append(p)
         for i in range(0, len(plain), JOINED):
-            some, words, word = plain[i : i + JOINED], [], []
-            for t in self._library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids:
-                word.append(t)
-                if t in self._closes:
-                    words.append(word)
-                    word = []
-            if len(words) != len(some) or word:
+            some = plain[i : i + JOINED]
+            ids = np.array(self._library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            ends = (np.flatnonzero(self._closes[ids]) + 1).tolist()
+            if len(ends) != len(some) or ends[-1] != len(ids):
                 others += some
-            else:
-                out.update(zip(some, map(self._pack, words), strict=True))
+                continue
+            raw, width = ids.tobytes(), ids.itemsize
+            out.update((p, raw[width * x : width * y]) for p, x, y in zip(some, [0, *ends], ends, strict=False))
         for i in range(0, len(others), 10_000):
             some = others[i : i + 10_000]
             out.update((p, self._pack(e.ids)) for p, e in zip(some, self._library.encode_batch_fast(some, add_special_tokens=False), strict=True))
