@@ -214,7 +214,7 @@ def beside_segment(ax: Column, ay: Column, bx: Column, by: Column, lat: Column,
 
 
 def cells(lat: Column, lon: Column, metres: float, spread: bool = False) -> Column:
-    """Grid cell of a point, or with ``spread`` the cells around it that hold every point within ``metres``.
+    """Grid cell of a point as one long, or with ``spread`` an array of the cells around it that hold every point within ``metres``.
 
     Rows are ``metres`` high; a row's cells are as wide as its latitude farthest from the equator
     asks for, so that the neighbourhood holds at every latitude and across the 180th meridian.
@@ -226,13 +226,14 @@ def cells(lat: Column, lon: Column, metres: float, spread: bool = False) -> Colu
     def columns(row: Column) -> Column:
         """How many cells a row has: the whole circle over the least width."""
         far = F.least(F.lit(90.0), F.greatest(F.abs(row * size), F.abs((row + 1) * size)))
-        return F.greatest(F.lit(1.0), F.floor(360.0 * F.cos(F.radians(far)) / size))
+        return F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(far)) / size)).cast("long")
 
-    def x(row: Column, shift: int = 0) -> Column:
+    def cell(row: Column, shift: int = 0) -> Column:
         n = columns(row)
-        return F.pmod(F.floor((lon + 180.0) / 360.0 * n) + shift, n).cast("long")
+        return F.shiftleft(row.cast("long"), 32) + F.pmod(F.floor((lon + 180.0) / 360.0 * n) + shift, n)
 
     if not spread:
-        return F.struct(y.alias("y"), x(y).alias("x"))
-    around = [F.struct((y + dy).alias("y"), x(y + dy, dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-    return F.explode(F.array_distinct(F.array(*around)))
+        return cell(y)
+    around = F.array(*(cell(y + dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
+    narrow = F.least(columns(y - 1), columns(y + 1)) < 3  # only then may cells repeat
+    return F.when(narrow, F.array_distinct(around)).otherwise(around)

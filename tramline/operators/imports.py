@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions import geo, text
-from tramline.operators import ingest, mutate
+from tramline.operators import ingest, mutate, spatial
 
 #: The line that stands in for a branch without geometry, as (lon, lat).
 STAND_IN = ((-43.1731, -22.9035), (-43.1730, -22.9034))
@@ -152,3 +152,29 @@ def pois_of_stop(pois: DataFrame, stop: DataFrame, relations: DataFrame, links:
     fresh = near.join(relations.select("poi_id", "stop_id"), ["poi_id", "stop_id"], "left_anti").join(had, "poi_id", "left")
     action = F.when(F.col("metres") > metres, "too far").when(F.col("had").isNull(), "insert").when(F.col("had.m") <= F.col("metres"), "farther").otherwise("replace")
     return fresh.select("poi_id", "stop_id", "metres", action.alias("action"), F.when(action == "replace", F.col("had.s")).alias("old_stop"))
+
+
+def import_stops(raw: DataFrame, json_col: str, stops: DataFrame, now: Column) -> DataFrame:
+    """Landed stop pages as new rows of the stop table: points with a code, one a code without case, that the table (code) lacks.
+
+    Columns: stop_id (from the code), code, name, lon, lat, created_at, active.
+    """
+    parsed = ingest.parse_stops(raw, json_col).withColumn("code", F.upper("code"))
+    order = [F.asc("name"), F.asc("lon"), F.asc("lat")]
+    fresh = mutate.insert_missing(stops.select(F.upper(F.trim("code")).alias("code")), parsed, F.col("code"), order)
+    return fresh.select(stable_id(F.lit("stop"), F.col("code")).alias("stop_id"), "code", "name", "lon", "lat", now.alias("created_at"), F.lit(True).alias("active"))
+
+
+def import_pois(raw: DataFrame, json_col: str, pois: DataFrame, links: DataFrame, stops: DataFrame, relations: DataFrame, metres: float = 150.0) -> dict[str, DataFrame]:
+    """Landed map elements as POIs and their relations to stops, all tiles in one plan.
+
+    Elements are classified, told apart by category and name, and given the stored POI's id where there is one (``poi``); each
+    is matched to the nearest stop in reach of every itinerary (``match``), which then competes with the
+    POI's stored relations on that itinerary (``relation``: insert, replace or skip).
+    """
+    parsed = ingest.parse_pois(raw, json_col).withColumnRenamed("id", "poi_id")
+    own = mutate.upsert_pois(pois, parsed)
+    placed = own.join(parsed.select("poi_id", "lat", "lon", "priority").dropDuplicates(["poi_id"]), "poi_id")
+    kept = placed.withColumn("poi_id", F.coalesce("stored_id", "poi_id"))
+    found = spatial.poi_nearest_stop(kept, links, stops, metres)
+    return {"poi": kept, "match": found, "relation": spatial.compete(found, relations, links)}

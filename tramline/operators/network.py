@@ -66,6 +66,24 @@ def legs_both_ways(stations: DataFrame, back_first_s: str | None = None, dwell_s
     return out.unionByName(trains.leg_times(turned.drop("turned"), dwell_s).withColumn("way", F.lit(1)))
 
 
+def stations_both_ways(stations: DataFrame, back_first_s: str) -> DataFrame:
+    """Stations of every branch out (``branch>``) and back (``branch<``), each way a branch of its own, so that all of ``trains`` runs both.
+
+    ``back_first_s`` has the first departures of the way back.
+    """
+    last = F.max("ord").over(Window.partitionBy("branch"))
+    back = stations.withColumn("turned", last + 1 - F.col("ord")).withColumn("first_s", F.col(back_first_s)).withColumn("ord", F.col("turned")).withColumn("branch", F.concat("branch", F.lit("<")))
+    return stations.withColumn("branch", F.concat("branch", F.lit(">"))).unionByName(back.drop("turned"))
+
+
+def itinerary_stop_counts(lines: DataFrame, directions: DataFrame, itineraries: DataFrame, links: DataFrame) -> DataFrame:
+    """(line_id, itineraries): for every line its itineraries' directions and numbers of stops, in order; an itinerary without stops counts 0."""
+    n = links.groupBy("itinerary_id").agg(F.count_distinct("stop_id").alias("n_stops"))
+    each = itineraries.join(directions.select("direction_id", "line_id", "name"), "direction_id").join(n, "itinerary_id", "left")
+    one = F.struct("name", "itinerary_id", F.coalesce("n_stops", F.lit(0)).alias("n_stops"))
+    return lines.select("line_id").join(each.groupBy("line_id").agg(F.array_sort(F.collect_list(one)).alias("itineraries")), "line_id", "left")
+
+
 def cycle_counters(pings: DataFrame, as_of: str, most_s: int = 300, stale_s: int = 60, last_ts: str | None = None) -> list:
     """Counts of a cycle as aggregates: seen, valid (with coordinates), dropped for age, stale; and, with a column of the
     vehicles' stored times, fresh: not too old and newer than what is stored."""

@@ -20,12 +20,18 @@ def within(left: DataFrame, right: DataFrame, metres: float, extra: list[str] |
     not clash with left ones but for ``extra``, ``lat`` and ``lon`` (which come as r_lat, r_lon).
     """
     extra = extra or []
-    a = left.withColumn("cell", geo.cells(F.col("lat"), F.col("lon"), metres, spread=True))
+    a = left.withColumn("around", geo.cells(F.col("lat"), F.col("lon"), metres, spread=True)).withColumn("cell", F.explode("around")).drop("around")
     b = right.withColumnsRenamed({"lat": "r_lat", "lon": "r_lon"}).withColumn("cell", geo.cells(F.col("r_lat"), F.col("r_lon"), metres))
     pairs = a.join(b, [*extra, "cell"]).drop("cell")
     return pairs.withColumn(as_col, metric(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))).filter(F.col(as_col) <= metres)
 
 
+def _least(rows: DataFrame, key: list[str], order: list, columns: list[str]) -> DataFrame:
+    """``columns`` of the first row of each key in ``order``; combined before the shuffle."""
+    names = [*order, *(F.col(c).alias(f"own_{c}") for c in columns)]
+    return rows.groupBy(*key).agg(F.min(F.struct(*names)).alias("b")).select(*key, *(F.col(f"b.own_{c}").alias(c) for c in columns))
+
+
 def nearby(points: DataFrame, lat: float, lon: float, metres: float, limit: int, key: str) -> DataFrame:
     """The nearest points within a radius: a box that reaches the scan, exact distances, a top-k."""
     margin = metres / geo.DEGREE_METRES * 1.001
@@ -58,14 +64,12 @@ def stop_candidates(itineraries: DataFrame, stops: DataFrame, metres: float) ->
     """For each itinerary and stop in reach its nearest vertex; ties go to the earlier vertex."""
     v = vertices(itineraries).withColumnRenamed("line_id", "v_line")
     pairs = within(stops.select("stop_id", "lat", "lon"), v, metres)
-    w = Window.partitionBy("itinerary_id", "stop_id").orderBy(F.round("metres", 6), "vertex")
-    return pairs.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("itinerary_id", "stop_id", "vertex", "metres")
+    return _least(pairs, ["itinerary_id", "stop_id"], [F.round("metres", 6).alias("about"), "vertex"], ["vertex", "metres"])
 
 
 def vertex_winners(candidates: DataFrame) -> DataFrame:
     """For each itinerary and vertex the nearest stop; ties go to the smaller id."""
-    w = Window.partitionBy("itinerary_id", "vertex").orderBy(F.round("metres", 6), "stop_id")
-    return candidates.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+    return _least(candidates, ["itinerary_id", "vertex"], [F.round("metres", 6).alias("about"), "stop_id"], ["stop_id", "metres"]).select("itinerary_id", "stop_id", "vertex", "metres")
 
 
 def stop_sequence(itineraries: DataFrame, stops: DataFrame, metres: float, perp_max: float = 15.0, terminal: float = 0.6, ends: tuple[float, float] = (0.03, 0.97), least: float = 0.4, weights: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
@@ -96,8 +100,7 @@ def poi_nearest_stop(pois: DataFrame, links: DataFrame, stops: DataFrame, metres
     """For each itinerary and POI the nearest of the itinerary's stops in reach; ties to the smaller seq."""
     own = links.select("itinerary_id", "stop_id", "seq").join(stops.select("stop_id", "lat", "lon"), "stop_id")
     pairs = within(pois.select("poi_id", "lat", "lon"), own, metres, metric=geo.haversine)
-    w = Window.partitionBy("itinerary_id", "poi_id").orderBy(F.round("metres", 6), "seq", "stop_id")
-    return pairs.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("itinerary_id", "poi_id", "stop_id", "metres")
+    return _least(pairs, ["itinerary_id", "poi_id"], [F.round("metres", 6).alias("about"), "seq", "stop_id"], ["stop_id", "metres"])
 
 
 def compete(found: DataFrame, existing: DataFrame, links: DataFrame) -> DataFrame:
@@ -189,8 +192,9 @@ def match_routes(pings: DataFrame, itineraries: DataFrame, heading: str, metres:
     tips = _point_at(_point_at(fit, bins, F.col("fraction") - reach, "tail", parts), bins, F.col("fraction") + reach, "head", parts)
     way = geo.bearing(F.col("tail.lat"), F.col("tail.lon"), F.col("head.lat"), F.col("head.lon"))
     placed = tips.withColumn("route_heading", way).withColumn("diff", geo.heading_difference(F.col("route_heading"), F.col(f"ping.`{heading}`"))).filter(F.col("diff") < most)
-    w = Window.partitionBy("ping_key").orderBy(F.round("diff", 6), F.round("metres", 6), "itinerary_id")
-    return placed.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("ping.*", "itinerary_id", "metres", "fraction", "route_heading", "diff")
+    order = F.struct(F.round("diff", 6).alias("d"), F.round("metres", 6).alias("m"), "itinerary_id", "metres", "fraction", "route_heading", "diff")
+    best = placed.groupBy("ping_key").agg(F.min(order).alias("b"), F.first("ping").alias("ping"))
+    return best.select("ping.*", *(f"b.{c}" for c in ("itinerary_id", "metres", "fraction", "route_heading", "diff")))
 
 
 def next_stop(matched: DataFrame, links: DataFrame, key: str = "event_id") -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.operators import imports
-from tramline.plans.registry import haversine, query
+from tramline.operators import imports, network
+from tramline.plans.ingest_plans import poi_elements
+from tramline.plans.registry import SQL, haversine, query
 from tramline.sources.tables import itineraries, prelude, view
 
 
@@ -168,3 +169,51 @@ def pois_of_stop(spark: SparkSession, sf: str) -> DataFrame:
     stop = view(spark, sf, "stop").filter(F.col("stop_id") == STOP)
     rows = imports.pois_of_stop(view(spark, sf, "poi"), stop, stored.unionByName(more), view(spark, sf, "itinerary_stop"))
     return rows.select("poi_id", F.round("metres", 6).alias("metres"), "action", "old_stop")
+
+
+@query(
+    prelude("stop") + "SELECT md5('4:stop' || length('C' || stop_id) || ':C' || stop_id) AS stop_id, 'C' || stop_id AS code, name, round(lon, 9) AS lon, round(lat, 9) AS lat, true AS active FROM stop WHERE stop_id % 10 <> 3 AND stop_id % 4 <> 0"
+)
+def imported_stops(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of stops, each twice in two cases, into a table that has every fourth of them."""
+    kind = F.when(F.col("stop_id") % 10 == 3, "Polygon").otherwise("Point")
+    code = F.explode(F.array(F.concat(F.lit("c"), F.col("stop_id")), F.concat(F.lit(" C"), F.col("stop_id"))))
+    each = view(spark, sf, "stop").select("*", code.alias("given"))
+    f = F.struct(F.struct(kind.alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"), F.struct(F.col("given").alias("stop_id"), F.col("name").alias("stop_name")).alias("properties"))
+    stored = view(spark, sf, "stop").filter("stop_id % 4 = 0").select(F.concat(F.lit("c"), F.col("stop_id")).alias("code"))
+    rows = imports.import_stops(each.select(F.to_json(F.struct(F.array(f).alias("features"))).alias("json")), "json", stored, F.current_timestamp())
+    return rows.select("stop_id", "code", "name", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"), "active")
+
+
+_NEAR = haversine("p.lat", "p.lon", "s.lat", "s.lon")
+
+
+@query(
+    prelude("poi", "stop", "itinerary_stop", "poi_stop") + f""", parsed AS ({SQL["parsed_pois"].replace(prelude("poi"), "WITH poi AS (SELECT * FROM poi) ").replace("WITH poi AS (SELECT * FROM poi) , tagged", "WITH tagged")}),
+fresh AS (SELECT * FROM (SELECT *, category || '|' || lower(trim(name)) AS k, row_number() OVER (PARTITION BY category || '|' || lower(trim(name)) ORDER BY id) AS rn FROM parsed) AS f WHERE rn = 1),
+box AS (SELECT min(lat) - 0.001e0 AS s, max(lat) + 0.001e0 AS n, min(lon) - 0.001e0 AS w, max(lon) + 0.001e0 AS e FROM parsed),
+stored AS (SELECT 'Hospital|' || lower('hospital ' || name) AS k, min(poi_id) AS stored_id FROM poi, box WHERE poi_id % 10 = 0 AND lat BETWEEN s AND n AND lon BETWEEN w AND e GROUP BY 1),
+kept AS (SELECT coalesce(stored_id, id) AS poi_id, lat, lon FROM fresh LEFT JOIN stored USING (k)),
+near_ AS (SELECT * FROM (SELECT i.itinerary_id, p.poi_id, s.stop_id, {_NEAR} AS metres, row_number() OVER (PARTITION BY i.itinerary_id, p.poi_id ORDER BY round({_NEAR}, 6), i.seq, s.stop_id) AS rn
+  FROM kept p JOIN stop s ON abs(p.lat - s.lat) < 0.01 AND {_NEAR} <= 150 JOIN itinerary_stop i ON i.stop_id = s.stop_id) AS n WHERE rn = 1),
+had AS (SELECT itinerary_id, poi_id, min(stop_id) AS old_stop, CAST(60 + poi_id % 7 AS DOUBLE) AS m FROM poi_stop JOIN itinerary_stop USING (stop_id) GROUP BY itinerary_id, poi_id)
+SELECT itinerary_id, poi_id, stop_id, round(metres, 6) AS metres, CASE WHEN old_stop IS NULL THEN 'insert' WHEN old_stop = stop_id THEN 'skip' WHEN metres < m THEN 'replace' ELSE 'skip' END AS action, old_stop FROM near_ LEFT JOIN had USING (itinerary_id, poi_id)"""
+)
+def imported_pois(spark: SparkSession, sf: str) -> DataFrame:
+    """Map elements to POIs to the nearest stops of every itinerary, against stored POIs and relations, in one plan."""
+    stored = view(spark, sf, "poi").filter("poi_id % 10 = 0").select("poi_id", F.concat(F.lit("Hospital "), "name").alias("name"), F.lit("Hospital").alias("category"), "lat", "lon")
+    relations = view(spark, sf, "poi_stop").withColumn("metres", (F.col("poi_id") % 7 + 60).cast("double"))
+    made = imports.import_pois(poi_elements(spark, sf), "json", stored, view(spark, sf, "itinerary_stop"), view(spark, sf, "stop"), relations)
+    return made["relation"].select("itinerary_id", "poi_id", "stop_id", F.round("metres", 6).alias("metres"), "action", "old_stop")
+
+
+@query(
+    prelude("line", "direction", "itinerary_stop") + """, n AS (SELECT itinerary_id, count(DISTINCT stop_id) AS k FROM itinerary_stop WHERE line_id <> 4 GROUP BY itinerary_id)
+SELECT l.line_id, string_agg(d.name || '=' || coalesce(n.k, 0), ';' ORDER BY d.name, d.direction_id) AS itineraries FROM line l LEFT JOIN direction d USING (line_id) LEFT JOIN n ON n.itinerary_id = d.direction_id GROUP BY l.line_id"""
+)
+def line_itineraries(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line with its itineraries and how many stops each has; one line's have none."""
+    d = view(spark, sf, "direction")
+    own = d.select(F.col("direction_id").alias("itinerary_id"), "direction_id")
+    rows = network.itinerary_stop_counts(view(spark, sf, "line"), d, own, view(spark, sf, "itinerary_stop").filter("line_id <> 4"))
+    return rows.select("line_id", F.array_join(F.transform("itineraries", lambda i: F.concat(i["name"], F.lit("="), i["n_stops"])), ";").alias("itineraries"))

@@ -46,6 +46,10 @@ SELECT poi_id AS id, name, CASE poi_id % 5 WHEN 0 THEN 'Hospital' WHEN 1 THEN 'P
 FROM tagged WHERE (poi_id % 5 IN (0, 1, 2) OR poi_id % 5 = 4 AND contains(lower(name), 'mall')) AND poi_id % 11 <> 0"""
 )
 def parsed_pois(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.parse_pois(poi_elements(spark, sf), "json").select("id", "name", "category", "priority", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
+
+
+def poi_elements(spark: SparkSession, sf: str) -> DataFrame:
     """Map elements: tagged, doubtful, named by a keyword only, unnamed; nodes and ways."""
     k, name = F.col("poi_id") % 5, F.col("name")
     title = F.when(k == 0, F.concat(F.lit("Hospital "), name)).when(k == 1, F.concat(F.lit("Praça "), name)).when(k == 2, F.concat(F.lit("Plaza "), name)).when(k == 3, "P").otherwise(F.concat(F.lit("Loja "), name))
@@ -57,8 +61,7 @@ def parsed_pois(spark: SparkSession, sf: str) -> DataFrame:
         F.when(node, "node").otherwise("way").alias("type"), F.col("poi_id").alias("id"), F.when(node, F.col("lat")).alias("lat"), F.when(node, F.col("lon")).alias("lon"),
         F.when(~node, F.struct("lat", "lon")).alias("center"), F.create_map(tag, value, named, title).alias("tags"),
     )
-    raw = view(spark, sf, "poi").select(F.to_json(F.struct(F.array(e).alias("elements"))).alias("json"))
-    return ingest.parse_pois(raw, "json").select("id", "name", "category", "priority", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
+    return view(spark, sf, "poi").select(F.to_json(F.struct(F.array(e).alias("elements"))).alias("json"))
 
 
 @query(

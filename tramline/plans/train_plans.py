@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.operators import trains
+from tramline.operators import network, trains
 from tramline.plans.registry import query
 from tramline.sources.tables import prelude, view
 
@@ -46,6 +46,25 @@ def train_positions(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("branch", "train", "vehicle_id", "ord", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), F.round("speed", 6).alias("speed"))
 
 
+_WAYS = """ways AS (SELECT branch || '>' AS branch, ord, km, CAST(first_s AS DOUBLE) AS first_s, lat, lon FROM station UNION ALL
+  SELECT branch || '<', max(ord) OVER (PARTITION BY branch) + 1 - ord, km, CASE WHEN ord % 3 > 0 THEN CAST(20000 - ord * 130 AS DOUBLE) END, lat, lon FROM station)"""
+
+
+@query(
+    prelude("station") + f""", {_WAYS}, {_LEGS.replace("FROM station", "FROM ways")}, trip AS (SELECT CAST(train AS BIGINT) AS train, 28800 - 14400 - train * 360e0 AS rode FROM range(1, 41) AS r(train)),
+here AS (SELECT r.branch, train, r.ord, rode, begins + dwell AS leaves, secs, r.km, r.to_km, a.lat AS alat, b.lat AS blat FROM run r JOIN trip ON rode >= begins AND rode < begins + dwell + secs
+  JOIN ways a ON a.branch = r.branch AND a.ord = r.ord JOIN ways b ON b.branch = r.branch AND b.ord = r.to_ord)
+SELECT branch, train, ord, round(alat + greatest(0e0, (rode - leaves) / secs) * (blat - alat), 9) AS lat, round(CASE WHEN rode < leaves THEN 0 ELSE greatest(8e0, least(110e0, abs(to_km - km) / secs * 3600)) END, 6) AS speed FROM here"""
+)
+def train_positions_both_ways(spark: SparkSession, sf: str) -> DataFrame:
+    """Trains out and back at eight in the morning; the way back has a timetable of its own."""
+    s = view(spark, sf, "station").withColumn("first_s", F.col("first_s").cast("double"))
+    both = network.stations_both_ways(s.withColumn("back_s", F.when(F.col("ord") % 3 > 0, 20000 - F.col("ord") * 130).cast("double")), "back_s").drop("back_s")
+    eight = 8 * 3600
+    p = trains.positions(trains.timeline(trains.leg_times(both), both), eight, trains.headway(eight, 6, 12, ((6 * 3600, 9 * 3600), (16 * 3600, 20 * 3600))))
+    return p.select("branch", "train", "ord", F.round("lat", 9).alias("lat"), F.round("speed", 6).alias("speed"))
+
+
 @query(prelude("line") + "SELECT 'Estação ' || line_id AS station, 'Centro' AS direction, CAST((4 + line_id % 22) % 24 * 3600 + line_id * 60 AS INTEGER) AS secs FROM line")
 def train_timetable(spark: SparkSession, sf: str) -> DataFrame:
     """Text lines: a header, its first train, and a repeat that does not count."""
