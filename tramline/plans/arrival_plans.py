@@ -41,7 +41,7 @@ _SCORED = "SELECT event_id, 'L' || user_id % 27 AS line_code, ts, event_id % 60
 
 @query(
     f"""WITH p AS ({_SCORED}), q AS (SELECT *, coalesce(next_m > 10 AND next_m < 5000 AND mean_speed >= 0 AND fraction > 0 AND fraction < 1, false) AS may FROM p)
-SELECT event_id, may AS scored, CASE WHEN may THEN CAST(substr(line_code, 2) AS BIGINT) < 25 END AS known_line, CAST(hour(ts - INTERVAL 3 HOURS) AS INTEGER) AS hour,
+SELECT event_id, may AS scored, CASE WHEN may THEN CAST(substr(line_code, 2) AS BIGINT) IN (SELECT l_suppkey % 25 FROM lineitem WHERE l_quantity * 100 < 5000) END AS known_line, CAST(hour(ts - INTERVAL 3 HOURS) AS INTEGER) AS hour,
   round(next_m / (greatest(mean_speed, 3) / 3.6e0), 4) AS by_speed FROM q"""
 )
 def eta_scored(spark: SparkSession, sf: str) -> DataFrame:
