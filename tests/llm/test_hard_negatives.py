@@ -91,3 +91,10 @@ def test_query_as_its_sql(spark):
     db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
     got = queries.op13_hard_negatives(spark, sf)
     assert sorted(tuple(r) for r in got.collect()) == sorted(db.execute(queries.OP13_SQL).fetchall())
+
+
+def test_more_anchors_than_are_scored_together(spark):
+    """Every row an anchor: the borders of tiles and of the anchors scored together lie inside one block."""
+    own = rows(9, 400)
+    assert len(own) > hard_negatives.TOGETHER > hard_negatives.TILE
+    assert mined(spark, own, 1) == brute(own, 1)

@@ -4,8 +4,8 @@ A row x becomes (x, sqrt(M - |x|^2)) with M the largest squared length, an ancho
 of the two is |q|^2 + M - 2 <q, x>, so near means a large inner product.  Every row stores its distances to a
 few pivots; by the triangle inequality they bracket a row's distance to an anchor, and so its score.  Rows
 lie in blocks by their nearest pivot and their distance to it, and a block's least and largest pivot distances bracket all of it.
-Anchors meet only blocks, and in them only rows, whose bracket reaches the scores in question; these survivors get
-their exact integer score.
+Anchors meet only blocks, and in them only tiles of ``TILE`` rows, whose bracket reaches the scores in question; the rows
+of these get their exact integer scores, many anchors in one product of matrices.
 
 First every anchor meets its own block, which gives a score that its last positive has at least; then the blocks
 that may hold a better one; then, for each positive's score, the blocks that may hold negatives in its band.
@@ -32,6 +32,8 @@ from tramline.llm.shared import written
 
 #: Pivots, rows that they are chosen from, rows in a block, asks that meet one block in a task, block brackets in a row.
 PIVOTS, SAMPLE, BLOCK, ASKED, PACK = 8, 2000, 2048, 20_000, 1024
+#: Rows that share brackets inside a block, and asks that are scored together.
+TILE, TOGETHER = 128, 256
 #: Distances are known to this share of the largest length.
 SLACK = 1e-6
 NONE = -(1 << 62)
@@ -172,19 +174,37 @@ def search(asks: DataFrame, pairs: DataFrame, blocks: DataFrame, longest: int, s
             asked, own = _matrix(left.column("vec"), kind), lists(left)
             far, close, least, most = (column(left, c) for c in ("far", "close", "least", "most"))
             anchor, labels, keys = column(left, "anchor"), column(left, "label"), column(left, "ask")
-            for i in range(left.num_rows):
-                low = np.abs(dist - own[i]).max(1)
-                high = (dist + own[i]).min(1)
-                alive = (low <= far[i]) & (high >= close[i]) & ((label == labels[i]) == same) & (row != anchor[i])
-                at = np.flatnonzero(alive)
-                score = (vecs[at] @ asked[i]).astype(np.int64)
-                fits = (score >= least[i]) & (score <= most[i])
-                at, score = at[fits], score[fits]
-                best = np.lexsort((row[at], ids[at], -score))[:top]
-                out["ask"] += [keys[i]] * len(best)
-                out["row"] += row[at[best]].tolist()
-                out["id"] += [None if x == (1 << 63) - 1 else x for x in ids[at[best]].tolist()]
-                out["score"] += score[best].tolist()
+            cuts = np.arange(0, right.num_rows, TILE)
+            low, high = np.minimum.reduceat(dist, cuts), np.maximum.reduceat(dist, cuts)
+            for begin in range(0, left.num_rows, TOGETHER):
+                some = slice(begin, begin + TOGETHER)
+                mine = own[some]
+                apart = np.zeros((len(cuts), len(mine)))
+                reach = np.full((len(cuts), len(mine)), np.inf)
+                for j in range(mine.shape[1]):  # brackets of a tile's rows by each pivot
+                    np.maximum(apart, np.maximum(low[:, j, None] - mine[:, j], mine[:, j] - high[:, j, None]), out=apart)
+                    np.minimum(reach, high[:, j, None] + mine[:, j], out=reach)
+                alive = (apart <= far[some]) & (reach >= close[some])
+                asks_in = np.flatnonzero(alive.any(0))
+                tiles = np.flatnonzero(alive[:, asks_in].any(1)) if len(asks_in) else asks_in
+                if not len(tiles):
+                    continue
+                at = np.concatenate([np.arange(cuts[t], min(cuts[t] + TILE, right.num_rows)) for t in tiles])
+                which = begin + asks_in
+                score = (vecs[at] @ asked[which].T).astype(np.int64).T
+                fits = (score >= least[which, None]) & (score <= most[which, None]) & ((label[at] == labels[which, None]) == same) & (row[at] != anchor[which, None])
+                for i in np.flatnonzero(fits.any(1)):
+                    hit = np.flatnonzero(fits[i])
+                    points = score[i, hit]
+                    if len(hit) > top:
+                        keep = points >= np.partition(points, -top)[-top]
+                        hit, points = hit[keep], points[keep]
+                    hit = at[hit]
+                    best = np.lexsort((row[hit], ids[hit], -points))[:top]
+                    out["ask"] += [keys[which[i]]] * len(best)
+                    out["row"] += row[hit[best]].tolist()
+                    out["id"] += [None if x == (1 << 63) - 1 else x for x in ids[hit[best]].tolist()]
+                    out["score"] += points[best].tolist()
         return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
 
     slice_ = F.pmod(F.xxhash64("home"), F.lit(slices)).alias("slice")
