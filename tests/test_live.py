@@ -6,7 +6,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from tramline.functions import text
+from tramline.functions import geo, text
 from tramline.operators import gps, imports
 from tramline.plans.stream_plans import folder_for
 from tramline.streaming import gps_stream, live, subscriptions
@@ -109,6 +109,17 @@ def test_subscriptions_count_connections_and_are_read_anew(spark):
     assert wanted() == {-1: False, 0: True, 4: True, 9: True, 20: False, 30: True}
 
 
+def test_ways_of_candidates_are_the_lines_local_headings(spark):
+    """Looked up in pieces, also at the ends of a line, for pings before, on and behind it."""
+    line = [(7, 1, [(-43.60, -23.0), (-43.598, -23.0), (-43.598, -22.998), (-43.598, -22.998), (-43.596, -22.997)])]
+    own = spark.createDataFrame(line, "itinerary_id long, line_id long, vertices array<struct<lon:double,lat:double>>")
+    pings = spark.createDataFrame([(k, 1, -23.0 + 0.0004 * k, -43.601 + 0.0007 * k) for k in range(9)], "event_id long, line_id long, lat double, lon double")
+    found = live.with_candidates(pings, live.route_pieces(own, 250.0), 250.0).select("event_id", F.explode("candidates").alias("c")).crossJoin(own.select("vertices"))
+    rows = found.select("c.way", geo.local_heading(F.col("vertices"), F.col("c.fraction")).alias("want"), "c.fraction").collect()
+    assert len(rows) > 4 and min(r.fraction for r in rows) == 0.0
+    assert all(abs(r.way - r.want) < 1e-6 for r in rows)
+
+
 def test_near_stop_wants_an_itinerary_and_a_place(spark):
     rows = spark.createDataFrame([(1, 1, 0.5, "A", 10.0), (2, None, 0.5, "A", 10.0), (3, 1, None, "A", 10.0), (4, 1, 0.5, None, 10.0)], "event_id long, itinerary_id long, fraction double, stop string, stop_m double")
     assert [r.event_id for r in gps.near_stop(rows).collect()] == [1]

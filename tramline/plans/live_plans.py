@@ -66,7 +66,8 @@ SELECT event_id, itinerary_id, round(metres, 6) AS metres, round(fraction, 6) AS
 def stream_matched(spark: SparkSession, sf: str) -> DataFrame:
     """Every ping of the stream against the cell-cut lines: a stream-static join without a shuffle of pairs."""
     found = live.with_candidates(feed(spark, sf, overlap=False), live.route_pieces(itineraries(spark, sf), REACH), REACH)
-    rows = ran(spark, found.select("event_id", F.explode("candidates").alias("c")), "matched")
+    each = found.select("event_id", F.explode_outer("candidates").alias("c")).filter("c IS NOT NULL")  # a plain explode infers filters that match again
+    rows = ran(spark, each, "matched")
     return rows.select("event_id", "c.itinerary_id", *(F.round(f"c.{c}", 6).alias(c) for c in ("metres", "fraction", "way")))
 
 
