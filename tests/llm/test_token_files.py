@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from tests.llm import data
@@ -50,6 +51,27 @@ def test_pieces_are_encoded_as_whole_texts(monkeypatch):
         assert np.frombuffer(raw, "<u2").tolist() == [*t.encode(text, add_special_tokens=False).ids, 2], text
 
 
+def test_runs_of_a_word_are_encoded_as_the_word():
+    r, t, own = random.Random(5), library(), tokenizer()
+    words = [f"{a}{chr(c)}{b}" for c in [*range(1, 0x250), 0x300, 0x307, 0x338, 0x2019, 0x212A, 0x212B, 0x1E9E, 0xFF21, 0x1D7D8] for a, b in (("ab", "cd"), ("Ab.", ""), ("", "7X"), ("1", "'s"))]
+    points = [*"abXY\xe9\xc9\xd7\xf7\u0130\u0250'.,#$%&*-0123<>| \n", "'s", "'ll", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>"]
+    texts = [*words, " ".join(words), *("".join(r.choice(points) for _ in range(r.randrange(1, 30))) for _ in range(3000)), "", None, " ", "\x85"]
+    column = pa.array(["left out", *texts, "left out"], pa.string()).slice(1, len(texts))
+    for text, raw in zip(texts, own.encode_column(column).to_pylist(), strict=True):
+        assert np.frombuffer(raw, "<u2").tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 2], text
+
+
+def test_the_library_sees_a_run_once(monkeypatch):
+    own, seen = tokenizer(), []
+    own._load()
+    monkeypatch.setattr(own, "_young", {})
+    monkeypatch.setattr(own, "_old", {})
+    monkeypatch.setattr(own, "_encoded", lambda pieces, encoded=own._encoded: seen.extend(pieces) or encoded(pieces))
+    own.encode(["Tram### tram%%%", "TRAM12 (tram), tr\xe1m.", "don't, tram21###"])
+    own.encode(["tram,### TRAM### 2###1"])
+    assert sorted(seen) == sorted(["tram", "###", "%%%", "1", "2", "(", "),", "tr\xe1m", ".", "don't,", ",###"])
+
+
 def test_files_as_brute_force(spark):
     df = data.frame(spark, awkward=True)
     folder = token_files.write_files(df, tokenizer(), roll=2000)

@@ -35,7 +35,7 @@ MAGIC = b"TOKIDS01"
 ROLL, DOC_WEIGHT = 64 << 20, 16
 #: Set bits between two stored places of a select structure.
 EVERY = 256
-#: Words whose ids a worker remembers in each of two generations, and bytes of ids or text that it hands on at once.
+#: Words and runs whose ids a worker remembers in each of two generations, and bytes of ids or text that it hands on at once.
 REMEMBERED, AT_ONCE = 400_000, 8 << 20
 #: Letter runs that the library gets in one text.
 JOINED = 500
@@ -45,8 +45,12 @@ LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f"
 #: A run of Latin letters before a stop, or all up to the next blank: no token spans two of them.
 PIECES = re.compile(f"[{LETTERS}]+(?=[.,;:!?])|[^ \t-\r]+")
 ALL_LETTERS = re.compile(f"[{LETTERS}]+")
-#: Python parts words at these, the library doesn't.
-SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: The vocabulary's own split, and what bytes are to it: 0 blanks, 1 letters, 2 symbols, 3 digits.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+KIND = np.array([0 if i == 32 or 9 <= i <= 13 else 3 if 48 <= i <= 57 else 1 if i >= 128 or chr(i).isalpha() else 2 for i in range(256)], np.uint8)
+#: Bytes that leave their word whole: controls, the apostrophe (the split looks ahead of it), what opens other letters than Latin ones.
+ODD = np.array([i < 32 and KIND[i] > 0 or i in (39, 127) or 0xC0 <= i <= 0xC2 or i >= 0xCA for i in range(256)])
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 
 
 class EliasFano:
@@ -130,6 +134,11 @@ class WordTokenizer:
             self._closes = np.zeros(max(vocabulary.values()) + 1, bool)
             self._closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
             self.kind = "<u2" if max(self.end, *vocabulary.values()) < 1 << 16 else "<u4"
+            own = json.loads(self._library.to_str())
+            steps = (own["pre_tokenizer"] or {}).get("pretokenizers", [])
+            lowers = {"type": "Lowercase"} in (own["normalizer"] or {}).get("normalizers", [])
+            self._runs = lowers and bool(steps) and steps[0].get("pattern") == {"Regex": SPLIT}
+            self._added = [t["content"].encode().lower() for t in own["added_tokens"]]
 
     def width(self) -> int:
         self._load()
@@ -158,28 +167,80 @@ class WordTokenizer:
             out.update((p, self._pack(e.ids)) for p, e in zip(some, self._library.encode_batch_fast(some, add_special_tokens=False), strict=True))
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text and the end id, ``width`` bytes each."""
-        self._load()
-        cut = [[] if not t else t.split() if not any(c in t for c in SEPARATORS) else PIECES.findall(t) for t in texts]
-        now, parts = {}, {}
-        for w in set().union(*cut):
-            raw = self._young.get(w) or self._old.get(w)
+    def _new(self, words: list[str]) -> list[str]:
+        """The words that are not remembered; those of the old generation move to the young one."""
+        young, old, new = self._young, self._old, []
+        for w in [w for w in words if w not in young]:
+            raw = old.get(w)
             if raw is None:
-                parts[w] = PIECES.findall(w)
+                new.append(w)
             else:
-                now[w] = raw
-        pieces = {}
-        for p in {p for ps in parts.values() for p in ps}:
-            pieces[p] = now.get(p) or self._young.get(p) or self._old.get(p)
-        pieces.update(self._encoded([p for p, raw in pieces.items() if raw is None]))
-        now.update((w, b"".join([pieces[p] for p in ps])) for w, ps in parts.items())
-        self._young.update(pieces)
-        self._young.update(now)
+                young[w] = raw
+        return new
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """The ids of different words or runs; what is new goes to the library by its pieces."""
+        new = self._new(words)
+        parts = {w: PIECES.findall(w) for w in new if not w.isalpha()}  # letters alone are one piece
+        pieces = [w for w in new if w not in parts]
+        self._young.update(self._encoded(pieces + self._new(list({p for ps in parts.values() for p in ps}.difference(pieces)))))
+        known = self._young.__getitem__
+        self._young.update([(w, b"".join(map(known, ps))) for w, ps in parts.items()])
+        out = list(map(known, words))
         if len(self._young) > REMEMBERED:
             self._old, self._young = self._young, {}
-        end, known = self._pack([self.end]), now
-        return [b"".join([*map(known.__getitem__, ws), end]) for ws in cut]
+        return out
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text and the end id, ``width`` bytes each."""
+        return self.encode_column(pa.array(texts, pa.string())).to_pylist()
+
+    def encode_column(self, texts: pa.StringArray) -> pa.BinaryArray:
+        """``encode`` of an Arrow column: runs are made numbers of different runs, whose ids are taken side by side."""
+        self._load()
+        runs, at = _runs(texts, self._added if self._runs else None)
+        found = runs.dictionary_encode()
+        ids = pa.array([*self._learn(found.dictionary.to_numpy(zero_copy_only=False).tolist()), self._pack([self.end])], pa.binary())
+        flat = ids.take(pa.array(np.insert(found.indices.to_numpy(), at[1:], len(ids) - 1)))  # the end id after a text's runs
+        _, offsets, raw = flat.buffers()
+        ends = np.frombuffer(offsets, np.int32)[at + np.arange(len(at))]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends), raw])
+
+
+def _runs(texts: pa.StringArray, added: list[bytes] | None) -> tuple[pa.StringArray, np.ndarray]:
+    """The words between ASCII blanks of all texts, and at which of them each text begins and the last one ends.
+
+    With ``added``, the tokens apart from the vocabulary, words of Latin letters, digits and ASCII symbols come in lower case
+    and in the runs of ``SPLIT``, each encoded for itself; a word with an odd byte or an added token comes whole.
+    """
+    texts = texts.fill_null("")
+    if not len(texts):
+        return pa.array([], pa.string()), np.zeros(1, np.int64)
+    _, offsets, raw = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(raw, np.uint8)[bounds[0] : bounds[-1]] if raw else np.zeros(0, np.uint8)
+    bounds -= bounds[0]
+    kind = KIND[data]
+    inside = kind > 0
+    opens = inside.copy()
+    opens[1:] &= ~inside[:-1]
+    heads = bounds[:-1][np.diff(bounds) > 0]
+    opens[heads] = inside[heads]
+    words = np.flatnonzero(opens)
+    if added is not None and len(words):
+        odd, low = ODD[data], LOWER[data]
+        x, y = data[:-1], data[1:]
+        odd[1:] |= (x == 0xC3) & ((y == 0x97) | (y == 0xB7)) | (x == 0xC4) & (y == 0xB0) | (x == 0xC9) & (y >= 0x90)  # as LETTERS
+        for token in added:
+            odd[[m.start() for m in re.finditer(re.escape(token), low.data)]] = True
+        plain = np.zeros(len(data), bool)
+        plain[words[0] :] = np.repeat(~np.logical_or.reduceat(odd, words), np.diff(np.append(words, len(data))))
+        opens[1:] |= plain[1:] & inside[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == 3))
+        data = np.where(plain, low, data)
+        words = np.flatnonzero(opens)
+    starts = np.append(np.flatnonzero(opens[inside]), np.count_nonzero(inside)).astype(np.int32)
+    runs = pa.Array.from_buffers(pa.string(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data[inside])])
+    return runs, np.searchsorted(words, bounds)
 
 
 def _place(id_col: str, text_col: str) -> Column:
@@ -210,7 +271,7 @@ def encode(docs: DataFrame, tokenizer: WordTokenizer, id_col: str = "doc_id", te
             at = 0
             for j in [*(np.flatnonzero(np.diff(np.cumsum(sizes) // AT_ONCE)) + 1).tolist(), len(texts)]:
                 if j > at:
-                    ids = pa.array(tokenizer.encode(texts.slice(at, j - at).to_pylist()), pa.binary())
+                    ids = tokenizer.encode_column(texts.slice(at, j - at))
                     yield pa.RecordBatch.from_arrays([*(b.column(i).slice(at, j - at) for i in range(3)), ids], ["doc_id", "part", "tie", "ids"])
                 at = j
 
