@@ -78,3 +78,29 @@ def test_passages_pass_the_gate(spark):
     rows = [(1, 2, k, start + datetime.timedelta(seconds=60 * k), k / 10, 1000.0, stop, metres) for k, (stop, metres) in enumerate([("A", 120.0), ("A", 60.0), ("B", 140.0), ("B", 200.0), ("C", 151.0), (" ", 10.0), ("A", 100.0)])]
     got = gps.passages(spark.createDataFrame(rows, "vehicle_id long, itinerary_id long, event_id long, ts timestamp_ntz, fraction double, length_m double, stop string, stop_m double")).orderBy("event_id").collect()
     assert [(r.stop, r.event_id, r.secs_since_prev, r.leg_m) for r in got] == [("A", 0, None, None), ("B", 2, 120, 200.0), ("A", 6, 240, 400.0)]
+
+
+def test_streamed_route_state_as_plain_without_a_table_for_each_vehicle(spark, tmp_path):
+    import datetime
+
+    from tramline.streaming import gps_stream, live
+
+    r, start = random.Random(9), datetime.datetime(2024, 1, 1)
+    state, last, want = {}, {}, []
+    for part in range(2):  # the second batch begins before the first one's end
+        rows = []
+        for e in range(part * 200, part * 200 + 200):
+            on, at = r.choice([1, 1, 2, None]), start + datetime.timedelta(seconds=60 * part + r.randrange(90), microseconds=r.randrange(3))
+            rows.append((r.choice([7, 7, 7, 8, 2**53 + 1]), e, at, r.random() * 9, r.choice([None, r.random() * 9]), r.choice([None, 90.0, 90.0]), on, None if on is None else r.random(), None if on is None else r.random() * 150))
+        rows += [(None, 900, start, 5.0, None, 90.0, 1, 0.5, 1.0), (8 + part, 901 + part, None, 5.0, None, 90.0, 1, 0.5, 1.0)]
+        for row in sorted(rows, key=lambda x: (x[2] is None, x[2] or start, x[1])):
+            if row[0] is not None and (row[2] is None or row[2] > last.get(row[0], datetime.datetime.min)):
+                want.append((row[0], row[1], *(state.setdefault(row[0], Plain()).ping(*row[3:]) or (None, None, None))))
+                last[row[0]] = row[2] or last.get(row[0], datetime.datetime.min)
+        spark.createDataFrame(rows, KIND).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    live.use_state_store(spark)
+    found = gps_stream.confirmed_routes(gps_stream.read_pings(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, files_per_trigger=1))
+    assert "InPandas" not in found._jdf.queryExecution().toString()
+    gps_stream.run_once(found, f"{tmp_path}/out", f"{tmp_path}/state")
+    got = [tuple(x)[:5] for x in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.plans.registry import query, route_fold
-from tramline.streaming import gps_stream
+from tramline.streaming import gps_stream, live
 
 
 def folder_for(spark: SparkSession, name: str) -> str:
@@ -82,4 +82,5 @@ def stream_routes(spark: SparkSession, sf: str) -> DataFrame:
         "vehicle_id", "event_id", "ts", (F.col("speed") % 60).alias("speed"), F.when(e % 5 > 0, (e % 360).cast("double")).alias("heading"), F.when(e % 7 != 0, F.col("line_id") * 2 + e % 2).alias("itinerary_id"),
         ((e % 20) / 20).alias("fraction"), (e % 200).cast("double").alias("metres"),
     )
+    live.use_state_store(spark)
     return _result(spark, gps_stream.confirmed_routes(rows), "routes")

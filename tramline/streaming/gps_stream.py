@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tramline.operators.gps import NO_ROUTE, STATE, route_step
 
+#: A ping's columns as they are handed over, each at a cost for every row; the last is none of them.
+PING = namedtuple("PING", "vehicle_id event_id ts speed heading itinerary_id fraction metres mean_speed", defaults=[None])
+ROUTE_ROW = Row(*(c.split()[0] for c in STATE.split(", ")))
+
 
 def read_pings(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000, names: str = "*.parquet") -> DataFrame:
     """A stream of the files of a folder whose names fit ``names``."""
@@ -38,34 +43,57 @@ def latest_rows(pings: DataFrame) -> DataFrame:
     return pings.groupBy("vehicle_id").agg(F.max(F.struct("ts", "event_id", "line_id", "speed")).alias("b")).select("vehicle_id", "b.*")
 
 
+def _micros(ts: datetime | None) -> int | None:
+    return None if ts is None else (ts.astimezone(timezone.utc) - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
+
+
+class RouteProcessor(StatefulProcessor):
+    """One vehicle's confirmed route, by ``gps.route_step``: a ping not newer than the last is dropped, and the state goes ``ttl_ms`` after it."""
+
+    def __init__(self, rules: tuple, ttl_ms: int) -> None:
+        self.rules, self.ttl_ms = rules, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("route", "route long, held double, at double, missed int, last long, due long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        *now, last, due = self.held.get() or (*NO_ROUTE, None, None)
+        now, untimed, out = tuple(now), False, []
+        pings = [(micros is None, micros or 0, p.event_id is None, p.event_id or 0, p) for p in (PING(*r) for r in rows) for micros in [_micros(p.ts)]]
+        for no_time, micros, *_, r in sorted(pings, key=lambda p: p[:4]):
+            if untimed or (not no_time and last is not None and micros <= last):
+                continue  # of a batch's pings without a time the first counts, after the others
+            now, row = route_step(now, r, *self.rules)
+            untimed, last = no_time, last if no_time else micros
+            out.append(ROUTE_ROW(key[0], r.event_id, *row))
+        if out:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            due = max((last or 0) // 1000, timerValues.getCurrentWatermarkInMs()) + self.ttl_ms
+            self.held.update((*now, last, due))
+            self.handle.registerTimer(due)
+        yield from out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.held.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 def confirmed_routes(rows: DataFrame, gain: float = 30.0, jump: float = 100.0, misses: int = 3, least_speed: float = 3.0, ttl_ms: int = 180_000, late: str = "300 seconds") -> DataFrame:
     """``gps.route_state`` as keyed state: a ping not newer than the last is dropped; idle vehicles expire.
 
     Columns as there; output one row for each accepted ping.  Age is event time, so that a replay
-    expires the same states and a run over what is there comes to its end.
+    expires the same states and a run over what is there comes to its end.  Rows and state are handed over as they are, with
+    no table made for each vehicle.  Needs the RocksDB state store (``live.use_state_store``).
     """
-    state_schema = "route long, held double, at double, missed int, last timestamp"
-    if "mean_speed" not in rows.columns:
-        rows = rows.withColumn("mean_speed", F.lit(None).cast("double"))
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        *now, last = state.get if state.exists else (*NO_ROUTE, None)
-        now, out = tuple(now), []
-        for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples(index=False):
-            if last is not None and r.ts <= last:
-                continue
-            now, row = route_step(now, r, gain, jump, misses, least_speed)
-            last = r.ts
-            out.append((r.vehicle_id, r.event_id, *row))
-        state.update((*now, last))
-        state.setTimeoutTimestamp(max(int(last.timestamp() * 1000), state.getCurrentWatermarkMs()) + ttl_ms)
-        if out:
-            yield pd.DataFrame(out, columns=["vehicle_id", "event_id", "route", "at", "metres", "status"]).astype({"route": "Int64", "at": "Float64", "metres": "Float64"})
-
-    return rows.withWatermark("ts", late).groupBy("vehicle_id").applyInPandasWithState(step, STATE, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    if "mean_speed" in rows.columns:
+        rows = rows.withColumn("speed", F.coalesce(F.when(~F.isnan("mean_speed"), F.col("mean_speed")), "speed"))
+    own = rows.filter("vehicle_id IS NOT NULL").withWatermark("ts", late).select(*PING._fields[:-1])
+    return own.groupBy("vehicle_id").transformWithState(RouteProcessor((gain, jump, misses, least_speed), ttl_ms), STATE, "Append", "EventTime")
 
 
 def run_once(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
