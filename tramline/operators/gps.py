@@ -81,13 +81,18 @@ def line_switches(pings: DataFrame) -> DataFrame:
 def stop_by_name(rows: DataFrame, links: DataFrame) -> DataFrame:
     """``rows`` (itinerary_id, stop: a name, fraction) with stop_id, the first stop of that name not before the fraction; rows without one go.
 
-    ``links``: itinerary_id, stop_id, name, fraction.  A name's stops on an itinerary are one short sorted list.
+    ``links``: itinerary_id, stop_id, name, fraction.  A name's stops on an itinerary are one sorted list with an entry a fraction.
     """
-    lists = links.groupBy("itinerary_id", F.col("name").alias("stop")).agg(F.array_sort(F.collect_list(F.struct("fraction", "stop_id"))).alias("stops"))
+    lists = first_named(links).groupBy("itinerary_id", F.col("name").alias("stop")).agg(F.array_sort(F.collect_list(F.struct("fraction", "stop_id"))).alias("stops"))
     ahead = F.get(F.filter("stops", lambda s: s["fraction"] >= F.col("fraction")), 0)["stop_id"]
     return rows.join(lists, ["itinerary_id", "stop"]).withColumn("stop_id", ahead).filter("stop_id IS NOT NULL").select(*rows.columns, "stop_id")
 
 
+def first_named(links: DataFrame) -> DataFrame:
+    """Of the stops of one name at one fraction of an itinerary that with the smallest id: only it can be the first ahead, however many share name and place."""
+    return links.groupBy("itinerary_id", "name", "fraction").agg(F.min("stop_id").alias("stop_id"))
+
+
 def near_stop(rows: DataFrame, gate: float = 150.0) -> DataFrame:
     """Rows that may be passages: on an itinerary, at a known place of it, a named next stop at most ``gate`` metres away (stop, stop_m)."""
     return rows.filter("itinerary_id IS NOT NULL AND fraction IS NOT NULL").filter(F.trim(F.coalesce("stop", F.lit(""))) != "").filter(F.col("stop_m") <= gate)
