@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tramline.functions import geo, text
 from tramline.operators import gps, imports
+from tramline.plans import live_plans
 from tramline.plans.stream_plans import folder_for
 from tramline.streaming import gps_stream, live, subscriptions
 
@@ -134,3 +135,52 @@ def test_double_keys_tell_all_doubles_apart(spark):
 def test_stable_ids_keep_parts_apart(spark):
     ids = spark.createDataFrame([("a", "bc"), ("ab", "c"), (None, "abc"), ("", "abc")], "x string, y string").select(imports.stable_id(F.col("x"), F.col("y")).alias("i")).collect()
     assert len({r.i for r in ids[:3]}) == 3 and ids[2].i == ids[3].i
+
+
+def test_only_the_newest_ping_of_a_poll_goes_on(spark, monkeypatch):
+    """Of a task that holds too many vehicles older pings may stay, the newest always does."""
+    rows = [(v, 100 * v + k, at(k // 2 if v % 2 else -k), "x") for v in range(50) for k in range(20)] + [(None, 9, at(0), "x")]
+    df = spark.createDataFrame(rows, "vehicle_id long, event_id long, ts timestamp, kept string").repartition(7)
+    newest = {100 * v + (19 if v % 2 else 0) for v in range(50)}
+    assert sorted(r.event_id for r in live.newest_of_poll(df).collect()) == sorted(newest)
+    monkeypatch.setattr(live, "AT_ONCE", 10)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    got = [r.event_id for r in live.newest_of_poll(df).collect()]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert newest <= set(got) and len(set(got)) == len(got) < len(rows) - 1
+
+
+def test_a_polls_files_are_one_micro_batch(spark):
+    """As many as there are cores, and no cycle has rows of two polls."""
+    rows, _ = run(spark, live_plans.feed(spark, "/root/testdata/sf0.01").select("event_id", "polled_at", F.input_file_name().alias("file")), "cycles")
+    cycles = rows.groupBy("cycle").agg(F.count_distinct("polled_at").alias("polls"), F.count_distinct("file").alias("files")).collect()
+    assert len(cycles) == 9 and all(r.polls == 1 and r.files == spark.sparkContext.defaultParallelism for r in cycles)
+
+
+def test_stops_of_a_name_at_one_fraction_are_one_entry(spark):
+    links = spark.range(3000).select(F.lit(1).cast("long").alias("itinerary_id"), "id", (F.col("id") % 3 / 4).alias("fraction")).select("itinerary_id", F.col("id").alias("stop_id"), F.lit("A").alias("name"), "fraction")
+    assert sorted((r.fraction, r.stop_id) for r in gps.first_named(links).collect()) == [(0.0, 0), (0.25, 1), (0.5, 2)]
+    rows = spark.createDataFrame([(1, "A", f) for f in (0.0, 0.2, 0.5, 0.6)], "itinerary_id long, stop string, fraction double")
+    assert sorted((r.fraction, r.stop_id) for r in gps.stop_by_name(rows, links).collect()) == [(0.0, 0), (0.2, 1), (0.5, 2)]
+
+
+def test_a_silent_vehicle_is_told_once_and_may_come_back(spark):
+    """No signal and gone in cycles of their own; of a vehicle that is back in between no old timer tells."""
+    ping = lambda v, e, t: (v, e, at(t), at(t), "L1", 0.0, 0.0, 30.0)
+    raw, _ = fed(spark, [[ping(1, 1, 0), ping(2, 2, 0), ping(3, 3, 0.123456)], [ping(1, 4, 60)], [ping(1, 6, 75)], [ping(3, 5, 100), ping(1, 7, 160)], [ping(1, 8, 220)], [ping(1, 9, 221)]], PINGS)
+    bare = raw.withColumn("enriched", F.lit(False)).withColumn("candidates", F.lit(None).cast(live.CANDIDATE))
+    rows, _ = run(spark, live.vehicle_states(bare, 40, 180, 300, late="10 seconds"), "silent")
+    got = sorted((r.event_id, r.status, r.cycle) for r in rows.filter("status <> 'active'").collect())
+    assert got == [(2, "gone", 5), (2, "no_signal", 2), (3, "no_signal", 2), (5, "no_signal", 4)]
+    assert {r.event_id: r.ts for r in rows.filter("status = 'active'").select("event_id", F.col("ts").cast("string").alias("ts")).collect()}[3] == "2024-01-01 00:00:00.123456"
+
+
+def test_columns_that_passages_hand_on_stay_as_they_are(spark):
+    own = (1, 2, 3, at(0.000001), 0.1 + 2**-56, 1e300, 'a "b" \\ ü\n', -0.5, 7, float("inf"), [1.5, None], at(1.000003))
+    schema = "vehicle_id long, itinerary_id long, event_id long, seen_at timestamp, fraction double, length_m double, stop string, stop_m double, stop_id long, d double, many array<double>, t timestamp"
+    raw, _ = fed(spark, [[own]], schema)
+    rows, _ = run(spark, live.with_passages(raw.withColumn("ts", F.col("seen_at")).withWatermark("seen_at", "300 seconds")), "kept")
+    names = [c.split()[0] for c in schema.split(", ")]
+    want = spark.createDataFrame([own], schema).collect()[0]
+    got = rows.collect()[0]
+    assert tuple(got[c] for c in names) == tuple(want) and got.ts == got.seen_at and got.passage

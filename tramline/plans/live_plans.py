@@ -29,7 +29,10 @@ accepted AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY vehic
 
 
 def feed(spark: SparkSession, sf: str, rows: DataFrame | None = None, overlap: bool = True) -> DataFrame:
-    """A stream of the pings (or ``rows`` with event_id and ts) in polls: a file for each, in the order of their polls, that carries its time."""
+    """A stream of the pings (or ``rows`` with event_id and ts) in polls: as many files for each, in the order of their polls, that carry its time.
+
+    A poll's files are one micro-batch, and each is a task's, so that a poll's rows are spread over the cores.
+    """
     at = folder_for(spark, "polls")
     rows = view(spark, sf, "ping") if rows is None else rows
     start = F.lit(START).cast("timestamp_ntz").cast("timestamp")
@@ -37,12 +40,29 @@ def feed(spark: SparkSession, sf: str, rows: DataFrame | None = None, overlap: b
     polls = F.when(F.col("event_id") % 10 == 0, F.array(nth, nth + 1)).otherwise(F.array(nth)) if overlap else F.array(nth)
     fed = rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("poll", F.explode(polls))
     fed = fed.withColumn("polled_at", start + F.make_dt_interval(days=((F.col("poll") + 1) * DAYS).cast("int")))
-    fed.repartition("poll").write.partitionBy("poll").parquet(f"{at}/all")
+    fed.write.partitionBy("poll").parquet(f"{at}/all")
     written = spark.read.parquet(f"{at}/all")
-    for (n,) in written.select("poll").distinct().orderBy("poll").collect():
-        written.filter(F.col("poll") == n).drop("poll").coalesce(1).write.mode("append").parquet(f"{at}/feed")
+    polls = [n for (n,) in written.select("poll").distinct().orderBy("poll").collect()]
+    files = max(1, spark.sparkContext.defaultParallelism)
+    part = lambda n: F.coalesce(F.pmod(F.xxhash64("event_id"), F.lit(n)), F.lit(0)).cast("int")
+    if written.select("poll", part(files)).distinct().count() < files * len(polls):
+        files = 1  # an empty part leaves no file, and a poll's files would run into the next one's
+    for n in polls:
+        written.filter(F.col("poll") == n).drop("poll").repartitionById(files, part(files)).write.mode("append").parquet(f"{at}/feed")
     live.use_state_store(spark)
-    return gps_stream.read_pings(spark, f"{at}/feed", written.drop("poll").schema, files_per_trigger=1)
+    return gps_stream.read_pings(spark, f"{at}/feed", written.drop("poll").schema, files_per_trigger=files)
+
+
+def _once(spark: SparkSession, side: DataFrame, name: str) -> DataFrame:
+    """A static side written and read back, so that it is not computed again for every micro-batch."""
+    at = folder_for(spark, name)
+    side.write.parquet(at)
+    return spark.read.parquet(at)
+
+
+def _pieces(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    cells, lines = live.route_pieces(itineraries(spark, sf), REACH)
+    return _once(spark, cells, "cells"), _once(spark, lines, "lines")
 
 
 def ran(spark: SparkSession, stream: DataFrame, name: str, after=None) -> DataFrame:
@@ -65,7 +85,7 @@ SELECT event_id, itinerary_id, round(metres, 6) AS metres, round(fraction, 6) AS
 )
 def stream_matched(spark: SparkSession, sf: str) -> DataFrame:
     """Every ping of the stream against the cell-cut lines: a stream-static join without a shuffle of pairs."""
-    found = live.with_candidates(feed(spark, sf, overlap=False), live.route_pieces(itineraries(spark, sf), REACH), REACH)
+    found = live.with_candidates(feed(spark, sf, overlap=False), _pieces(spark, sf), REACH)
     each = found.select("event_id", F.explode_outer("candidates").alias("c")).filter("c IS NOT NULL")  # a plain explode infers filters that match again
     rows = ran(spark, each, "matched")
     return rows.select("event_id", "c.itinerary_id", *(F.round(f"c.{c}", 6).alias(c) for c in ("metres", "fraction", "way")))
@@ -91,7 +111,7 @@ heads AS (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 AS gap_s, la
 
 
 def _states(spark: SparkSession, sf: str, pings: DataFrame, late: int = LATE, wanted: DataFrame | None = None) -> DataFrame:
-    found = live.with_candidates(_coded(pings), live.route_pieces(itineraries(spark, sf), REACH), REACH, wanted)
+    found = live.with_candidates(live.newest_of_poll(_coded(pings)), _pieces(spark, sf), REACH, wanted)
     return live.vehicle_states(found, ACTIVE, RECENT, OLDEST, late=f"{late} seconds")
 
 
@@ -104,10 +124,12 @@ FROM stopped s LEFT JOIN heads h USING (event_id)"""
 def gps_cycle(spark: SparkSession, sf: str) -> DataFrame:
     """The whole cycle as one stream: polls, matching, vehicle state, next stop, passages."""
     links = view(spark, sf, "itinerary_stop").join(view(spark, sf, "stop").select("stop_id", "name"), "stop_id").select("itinerary_id", "stop_id", "name", "fraction")
+    firsts = links.groupBy("itinerary_id", "fraction").agg(F.min(F.struct("stop_id", "name")).alias("s")).select("itinerary_id", "fraction", "s.stop_id", "s.name")
     states = _states(spark, sf, feed(spark, sf)).filter("status = 'active'")
-    stopped = live.with_next_stop(states, links).withColumn("itinerary_id", F.col("route")).withColumn("stop_id", F.col("next_stop"))
+    stopped = live.with_next_stop(states, _once(spark, firsts, "stops")).withColumnsRenamed({"route": "itinerary_id", "next_stop": "stop_id"})
+    stopped = stopped.drop("line_code", "old_line", "left_line", "lat", "lon", "speed", "metres", "status")  # nothing of this cycle's end needs them
     rows = live.compensated(ran(spark, live.with_passages(stopped, RECENT), "cycle"))
-    return rows.select("event_id", *(F.round(c, 6).alias(c) for c in ("mean_speed", "heading")), "route", F.round("fraction", 6).alias("fraction"), "step", "next_stop", "passage", F.round("secs_since_prev", 6).alias("secs_since_prev"), F.round("leg_m", 3).alias("leg_m"))
+    return rows.select("event_id", *(F.round(c, 6).alias(c) for c in ("mean_speed", "heading")), F.col("itinerary_id").alias("route"), F.round("fraction", 6).alias("fraction"), "step", F.col("stop_id").alias("next_stop"), "passage", F.round("secs_since_prev", 6).alias("secs_since_prev"), F.round("leg_m", 3).alias("leg_m"))
 
 
 _CUT = SQL["stop_passages_by_name"]
@@ -117,7 +139,7 @@ _CUT = SQL["stop_passages_by_name"]
 def stream_passages(spark: SparkSession, sf: str) -> DataFrame:
     """``stop_passages_by_name`` from a stream: named stops joined stream-static, state by vehicle and itinerary, appended cycle by cycle."""
     rows = feed(spark, sf, near_stops(spark, sf), overlap=False).withColumn("seen_at", F.col("ts")).withWatermark("seen_at", "300 seconds")
-    found = live.with_passages(gps.stop_by_name(gps.near_stop(rows), named_links(spark, sf)).drop("polled_at"), 36000)
+    found = live.with_passages(gps.stop_by_name(gps.near_stop(rows), _once(spark, gps.first_named(named_links(spark, sf)), "named")).drop("polled_at"), 36000, others=False)
     done = ran(spark, found, "passages").filter("passage")
     return done.select("vehicle_id", "itinerary_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "stop", "stop_id", F.round("secs_since_prev", 6).alias("secs_since_prev"), F.round("leg_m", 6).alias("leg_m"))
 
