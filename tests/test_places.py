@@ -41,6 +41,20 @@ def test_points_at_one_place_keep_all_their_pairs(spark):
     assert spatial.near_places(spatial.places(left), spatial.places(right), 100.0).count() == 5
 
 
+def test_pairs_become_rows_only_after_the_last_shuffle(spark, monkeypatch):
+    """What is shuffled and joined are lists of a place's points, however many pairs they make; lists have an end."""
+    left, right = stops(spark, 30), stops(spark, 40).withColumnsRenamed({"stop_id": "other", "name": "title"}).withColumn("lat", F.col("lat") + 1e-4)
+    monkeypatch.setattr(spatial, "TOGETHER", 7)
+    found = spatial.within(left, right, 100.0, digits=3)
+    text = plan(found)  # before it has run
+    rows = found.collect()
+    assert sorted((r.stop_id, r.name, r.other, r.title) for r in rows) == sorted((a * 5 + k, f"s{k}", b * 5 + k, f"s{k}") for a in range(30) for b in range(40) for k in range(5))
+    assert {r.metres for r in rows} == {11.074} and {round(r.r_lat - r.lat, 9) for r in rows} == {1e-4}
+    last = max(i for i, row in enumerate(text) if "explode(__" in row)
+    assert not any("Exchange" in row or "Join" in row for row in text[:last])
+    assert spatial._lists(left, ["lat", "lon"], "l").select(F.max(F.size("l"))).first()[0] == 7
+
+
 def test_candidates_and_winners_with_copies(spark):
     found = spatial.stop_candidates(lines(spark), stops(spark, 3), 100.0)
     assert sorted((r.stop_id, r.vertex) for r in found.collect()) == sorted((n * 5 + k, k + 1) for n in range(3) for k in range(5))
