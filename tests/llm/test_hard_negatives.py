@@ -98,3 +98,22 @@ def test_more_anchors_than_are_scored_together(spark):
     own = rows(9, 400)
     assert len(own) > hard_negatives.TOGETHER > hard_negatives.TILE
     assert mined(spark, own, 1) == brute(own, 1)
+
+
+def test_anchors_of_one_vector_and_label_ask_once(spark, monkeypatch):
+    """And asks meet shelves of blocks: no more rows for each ask than there are shelves, also where nothing is ruled out."""
+    met = []
+    search = hard_negatives.search
+
+    def counted(asks, pairs, blocks, *more):
+        shelves = blocks.selectExpr(f"block div {hard_negatives.SHELF} AS s").distinct().count()
+        met.append((asks.count(), shelves, blocks.select("block").distinct().count()))
+        found = search(asks, pairs, blocks, *more)
+        assert found.groupBy("ask").count().filter(F.col("count") > 6 * shelves).count() == 0
+        return found
+
+    monkeypatch.setattr(hard_negatives, "search", counted)
+    same = rows(6, 40)
+    own = [(40 * c + i, v, label) for c in range(20) for i, v, label in same]  # twenty copies
+    assert mined(spark, own, 20, block=16) == brute(own, 20)
+    assert met[0][0] == 2 and met[0][1] * 4 < met[0][2]  # forty anchors of two vectors

@@ -8,7 +8,8 @@ Anchors meet only blocks, and in them only tiles of ``TILE`` rows, whose bracket
 of these get their exact integer scores, many anchors in one product of matrices.
 
 First every anchor meets its own block, which gives a score that its last positive has at least; then the blocks
-that may hold a better one; then, for each positive's score, the blocks that may hold negatives in its band.
+that may hold a better one; then, for each positive's score, its own block again, which gives a score that its last negative has
+at least, and the blocks that may hold better ones in its band.  Anchors of one vector and label ask once: they share all rows but themselves.
 Nothing is approximate: the pivots, fitted on at most ``SAMPLE`` rows, only decide how much is pruned.
 
 Rows take no part whose label or vector is null or that hold a null or non-finite component; of vectors of
@@ -34,6 +35,8 @@ from tramline.llm.shared import written
 PIVOTS, SAMPLE, BLOCK, ASKED, PACK = 8, 2000, 2048, 20_000, 1024
 #: Rows that share brackets inside a block, and asks that are scored together.
 TILE, TOGETHER = 128, 256
+#: Blocks, near each other in order, that asks meet together: where brackets rule out little, asks travel once for so many blocks.
+SHELF = 8
 #: Distances are known to this share of the largest length.
 SLACK = 1e-6
 NONE = -(1 << 62)
@@ -156,10 +159,10 @@ def _pairs(asks: DataFrame, blocks: DataFrame, k: int, n_blocks: int) -> DataFra
 
 
 def search(asks: DataFrame, pairs: DataFrame, blocks: DataFrame, longest: int, same: bool, top: int, n_asks: int) -> DataFrame:
-    """(ask, row, id, score): for each ask its best ``top`` rows of every block it meets, with the anchor's label or another.
+    """(ask, row, id, score): for each ask its best ``top`` rows of every shelf of blocks it meets, with the anchor's label or another.
 
-    ``asks``: ask (a key), anchor (its row), home, label, vec, norm, dist, least, most, far, close.
-    A task holds one block and at most about ``ASKED`` asks.
+    ``asks``: ask (a key), home, label, vec, norm, dist, least, most, far, close.  ``pairs`` (home, block) are read twice.
+    A task holds the blocks of one shelf and at most about ``ASKED`` asks; rows go only where asks meet their shelf.
     """
     slices = max(1, -(-n_asks // ASKED))
     kind = np.float64 if longest < 1 << 53 else np.int64
@@ -173,11 +176,12 @@ def search(asks: DataFrame, pairs: DataFrame, blocks: DataFrame, longest: int, s
             row, label, dist, vecs = column(right, "row"), column(right, "label"), lists(right), _matrix(right.column("vec"), kind)
             asked, own = _matrix(left.column("vec"), kind), lists(left)
             far, close, least, most = (column(left, c) for c in ("far", "close", "least", "most"))
-            anchor, labels, keys = column(left, "anchor"), column(left, "label"), column(left, "ask")
+            labels, keys = column(left, "label"), column(left, "ask")
             cuts = np.arange(0, right.num_rows, TILE)
             low, high = np.minimum.reduceat(dist, cuts), np.maximum.reduceat(dist, cuts)
-            for begin in range(0, left.num_rows, TOGETHER):
-                some = slice(begin, begin + TOGETHER)
+            step = max(1, TOGETHER * BLOCK // max(BLOCK, right.num_rows))  # scores held at once are as many as of one block
+            for begin in range(0, left.num_rows, step):
+                some = slice(begin, begin + step)
                 mine = own[some]
                 apart = np.zeros((len(cuts), len(mine)))
                 reach = np.full((len(cuts), len(mine)), np.inf)
@@ -191,8 +195,8 @@ def search(asks: DataFrame, pairs: DataFrame, blocks: DataFrame, longest: int, s
                     continue
                 at = np.concatenate([np.arange(cuts[t], min(cuts[t] + TILE, right.num_rows)) for t in tiles])
                 which = begin + asks_in
-                score = (vecs[at] @ asked[which].T).astype(np.int64).T
-                fits = (score >= least[which, None]) & (score <= most[which, None]) & ((label[at] == labels[which, None]) == same) & (row[at] != anchor[which, None])
+                score = ((vecs if len(at) == len(vecs) else vecs[at]) @ asked[which].T).astype(np.int64).T
+                fits = (score >= least[which, None]) & (score <= most[which, None]) & ((label[at] == labels[which, None]) == same)
                 for i in np.flatnonzero(fits.any(1)):
                     hit = np.flatnonzero(fits[i])
                     points = score[i, hit]
@@ -208,9 +212,11 @@ def search(asks: DataFrame, pairs: DataFrame, blocks: DataFrame, longest: int, s
         return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
 
     slice_ = F.pmod(F.xxhash64("home"), F.lit(slices)).alias("slice")
-    left = pairs.join(asks, "home").select("block", slice_, "ask", "anchor", "label", "vec", "dist", "least", "most", "far", "close")
-    right = blocks.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"), "row", "id", "label", "vec", "dist")
-    return left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInArrow(meet, "ask long, row long, id long, score long")
+    shelf = F.expr(f"block div {SHELF}").alias("shelf")
+    pairs = pairs.select("home", shelf).distinct()
+    left = pairs.join(asks, "home").select("shelf", slice_, "ask", "label", "vec", "dist", "least", "most", "far", "close")
+    right = blocks.select(shelf, "row", "id", "label", "vec", "dist").join(pairs.select("shelf", slice_).distinct(), "shelf")
+    return left.groupBy("shelf", "slice").cogroup(right.groupBy("shelf", "slice")).applyInArrow(meet, "ask long, row long, id long, score long")
 
 
 def _best(found: DataFrame, key: str, top: int) -> DataFrame:
@@ -218,6 +224,12 @@ def _best(found: DataFrame, key: str, top: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
 
+def _raised(asks: DataFrame, found: DataFrame, top: int) -> DataFrame:
+    """``asks`` whose least score is that of the last of ``top`` rows found already: only rows that are as good can still be among the best."""
+    last = found.groupBy("ask").agg(F.count("*").alias("n"), F.min("score").alias("last")).filter(F.col("n") >= top).select("ask", "last")
+    return asks.join(last, "ask", "left").withColumn("least", F.greatest("least", "last")).drop("last")
+
+
 def mine(rows: DataFrame, anchors: Column, id_col: str, vec_col: str, label_col: str, positives: int = 5, negatives: int = 5, band: tuple[int, int] = (80, 100), block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """Hard negatives of every anchor (a condition on ``id``) and each of its best rows of one label.
 
@@ -229,20 +241,23 @@ def mine(rows: DataFrame, anchors: Column, id_col: str, vec_col: str, label_col:
     n_blocks = index.select("block").distinct().count()
     k = len(chosen)
     own = anchors_of(index, anchors, longest, chosen)
-    n = own.count()
+    kinds = own.groupBy("label", "vec").agg(F.min("ask").alias("kind"))
+    members = written(own.join(kinds, ["label", "vec"]).select("anchor", F.col("id").alias("anchor_id"), "kind"), "members")
+    own = written(own.join(members.select(F.col("kind").alias("ask")).distinct(), "ask", "left_semi"), "kinds")
+    n, first = own.count(), positives + 1  # one of them may be the anchor itself
+    home = own.select("home", F.col("home").alias("block")).distinct()
     wide = _bracketed(own.withColumn("least", F.lit(NONE)).withColumn("most", F.lit(-NONE)), longest)
-    at_home = search(wide, own.select("home", F.col("home").alias("block")).distinct(), index, longest, True, positives, n)
-    enough = at_home.groupBy("ask").agg(F.count("*").alias("n"), F.min("score").alias("last")).filter(F.col("n") >= positives)
-    closer = own.join(enough.select("ask", "last"), "ask", "left").withColumn("least", F.coalesce("last", F.lit(NONE))).withColumn("most", F.lit(-NONE)).drop("last")
-    asks = written(_bracketed(closer, longest), "positive-asks")
-    found = written(_best(search(asks, _pairs(asks, index, k, n_blocks), index, longest, True, positives, n), "ask", positives), "positives")
-    bands = found.filter("score >= 0").select("ask", "score").distinct().withColumnsRenamed({"ask": "anchor", "score": "most"})
+    asks = written(_bracketed(_raised(own.withColumn("least", F.lit(NONE)).withColumn("most", F.lit(-NONE)), search(wide, home, index, longest, True, first, n), first), longest), "positive-asks")
+    found = _best(search(asks, written(_pairs(asks, index, k, n_blocks), "positive-pairs"), index, longest, True, first, n), "ask", first)
+    each = found.drop("rank").withColumnRenamed("ask", "kind").join(members, "kind").filter("row <> anchor")
+    found = written(_best(each, "anchor", positives), "positives")
+    bands = found.filter("score >= 0").select(F.col("kind").alias("ask"), F.col("score").alias("most")).distinct()
     bands = bands.withColumn("least", F.expr(f"{low} * (most div {high}) + ({low} * (most % {high}) + {high} - 1) div {high}"))
-    bands = written(own.drop("ask", "id").join(bands, "anchor").withColumn("ask", F.monotonically_increasing_id()), "negative-asks")
-    asks = _bracketed(bands, longest)
-    others = _best(search(asks, _pairs(asks, index, k, n_blocks), index, longest, False, negatives, n * positives), "ask", negatives)
-    pairs = found.select(F.col("ask").alias("anchor"), F.col("id").alias("positive_id"), F.col("score").alias("most")).join(bands.select("ask", "anchor", "most"), ["anchor", "most"])
-    named = pairs.join(own.select("anchor", F.col("id").alias("anchor_id")), "anchor")
+    bands = written(own.join(bands, "ask").withColumnRenamed("ask", "kind").withColumn("ask", F.monotonically_increasing_id()), "bands")
+    n = bands.count()
+    asks = written(_bracketed(_raised(bands, search(_bracketed(bands, longest), home, index, longest, False, negatives, n), negatives), longest), "negative-asks")
+    others = _best(search(asks, written(_pairs(asks, index, k, n_blocks), "negative-pairs"), index, longest, False, negatives, n), "ask", negatives)
+    named = found.select("kind", "anchor_id", F.col("id").alias("positive_id"), F.col("score").alias("most")).join(bands.select("ask", "kind", "most"), ["kind", "most"])
     return others.join(named, "ask").select(
         "anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"), F.col("most").alias("positive_score"), F.col("score").alias("negative_score")
     )
